@@ -11,7 +11,7 @@ def frame(spark, texts, lang="en", source="src0"):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-AWKWARD = [None, "", "   \n\t ", "a", "one two three", "x" * 5000, "word " * 5000, "1 2 " * 3000, (7, "same id", None, None, None), (7, "same id", None, None, None), (None, "no id at all here", "en", None, 3), "éñ \U0001f600 café \x0b\x0c\x1f end", "line\nline\nline"]
+AWKWARD = [None, "", "   \n\t ", "a", "one two three", "x" * 5000, "word " * 5000, "1 2 " * 3000, (907, "same id", None, None, None), (907, "same id", None, None, None), (None, "no id at all here", "en", None, 3), "éñ \U0001f600 café \x0b\x0c\x1f end", "line\nline\nline"]
 
 
 def corpus(sf, table="documents"):
