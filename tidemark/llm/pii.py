@@ -1,12 +1,12 @@
 """PII: information-theoretic sanitisation in native expressions.
 
-Identifiers (email, ip, card, phone) are found by fixed patterns. They are the protected entities, each as a class
-(its kind) and, where one value recurs, as a value. Around every identifier the words within WINDOW characters are
-its context. A term's disclosure of an entity is its pointwise mutual information with the entity as a share of the
-entity's information content, PMI(term; entity) / IC(entity), with probabilities from document frequencies over the
-whole corpus; it is 1 when the term never appears away from the entity. A term that at least MIN_CONTEXTS different
-contexts support and whose disclosure reaches GENERALISE is generalised, from REMOVE on removed, wherever it stands.
-Copies of a document share their contexts, and so support a term once.
+Identifiers (email, ip, card, phone) are found by fixed patterns. The kinds are the protected entities. Around every
+identifier the words within WINDOW characters are its context. A term's disclosure of an entity is its pointwise mutual
+information with the entity as a share of the entity's information content, PMI(term; entity) / IC(entity), with
+probabilities from document frequencies over the whole corpus; it is 1 when the term never appears away from the
+entity. A term that stands in the contexts of at least MIN_VALUES different identifiers of a kind and whose disclosure
+reaches GENERALISE is generalised, from REMOVE on removed, wherever it stands. Exact and near copies of a document
+share their identifiers, and so support a term once.
 
 Null texts count as empty. Repeated rows and repeated ids each keep their row; ids that share a number share their
 disclosing terms. An empty table gives an empty result. sanitize() carries the other columns
@@ -30,7 +30,7 @@ CARD = r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 WINDOW = 64
-MIN_CONTEXTS = 5
+MIN_VALUES = 5
 GENERALISE, REMOVE = 0.85, 0.95
 BROADCAST_ROWS = 1_000_000
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
@@ -93,18 +93,18 @@ def _contexts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(terms, hits): terms with entity, n_contexts, near, df, disclosure and action; hits, the terms of each document.
+    """(terms, hits): terms with entity, n_values, near, df, disclosure and action; hits, the terms of each document.
 
     The corpus is read twice: for the contexts of identifiers, and for the document frequencies of the terms that
-    enough contexts support. Only those terms are shuffled; they are broadcast while they are few."""
+    enough identifiers support. Only those terms are shuffled; they are broadcast while they are few."""
     docs = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     contexts = store(_contexts(docs), "pii-contexts")
-    entities = contexts.withColumn("entity", F.explode(F.array("kind", F.concat_ws(":", "kind", "value")))).drop("kind", "value")
-    near = entities.select("_doc", "entity", F.xxhash64("context").alias("_c"), F.explode(_terms(F.col("context"))).alias("term"))
-    # distinct contexts, then distinct documents, each pre-aggregated by its own key: no group is gathered
-    n_contexts = near.select("entity", "term", "_c").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
+    entities = contexts.withColumnRenamed("kind", "entity")
+    near = entities.select("_doc", "entity", "value", F.explode(_terms(F.col("context"))).alias("term"))
+    # distinct values, then distinct documents, each pre-aggregated by its own key: no group is gathered
+    n_values = near.select("entity", "term", "value").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_values")).where(F.col("n_values") >= MIN_VALUES)
     n_near = near.select("entity", "term", "_doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("near"))
-    candidates = store(n_contexts.join(n_near, ["entity", "term"]), "pii-candidates")
+    candidates = store(n_values.join(n_near, ["entity", "term"]), "pii-candidates")
     with_entity = entities.select("entity", "_doc").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     total = docs.count()
 
@@ -124,10 +124,10 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Spans of the disclosing terms of a text that do not meet an identifier."""
-    every = S.find(text, r"[^\x20\x09-\x0D]++", 4, "term")
-    named = F.transform(every, lambda s: S.span(s["start"], 4, s["end"], "term", F.coalesce(F.element_at(terms, _term(s["value"])), F.lit(""))))
+    known = S.find(text, r"[^\x20\x09-\x0D]++", 4, "term", lambda w: F.map_contains_key(terms, _term(w)))
+    named = F.transform(known, lambda s: S.span(s["start"], 4, s["end"], "term", F.element_at(terms, _term(s["value"]))))
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(named, lambda s: (s["value"] != "") & apart(s))
+    return F.filter(named, apart)
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
