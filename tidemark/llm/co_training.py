@@ -16,24 +16,25 @@ empty table gives an empty result. Columns other than the five of documents are
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-LABELLED, POOL = 5000, 3000
+LABELLED, POOL = 8000, 3000
 ROUNDS, SHARE, SURE = 3, 0.05, 0.97
 MIN_DF, STRONG = 5, 2.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 
 
-def _words(text: str | None) -> list[bytes]:
+def _words(raw: bytes) -> list[bytes]:
     """Lower-cased words without ASCII punctuation."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PUNCTUATION).split()
+    return raw.lower().translate(_PUNCTUATION).split()
 
 
 class Lexicon(dict):
@@ -43,32 +44,47 @@ class Lexicon(dict):
         return 0
 
 
-def log_odds(docs: list[list[bytes]], y: np.ndarray) -> tuple[Lexicon, np.ndarray]:
-    """Log odds of a word's presence in documents with y = 1 against those with y = 0."""
-    good, bad = Counter(), Counter()
-    for words, label in zip(docs, y, strict=True):
-        (good if label else bad).update(set(words))
-    known = sorted(w for w in good.keys() | bad.keys() if good[w] + bad[w] >= MIN_DF)
-    n, m = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = [np.log((good[w] + 0.5) / (n + 1)) - np.log((bad[w] + 0.5) / (m + 1)) for w in known]
-    return Lexicon((w, i + 1) for i, w in enumerate(known)), np.array([0.0, *odds])
-
-
-def text_features(text: str | None, words: list[bytes], lexicon: Lexicon, odds: np.ndarray) -> np.ndarray:
-    text = text or ""
-    n = len(words)
-    r = odds[np.fromiter(map(lexicon.__getitem__, words), np.int64, n)] if n else np.zeros(1)
-    up, down = int((r > STRONG).sum()), int((r < -STRONG).sum())
-    size = max(1, len(text))
-    symbols = size - len(text.translate(_SYMBOLS)) if text else 0
-    lines = text.split("\n")
-    return np.array([
-        r.mean(), np.log1p(up), up / max(1, n), np.log1p(down), down / max(1, n), np.log1p(n), len(set(words)) / max(1, n), symbols / size,
-        sum(map(str.isupper, text)) / size, 1 - len(set(lines)) / len(lines), n / size,
-    ])
-
-
-_SYMBOLS = str.maketrans("", "", "#*$%&|<>!@^~{}[]\\")
+class Text:
+    """The text view: for each question, log odds of words' presence in documents with that answer, summed up, and plain
+    measures of the text."""
+
+    def __init__(self, texts: Iterable[str | None], answers: np.ndarray):
+        n = answers.shape[1]
+        counts = [Counter() for _ in range(n)]
+        every: Counter = Counter()
+        for text, given in zip(texts, answers, strict=True):
+            present = set(_words(_raw(text)))
+            every.update(present)
+            for k in np.flatnonzero(given):
+                counts[k].update(present)
+        known = sorted(w for w, c in every.items() if c >= MIN_DF)
+        self.lexicon = Lexicon((w, i + 1) for i, w in enumerate(known))
+        self.odds = np.zeros((len(known) + 1, n))
+        for k in range(n):
+            yes = np.array([counts[k][w] for w in known], float)
+            no = np.array([every[w] for w in known], float) - yes
+            self.odds[1:, k] = np.log((yes + 0.5) / (answers[:, k].sum() + 1)) - np.log((no + 0.5) / (len(answers) - answers[:, k].sum() + 1))
+
+    def __call__(self, text: str | None) -> list[np.ndarray]:
+        raw = _raw(text)
+        words = _words(raw)
+        n, size = len(words), max(1, len(raw))
+        r = self.odds[np.fromiter(map(self.lexicon.__getitem__, words), np.int64, n)] if n else np.zeros((1, self.odds.shape[1]))
+        letters = np.frombuffer(raw, np.uint8)
+        lines = raw.split(b"\n")
+        plain = [
+            np.log1p(n), len(set(words)) / max(1, n), 1 - len(raw.translate(None, _SYMBOLS)) / size, ((letters >= 65) & (letters <= 90)).sum() / size,
+            1 - len(set(lines)) / len(lines), n / size,
+        ]
+        up, down = (r > STRONG).sum(0), (r < -STRONG).sum(0)
+        return [np.array([r[:, k].mean(), np.log1p(up[k]), up[k] / max(1, n), np.log1p(down[k]), down[k] / max(1, n), *plain]) for k in range(r.shape[1])]
+
+
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+_SYMBOLS = b"#*$%&|<>!@^~{}[]\\"
 
 
 class Meta:
@@ -110,30 +126,21 @@ class Logistic:
 
 
 class Question:
-    """One answer from two co-trained views."""
+    """One answer from two co-trained views of labelled documents (known) and others (pool)."""
 
-    def __init__(self, rows: pd.DataFrame, words: list[list[bytes]], y: np.ndarray, unlabelled: pd.DataFrame, pool_words: list[list[bytes]]):
-        self.constant = None
-        part = np.arange(len(rows)) % 3
-        if any(len(np.unique(y[part == k])) < 2 for k in range(3)):
-            self.constant = float(round(y.mean())) if len(y) else 1.0
-            return
-        first = part == 0
-        self.lexicon, self.odds = log_odds([w for w, a in zip(words, first, strict=True) if a], y[first])
-        self.meta = Meta(rows[first], y[first])
-        views = [self._views(rows, words), self._views(unlabelled, pool_words)]
-        known, pool = ([v[k] for k in (0, 1)] for v in views)
+    def __init__(self, known: list[np.ndarray], y: np.ndarray, part: np.ndarray, pool: list[np.ndarray]):
         fit, aside = part == 1, part == 2
         extra: list[dict[int, float]] = [{}, {}]
-        quota = max(1, int(SHARE * len(unlabelled)))
+        n = len(pool[0])
+        quota = max(1, int(SHARE * n))
         for turn in range(ROUNDS + 1):
             self.models = []
             for k in (0, 1):
                 at = np.fromiter(extra[k].keys(), np.int64, len(extra[k]))
-                x = np.concatenate([known[k][fit], pool[k][at]])
+                x = np.concatenate([known[k][fit], pool[k][at]]) if len(at) else known[k][fit]
                 label = np.concatenate([y[fit], np.fromiter(extra[k].values(), float, len(extra[k]))])
                 self.models.append(Logistic(x, label, np.concatenate([np.ones(int(fit.sum())), np.full(len(at), 0.5)])))
-            if turn == ROUNDS or not len(unlabelled):
+            if turn == ROUNDS or not n:
                 break
             for k in (0, 1):  # each view teaches the other what it is sure of
                 p = 1 / (1 + np.exp(-self.models[k].logit(pool[k])))
@@ -142,59 +149,74 @@ class Question:
                     extra[1 - k].update((int(i), answer) for i in best if sure[i] >= SURE)
         logits = [self.models[k].logit(known[k][aside]) for k in (0, 1)]
         self.calibration = [Logistic(s[:, None], y[aside]) for s in logits]
-        both = np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)])
-        self.blend = Logistic(both, y[aside])
-
-    def _views(self, rows: pd.DataFrame, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        text = [text_features(t, w, self.lexicon, self.odds) for t, w in zip(rows["text"], words, strict=True)]
-        meta = [self.meta(a, b, c) for a, b, c in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)]
-        return np.array(text).reshape(len(rows), -1), np.array(meta).reshape(len(rows), -1)
-
-    def __call__(self, rows: pd.DataFrame, words: list[list[bytes]]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(rows), self.constant)
-        views = self._views(rows, words)
+        self.blend = Logistic(np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)]), y[aside])
+
+    def __call__(self, views: list[np.ndarray]) -> np.ndarray:
         both = np.column_stack([c.logit(m.logit(v)[:, None]) for c, m, v in zip(self.calibration, self.models, views, strict=True)])
         return 1 / (1 + np.exp(-self.blend.logit(both)))
 
 
+class Classifier:
+    """Both questions over shared views."""
+
+    def __init__(self, sample: pd.DataFrame, answers: np.ndarray, pool: pd.DataFrame):
+        part = np.array([0, 0, 1, 2])[np.arange(len(sample)) % 4]  # half for the odds, a quarter to fit, a quarter aside
+        first = part == 0
+        n = answers.shape[1]
+        mixed_ = [len(sample) > 0 and all(len(np.unique(answers[part == k, i])) == 2 for k in range(3)) for i in range(n)]
+        self.constant = [None if ok else float(round(answers[:, i].mean())) if len(sample) else 1.0 for i, ok in enumerate(mixed_)]
+        if not any(mixed_):
+            return
+        self.text = Text(sample["text"][first], answers[first])
+        self.meta = [Meta(sample[first], answers[first, i]) for i in range(n)]
+        known, others = self._views(sample), self._views(pool)
+        self.questions = [Question(known[i], answers[:, i], part, others[i]) if ok else None for i, ok in enumerate(mixed_)]
+
+    def _views(self, rows: pd.DataFrame) -> list[list[np.ndarray]]:
+        """For each question, the features of both views."""
+        text = [self.text(t) for t in rows["text"]]
+        out = []
+        for i, meta in enumerate(self.meta):
+            x = np.array([t[i] for t in text]).reshape(len(rows), -1)
+            out.append([x, np.array([meta(a, b, c) for a, b, c in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)]).reshape(len(rows), -1)])
+        return out
+
+    def __call__(self, rows: pd.DataFrame) -> list[np.ndarray]:
+        views = self._views(rows) if any(c is None for c in self.constant) else None
+        return [np.full(len(rows), c) if c is not None else self.questions[i](views[i]) for i, c in enumerate(self.constant)]
+
+
 def _frame(columns: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Question, Question]:
-    """The models for quality and for harmlessness, from bounded samples."""
+def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """The classifier of quality and harmlessness, from bounded samples."""
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     marks = marks.where(F.col("quality").isNotNull())
     luck = F.xxhash64(F.lit(17), "doc_id")
     chosen = marks.orderBy(luck, "doc_id").limit(LABELLED)
     others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(luck, "doc_id").limit(POOL)
-    wanted = chosen.unionByName(others.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
+    none = F.lit(None).cast("int")
+    wanted = chosen.unionByName(others.select("doc_id", none.alias("quality"), none.alias("toxic"))).withColumn("_luck", luck)
     table = docs.select(*COLUMNS).join(F.broadcast(wanted), "doc_id").toArrow()  # at most LABELLED + POOL ids
     rows = _frame({c: table.column(c).to_pylist() for c in table.column_names})
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", key=lambda s: s.map(lambda i: hash((i, 17)))).reset_index(drop=True)
+    rows = rows.sort_values(["_luck", "doc_id"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
     known = rows["quality"].notna()
     sample, pool = rows[known].reset_index(drop=True), rows[~known].reset_index(drop=True)
-    words, pool_words = [_words(t) for t in sample["text"]], [_words(t) for t in pool["text"]]
-    quality = (sample["quality"].astype(float).to_numpy() == 1).astype(float)
-    harmless = (sample["toxic"].astype(float).to_numpy() == 0).astype(float)
-    return Question(sample, words, quality, pool, pool_words), Question(sample, words, harmless, pool, pool_words)
+    answers = np.column_stack([sample["quality"].astype(float) == 1, sample["toxic"].astype(float) == 0]).astype(float)
+    return Classifier(sample, answers, pool)
 
 
-def score(docs: DataFrame, models: tuple[Question, Question], carry: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
     """p_quality, p_harmless, score (the lesser) and kept for every document; with carry, after its own columns."""
-    from pyspark.sql import types as T
-
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the samples
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the samples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quality, harmless = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = _frame({c: part.column(c).to_pylist() for c in COLUMNS})
-                words = [_words(t) for t in rows["text"]]
-                p, q = quality(rows, words), harmless(rows, words)
+                p, q = shared.value(_frame({c: part.column(c).to_pylist() for c in COLUMNS}))
                 s = np.minimum(p, q)
                 own = part.columns if carry else [part.column("doc_id")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array(q), pa.array(s), pa.array(s >= 0.5)], [*(part.schema.names if carry else ["doc_id"]), *ADDED])

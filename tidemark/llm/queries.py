@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import co_training, mixing, ngram_lm, pii, quality_rules, secret_scan
+import corpus_pipeline
+from tidemark.llm import co_training, crf_langid, decontamination, jaccard_join, mixing, ngram_lm, page_text, pii, quality_rules, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,26 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.op2(_table(spark, sf_dir, "documents"))
 
 
+def op3_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_langid.op3(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op4(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.op5(_table(spark, sf_dir, "pages"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op6(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op7(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op8(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +55,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_ngram_lm, op4_quality_rules, op8_secret_scan, op9_co_training, op10_mixing)
-}
-ORACLES: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_pii, op2_ngram_lm, op3_crf_langid, op4_quality_rules, op5_page_text, op6_jaccard_join, op7_decontamination,
+        op8_secret_scan, op9_co_training, op10_mixing,
+    )
+} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
