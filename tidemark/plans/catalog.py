@@ -1,35 +1,99 @@
-"""The registry of reference-operator queries and their DuckDB counterparts."""
+"""The registered queries of the SQL engine and their DuckDB counterparts.
+
+Every query is a statement of the dialect, run through the table environment over whole Parquet tables. Where DuckDB takes the
+same text, it is its own counterpart.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.env import TableEnv
+from tidemark.plans import statements
+from tidemark.streaming import windows
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register the named Parquet tables of sf_dir as temporary views."""
-    for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+def environment(spark: SparkSession, sf_dir: str, tables: str) -> TableEnv:
+    """An environment with the named Parquet tables; schema.table registers a table in a schema."""
+    env = TableEnv(spark)
+    for name in tables.split():
+        schema, _, table = name.rpartition(".")
+        df = env.spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        env.register_table(schema, table, df) if schema else env.register_table(table, df)
+    return env
 
 
-FLAGSHIP = """
-SELECT p AS o_orderpriority, n AS n_lines, total AS sum_price, top AS max_price
-FROM (SELECT o.o_orderpriority AS p, count(*) AS n,
-             round(sum(l.l_extendedprice), 2) AS total, max(l.l_extendedprice) AS top
-      FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND o.o_orderkey < 15000
-      GROUP BY o.o_orderpriority) t
-WHERE n > 2
-"""
+def _statement(tables: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: environment(spark, sf_dir, tables).sql(sql)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load(spark, sf_dir, "orders", "lineitem")
-    return spark.sql(FLAGSHIP)
+for _name, _tables, _sql, _duck in statements.STATEMENTS:
+    QUERIES[_name] = _statement(_tables, _sql)
+    if _duck is not None:
+        ORACLES[_name] = _duck or _sql
+
+
+class _Words:
+    def eval(self, text: str):
+        for word in (text or "").split(" "):
+            yield (word,)
+
+
+class _Product:
+    """The product of 1 + x / 10, which no order of the rows changes but for rounding."""
+
+    def init(self) -> float:
+        return 1.0
+
+    def add(self, state: float, value: float) -> float:
+        return state * (1 + value / 10)
 
 
-QUERIES["flagship"] = flagship
-ORACLES["flagship"] = FLAGSHIP
+def _with_functions(tables: str, sql: str, *functions: tuple) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = environment(spark, sf_dir, tables)
+        for name, function, returns in functions:
+            env.add_function(name, function, returns=returns)
+        return env.sql(sql)
+
+    return run
+
+
+def _ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = TableEnv(spark)
+    rows = [{"id": 1, "Price": 0.1, "at": 0}, {"ID": 2, "price": "2.5"}, {}]
+    env.register_table("rows", env.from_rows(rows, {"id": "BIGINT", "price": "DOUBLE", "at": "TIMESTAMP"}))
+    return env.sql("SELECT id, price, at AS moment FROM rows")
+
+
+def _ingest_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = TableEnv(spark)
+    items = [SimpleNamespace(itemId=1, name="a", ok=True), SimpleNamespace(itemId=2, name=None, ok=None)]
+    env.register_table("items", env.from_objects(items, upper_underscore=True))
+    return env.sql("SELECT item_id, name, ok FROM items")
+
+
+QUERIES["function_scalar"] = _with_functions("nation", "SELECT n_nationkey, hello(n_name) AS h FROM nation", ("hello", lambda x: f"hello,{x}", "string"))
+ORACLES["function_scalar"] = "SELECT n_nationkey, 'hello,' || n_name AS h FROM nation"
+QUERIES["function_expression"] = _with_functions("lineitem", "SELECT l_orderkey, l_linenumber, net(l_extendedprice, l_discount) AS n FROM lineitem", ("net", "(p DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN p * (1 - d)", None))
+ORACLES["function_expression"] = "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS n FROM lineitem"
+QUERIES["function_table"] = _with_functions("part", "SELECT p.p_partkey, w.word FROM part p, LATERAL TABLE(words(p.p_name)) AS w(word)", ("words", _Words, "word string"))
+ORACLES["function_table"] = "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part"
+QUERIES["function_aggregate"] = _with_functions("supplier", "SELECT s_nationkey, round(product(CAST(s_nationkey AS DOUBLE)), 6) AS p FROM supplier GROUP BY s_nationkey", ("product", _Product, "double"))
+ORACLES["function_aggregate"] = "SELECT s_nationkey, round(product(1 + s_nationkey / 10), 6) AS p FROM supplier GROUP BY s_nationkey"
+QUERIES["ingest_rows"] = _ingest_rows
+ORACLES["ingest_rows"] = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0.1 AS DOUBLE), TIMESTAMP '1970-01-01'), (2, 2.5, NULL), (NULL, NULL, NULL)) AS v(id, price, moment)"
+QUERIES["ingest_objects"] = _ingest_objects
+ORACLES["ingest_objects"] = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', true), (2, NULL, NULL)) AS v(item_id, name, ok)"
+QUERIES["stream_event_windows"] = windows.event_windows
+ORACLES["stream_event_windows"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["join_theta_outer_complex"](spark, sf_dir)
