@@ -22,7 +22,7 @@ from tidemark.llm.shared import WS, join_small, store
 WEIGHTS = (1, 2, 3)
 CAP = 3
 BLOCK = 8
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 500_000
 SEED = 20_240_229
 BROADCAST_ROWS = 100_000
 
