@@ -1,6 +1,9 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pytest
+
 from tests.llm.fixtures import AWKWARD, corpus, frame
 from tidemark.llm import mixing as M
 
@@ -82,3 +85,13 @@ def test_sainte_lague(spark):
         want |= {(g, i): h for i, h in enumerate(have)}
     got = M.sainte_lague(spark.createDataFrame(rows, "g int, i int, v long, seats long"), ["g"], ["i"], "v", "seats").collect()
     assert {(r["g"], r["i"]): r["_seats"] for r in got} == want
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_against_duckdb(spark, size):
+    docs = f"/root/testdata/{size}/documents.parquet"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{docs}')")
+    cursor = connection.execute(M.ORACLE)
+    assert [d[0] for d in cursor.description] == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(cursor.fetchall()) == sorted(map(tuple, M.op10(spark.read.parquet(docs)).collect()))

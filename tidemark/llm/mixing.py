@@ -72,26 +72,33 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: st
     return out.withColumn("_seats", F.col("_base") + F.coalesce("_move", F.lit(0))).drop("_total", "_n", "_base", "_lack", "_move")
 
 
+def seeded(seed: int, *values: Column) -> Column:
+    """Sixty bits of the md5 of the values, which any SQL engine can make."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row."""
     sized = store(sizes(docs), "mix-sizes")
     aims = store(targets(sized, weights, cap), "mix-targets")
-    total = aims.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    all_of = aims.withColumn("_all", F.lit(1)).withColumn("_blocks", F.lit(round(total / block)).cast("long"))
+    everything = Window.partitionBy(F.lit(1))
+    blocks = F.floor(F.sum("source_size").over(everything) / F.lit(float(block)) + 0.5).cast("long")  # targets add up to all words
+    all_of = aims.withColumn("_all", F.lit(1)).withColumn("_blocks", blocks)
     quotas = sainte_lague(all_of, ["_all"], ["_src"], "target", "_blocks").select("_src", "source_size", "target", F.col("_seats").alias("_quota"))
 
     # equal rows form one unit, so that a document repeated ever so often is one row of its shard
     units = sized.groupBy("doc_id", "source", "_src", "size").agg(F.count("*").alias("_m"))
     units = join_small(units, quotas, "_src", "inner", BROADCAST_ROWS)
-    luck = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    luck = seeded(seed, F.col("doc_id"), F.col("size"))
     n_shards = F.ceil((F.col("source_size") + 1) / F.lit(float(shard_words)))
-    units = store(units.withColumn("_luck", luck).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("size")), n_shards)), "mix-units")
+    units = store(units.withColumn("_luck", luck).withColumn("_shard", seeded(seed + 1, F.col("doc_id"), F.col("size")) % n_shards), "mix-units")
 
     shards = units.groupBy("_src", "_shard", "_quota").agg(F.sum(F.col("size") * F.col("_m")).alias("_line"))
     shards = sainte_lague(shards, ["_src"], ["_shard"], "_line", "_quota")
     words = F.least(F.col("_seats") * block, F.col("_line") * cap)
     n_blocks = F.ceil((F.col("_line") + 1) / F.lit(float(block)))
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_src"), F.col("_shard")), n_blocks) * block
+    start = seeded(seed + 2, F.col("_src"), F.col("_shard")) % n_blocks * block
     some = F.col("_line") > 0
     shards = shards.select("_src", "_shard", "_line",
         F.when(some, F.floor(words / F.col("_line"))).otherwise(0).cast("long").alias("_rounds"),
@@ -115,3 +122,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
 
 def op10(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _lague(name: str, source: str, group: str, votes: str, seats: str, key: str, more: str) -> str:
+    """sainte_lague() as common table expressions that end in one of the given name."""
+    over = f"OVER ({'PARTITION BY ' + group if group else ''})"
+    by = ", ".join(filter(None, [group, key]))
+    return f"""
+{name}_a AS (SELECT *, CAST({votes} AS DOUBLE) AS v, CAST(sum({votes}) {over} AS DOUBLE) AS tot, count(*) {over} AS n FROM {source}),
+{name}_b AS (SELECT *, CAST(CASE WHEN tot > 0 THEN floor(v * {seats} / tot + 0.5) ELSE 0 END AS BIGINT) AS base FROM {name}_a),
+{name}_c AS (SELECT *, CAST(CASE WHEN tot > 0 THEN {seats} - sum(base) {over} ELSE 0 END AS BIGINT) AS lack FROM {name}_b),
+{name}_d AS (SELECT *, CASE WHEN lack = 0 THEN 0 WHEN lack > 0 THEN CAST(ceil(v / tot * (abs(lack) + n)) AS BIGINT) + 2 ELSE least(CAST(ceil(v / tot * (abs(lack) + n)) AS BIGINT) + 2, base) END AS reach FROM {name}_c),
+{name}_e AS (SELECT {by}, v, base, lack, unnest(range(1, reach + 1)) AS k FROM {name}_d WHERE reach > 0),
+{name}_f AS (SELECT *, row_number() OVER ({'PARTITION BY ' + group if group else ''} ORDER BY CASE WHEN lack > 0 THEN -(v / (2 * (base + k - 1) + 1)) ELSE v / (2 * (base - k) + 1) END, {key}, k) AS rk FROM {name}_e),
+{name}_g AS (SELECT {by}, CAST(sum(sign(lack)) AS BIGINT) AS move FROM {name}_f WHERE rk <= abs(lack) GROUP BY {by}),
+{name} AS (SELECT {more}, base + coalesce(move, 0) AS got FROM {name}_d LEFT JOIN {name}_g USING ({by}))"""
+
+
+def _seeded_sql(seed: int, *values: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', " + ", ".join(f"coalesce(CAST({v} AS VARCHAR), '')" for v in values) + ")), 1, 15) AS BIGINT)"
+
+
+#: op10() over documents in DuckDB's SQL.
+ORACLE = f"""
+WITH sized AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY src),
+weighed AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY src = '', src) - 1) % {len(WEIGHTS)} AS DOUBLE) AS w, CAST(source_size * {CAP} AS DOUBLE) AS cap FROM per),
+levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+chosen AS (SELECT level FROM levels WHERE cap >= level * w ORDER BY cap / w, src LIMIT 1),
+targets AS (SELECT src, source_size, least(cap, coalesce((SELECT level FROM chosen) * w, 0)) AS target,
+ CAST(floor(CAST(sum(source_size) OVER () AS DOUBLE) / {BLOCK} + 0.5) AS BIGINT) AS blocks FROM levels),
+{_lague("quotas", "targets", "", "target", "blocks", "src", "src, source_size, target")},
+units AS (SELECT doc_id, source, src, size, count(*) AS m FROM sized GROUP BY ALL),
+dealt AS (SELECT u.*, q.source_size, q.target, q.got AS quota, {_seeded_sql(SEED, "doc_id", "size")} AS luck,
+ {_seeded_sql(SEED + 1, "doc_id", "size")} % CAST(ceil((q.source_size + 1) / {SHARD_WORDS}.0) AS BIGINT) AS shard FROM units u JOIN quotas q USING (src)),
+lines AS (SELECT src, shard, quota, CAST(sum(size * m) AS BIGINT) AS line FROM dealt GROUP BY ALL),
+{_lague("seats", "lines", "src", "line", "quota", "shard", "src, shard, line")},
+runs AS (SELECT *, least(got * {BLOCK}, line * {CAP}) AS words, {_seeded_sql(SEED + 2, "src", "shard")} % CAST(ceil((line + 1) / {BLOCK}.0) AS BIGINT) * {BLOCK} AS begin FROM seats),
+parts AS (SELECT src, shard, line, CASE WHEN line > 0 THEN words // line ELSE 0 END AS rounds, CASE WHEN line > 0 THEN words % line ELSE 0 END AS rest, CASE WHEN line > 0 THEN begin % line ELSE 0 END AS start FROM runs),
+placed AS (SELECT *, coalesce(sum(size * m) OVER (PARTITION BY src, shard ORDER BY luck, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM dealt),
+spread AS (SELECT *, unnest(range(0, m)) AS i FROM placed),
+laid AS (SELECT s.doc_id, s.size, s.source_size, s.target, s.pos + s.i * s.size AS pos, p.* EXCLUDE (src, shard) FROM spread s JOIN parts p USING (src, shard))
+SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(0, least(pos + size, start + rest) - greatest(pos, start))
+ + greatest(0, least(pos + size, start + rest - line) - greatest(pos, start - line)) AS BIGINT) AS taken FROM laid"""
