@@ -101,3 +101,24 @@ def test_errors_name_the_tables(env, query):
 
 def test_explain(env):
     assert "Physical Plan" in env.sql_query("explain plan for select c1 from t1").to_map_list()[0]["plan"]
+
+
+def test_markers(env):
+    assert env.sql_query("select c1 from t1 where c1 = ? and c5 = ?", [1, "a,b,c"]).to_map_list() == [{"c1": 1}]
+    assert env.sql_query("select :x + c1 as y from t1 where c2 = 4", {"x": 5}).to_map_list() == [{"y": 7}]
+
+
+@pytest.mark.parametrize("query, value", [
+    ("select all c1 as r from t1 where c1 = 1", 1), ("select (timestamp '2020-03-05 01:00:00' - timestamp '2020-01-31 00:00:00') month = interval '1' month as r", True), ("select (timestamp '2020-01-01 05:30:00' - timestamp '2020-01-01 00:00:00') day to second = interval '5:30' hour to minute as r", True), ("select (timestamp '2020-01-03 00:00:00' - timestamp '2020-01-01 00:00:00') day = interval '2' day as r", True),
+    ("select mask(str => 'ab1', lowerChar => 'q') as r", "qqn"), ("select 'A' collate utf8_lcase = 'a' as r", True), ("select c1 as r from t1 group by c1 having c1 > 1", 2),
+    ("select count(*) as r from t1 a, t1 b where a.c1 = b.c1", 2), ("select max(r) as r from (select c1 as r from t1 union all select 9)", 9),
+    ("select x as r from (select explode(array[1, 2]) as x) where x > 1", 2), ("select interval '1-2' year to month = interval 14 month as r", True),
+])
+def test_more_forms(env, query, value):
+    assert env.sql_query(query).to_map_list() == [{"r": value}]
+
+
+def test_settings_and_descriptions(env):
+    env.sql_query("set tidemark.note = 5")
+    assert env.spark.conf.get("tidemark.note") == "5"
+    assert [r["col_name"] for r in env.sql_query("describe t1").to_map_list()][:2] == ["c1", "c2"]

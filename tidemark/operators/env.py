@@ -130,11 +130,11 @@ class TableEnv:
 
     # -- queries ----------------------------------------------------------------------------------------------------
 
-    def sql_query(self, sql: str) -> DataTable:
-        """Run a statement; the result is lazy."""
+    def sql_query(self, sql: str, args: list[Any] | dict[str, Any] | None = None) -> DataTable:
+        """Run a statement, with values for its ? or :name markers; the result is lazy."""
         try:
             plan = self.execution_plan(sql) or self._plan(sql)
-            return DataTable(plan.override(self.spark) if plan.override else self.spark.sql(plan.sql))
+            return DataTable(plan.override(self.spark) if plan.override else self.spark.sql(plan.sql, args=args))
         except Exception as e:
             raise EngineError(f"{e}; {self._known()}") from e
 
