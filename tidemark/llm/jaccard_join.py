@@ -2,7 +2,8 @@
 
 1. Documents with equal sets form a class; from here on a class is one set. Each distinct shingle goes, as a 64-bit
    hash, to a shard by its value, where classes that share it meet. Shingles of one class only can overlap with nothing;
-   the others go back to their classes. A class needs three quarters of its own shingles to be shared, so most are done.
+   the others go back to their classes. The most frequent shingles, at most MOST, are found before and need no shard. A
+   class needs three quarters of its own shingles to be shared, so most are done.
 2. The shared shingles have a global order, rarest first (by the logarithm of the number of classes, then by value).
    Two linked classes have a shingle in common in their prefixes, the first n - ceil(3n/4) + 1 of the full set.
 3. Joins run in groups with a trie of the sets, most frequent shingle first, so that copies share long paths: a
@@ -10,9 +11,9 @@
    overlap that the remaining lengths could still give. First every class is joined in the one group of its
    commonest prefix shingle, in chunks of at most CHUNK; then, ROUNDS times, one member of each component is. This
    links copies at the cost of one pass each, whatever the size of their group, and leaves out nothing for good.
-4. Then every prefix shingle that still has classes of two components or more is joined in full: all its classes, by pairs of
-   chunks where they are many; shingles with the same classes are joined once. The new links are closed by label
-   propagation over components.
+4. Then the prefix shingles that still have classes of two components or more tie their classes together into families,
+   closed by label propagation, and every family is joined in full, by pairs of chunks where it is large. So a class
+   travels once, not once for each shingle. New links are closed over components in the same way.
 
 A link is only ever made after counting the overlap of the whole sets. A document without words has the empty set and its
 own id as component; with fewer than five words its sequence is its only shingle. Null texts count as empty; rows with
@@ -38,6 +39,8 @@ BLOCK_DOCS = 60_000
 SHARD_SHINGLES = 2_500_000
 CHUNK = 1000
 ROUNDS = 2
+#: A shingle of that many classes of a block, and of one in SPREAD of them, may be one of the MOST that are known to all tasks.
+FREQUENT, SPREAD, MOST = 16, 1000, 65_536
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -91,74 +94,150 @@ def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tup
         yield held
 
 
+def _once(name: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first text of each class of a block; none for those without words."""
+    once = np.zeros(len(name), bool)
+    once[np.unique(name, return_index=True)[1]] = True
+    return once & (size > 0)
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of every document, and for each block the shingles that many of its classes have, with how many."""
     for block in _blocks(batches, "doc_id", "text"):
-        size, name, _, _ = classes([t for _, t in block])
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in block], pa.int64()), pa.array(size), pa.array(name.view(np.int64), mask=size == 0)], ["doc_id", "n", "class"])
+        size, name, owner, value = classes([t for _, t in block])
+        once = _once(name, size)
+        items, often = np.unique(value[once[owner]], return_counts=True)
+        many = often >= max(FREQUENT, once.sum() / SPREAD)
+        items, often = items[many], often[many]
+        n, m = len(block), len(items)
+        nothing = lambda k: pa.nulls(k, pa.int64())
+        parts = [
+            pa.RecordBatch.from_arrays([pa.array([i for i, _ in block], pa.int64()), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), nothing(n), nothing(n)], _MEMBERS),
+            pa.RecordBatch.from_arrays([nothing(m), nothing(m), nothing(m), pa.array(items.view(np.int64)), pa.array(often.astype(np.int64))], _MEMBERS),
+        ]
+        yield from parts
+
+
+_MEMBERS = ["doc_id", "n", "class", "item", "c"]
+
+
+class Frequent:
+    """The most frequent shingles, known to all tasks: they need no shard to learn that they are shared."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.items = np.array(sorted(counts), np.uint64)
+        self.ranks = np.array([int(np.log2(counts[k])) for k in sorted(counts)], np.uint8)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.items):
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        at = np.minimum(np.searchsorted(self.items, values), len(self.items) - 1)
+        return at, self.items[at] == values
+
+
+def _deal(shards: int, frequent: Frequent):
+    """Deals the shingles of each block's classes: frequent ones by class, to shards from `shards` on, others by value."""
+
+    def rows(shard, owner, value, rank, name, size):
+        order = np.argsort(shard, kind="stable")
+        owner, value, shard, rank = owner[order], value[order], shard[order], rank[order]
+        bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=2 * shards))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            who, runs = np.unique(owner[a:b], return_counts=True)
+            columns = [pa.array([int(shard[a])], pa.int32())]
+            columns += [pa.array([x.tobytes()]) for x in (name[who], size[who].astype(np.uint32), runs.astype(np.uint32), value[a:b], rank[a:b])]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "class", "n", "runs", "value", "rank"])
 
-
-def _deal(shards: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, "text"):
             size, name, owner, value = classes([t for (t,) in block])
-            once = np.zeros(len(block), bool)
-            once[np.unique(name, return_index=True)[1]] = True
-            mine = once[owner]
+            mine = _once(name, size)[owner]
             owner, value = owner[mine], value[mine]
-            shard = (value % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            owner, value, shard = owner[order], value[order], shard[order]
-            bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                who, runs = np.unique(owner[a:b], return_counts=True)
-                columns = [pa.array([int(shard[a])], pa.int32())]
-                columns += [pa.array([x.tobytes()]) for x in (name[who], size[who].astype(np.uint32), runs.astype(np.uint32), value[a:b])]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "class", "n", "runs", "value"])
+            at, known = frequent.find(value)
+            direct = shards + (name[owner[known]] % np.uint64(shards)).astype(np.int64)
+            yield from rows(direct, owner[known], value[known], frequent.ranks[at[known]], name, size)
+            owner, value = owner[~known], value[~known]
+            yield from rows((value % np.uint64(shards)).astype(np.int64), owner, value, np.zeros(len(value), np.uint8), name, size)
 
     return deal
 
 
-def _share(table: pa.Table) -> pa.Table:
-    """Of one shard, for each class the shingles that other classes have too, with the order of magnitude of how many."""
-    columns = {}
-    for k, kind in (("class", np.uint64), ("n", np.uint32), ("runs", np.uint32), ("value", np.uint64)):
-        columns[k] = np.concatenate([np.frombuffer(b, kind) for b in table.column(k).to_pylist()])
+def _by_bucket(buckets: int, names: np.ndarray, size: np.ndarray, ends: np.ndarray, value: np.ndarray, rank: np.ndarray) -> pa.Table:
+    """A row for each bucket of classes, whose shingles lie between neighbouring ends."""
+    ends = ends.astype(np.int64)
+    bucket = (mixed(names) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    runs = np.diff(ends)[order]
+    place = np.repeat(ends[:-1][order] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+    value, rank, names, size, bucket = value[place], rank[place], names[order], size[order], bucket[order]
+    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+    stops = np.append(0, np.cumsum(runs))
+    cut = lambda x, on: pa.array([x[a:b].tobytes() for a, b in zip(on[:-1], on[1:], strict=True)], pa.binary())
+    columns = {"class": cut(names, bounds), "n": cut(size.astype(np.uint32), bounds), "runs": cut(runs.astype(np.uint32), bounds), "value": cut(value, stops[bounds]), "rank": cut(rank, stops[bounds])}
+    return pa.table({"bucket": pa.array(bucket[bounds[:-1]].astype(np.int32))} | columns)
+
+
+_KINDS = (("class", np.uint64), ("n", np.uint32), ("runs", np.uint32), ("value", np.uint64), ("rank", np.uint8))
+
+
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([np.frombuffer(b, kind) for b in table.column(k).to_pylist()]) for k, kind in _KINDS}
+
+
+def _share(shards: int):
+    def share(table: pa.Table) -> pa.Table:
+        """Of one shard, for each class the shingles that other classes have too, with the order of magnitude of how many."""
+        columns = _columns(table)
+        names, first, number = np.unique(columns["class"], return_index=True, return_inverse=True)
+        size = columns["n"][first]
+        if table.column("shard")[0].as_py() >= shards:  # all are shared; of a class that several blocks have, the first counts
+            keep = np.zeros(len(number), bool)
+            keep[first] = True
+            inside = np.repeat(keep, columns["runs"])
+            owner = np.repeat(number, columns["runs"])[inside]
+            value, rank = columns["value"][inside], columns["rank"][inside]
+            order = np.argsort(owner, kind="stable")
+            value, rank = value[order], rank[order]
+            return _by_bucket(shards, names, size, np.append(0, np.cumsum(columns["runs"][first])), value, rank)
+        owner, value = np.repeat(number, columns["runs"]), columns["value"]
+        order = np.lexsort((owner, value))
+        owner, value = owner[order], value[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        owner, value = owner[new], value[new]
+        starts = np.ones(len(value), bool)
+        starts[1:] = value[1:] != value[:-1]
+        starts = np.flatnonzero(starts)
+        often = np.diff(np.append(starts, len(value)))
+        often = np.repeat(often, often)
+        shared = often > 1
+        owner, value, often = owner[shared], value[shared], often[shared]
+        order = np.argsort(owner, kind="stable")
+        owner, value, rank = owner[order], value[order], np.log2(often[order]).astype(np.uint8)
+        who, at = np.unique(owner, return_index=True)
+        return _by_bucket(shards, names[who], size[who], np.append(at, len(owner)), value, rank)
+
+    return share
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Of one bucket, the classes of which three quarters are shared: their shared shingles, rarest first, and how many of
+    them the prefix has; home is the prefix's last."""
+    columns = _columns(table)
     names, first, number = np.unique(columns["class"], return_index=True, return_inverse=True)
-    size = columns["n"][first]
-    owner, value = np.repeat(number, columns["runs"]), columns["value"]
-    order = np.lexsort((owner, value))
+    n = columns["n"][first].astype(np.int64)
+    owner = np.repeat(number, columns["runs"])
+    able = 4 * np.bincount(owner, minlength=len(names)) >= 3 * n
+    inside = able[owner]
+    owner, value, rank = owner[inside], columns["value"][inside], columns["rank"][inside]
+    order = np.lexsort((value, rank, owner))
     owner, value = owner[order], value[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    owner, value = owner[new], value[new]
-    first = np.flatnonzero(np.diff(value, prepend=~value[:1])) if len(value) else np.zeros(0, np.int64)
-    often = np.diff(np.append(first, len(value)))
-    often = np.repeat(often, often)
-    shared = often > 1
-    owner, value, often = owner[shared], value[shared], often[shared]
-    order = np.argsort(owner, kind="stable")
-    owner, value, rank = owner[order], value[order], np.log2(often[order]).astype(np.uint8)
-    who, at = np.unique(owner, return_index=True)
-    ends = np.append(at, len(owner))
-    return pa.table({
-        "class": pa.array(names[who].view(np.int64)), "n": pa.array(size[who].astype(np.int64)), "k": pa.array(np.diff(ends).astype(np.int64)),
-        "value": pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-        "rank": pa.array([rank[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-    })
-
-
-def _arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared shingles of a class, rarest first, and how many of them its prefix has; home is the prefix's last."""
-    for batch in batches:
-        out = {"class": [], "n": [], "prefix": [], "home": [], "items": []}
-        for row in batch.to_pylist():
-            value = np.concatenate([np.frombuffer(p["value"], np.uint64) for p in row["parts"]])
-            rank = np.concatenate([np.frombuffer(p["rank"], np.uint8) for p in row["parts"]])
-            value = value[np.lexsort((value, rank))]
-            prefix = len(value) - (3 * row["n"] + 3) // 4 + 1
-            for k, v in (("class", row["class"]), ("n", row["n"]), ("prefix", prefix), ("home", int(value[prefix - 1].view(np.int64))), ("items", value.tobytes())):
-                out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("class", pa.int64()), ("n", pa.int64()), ("prefix", pa.int64()), ("home", pa.int64()), ("items", pa.binary())]))
+    ends = np.searchsorted(owner, np.append(np.flatnonzero(able), len(names)))
+    names, n = names[able], n[able]
+    prefix = np.diff(ends) - (3 * n + 3) // 4 + 1
+    items = [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    home = value[ends[:-1] + prefix - 1] if len(names) else np.zeros(0, np.uint64)
+    return pa.table({"class": pa.array(names.view(np.int64)), "n": pa.array(n), "prefix": pa.array(prefix), "home": pa.array(home.view(np.int64)), "items": pa.array(items, pa.binary())})
 
 
 class Forest:
@@ -298,14 +377,13 @@ def _close(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(members: DataFrame, docs: DataFrame) -> DataFrame:
+def components(members: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
     """class and comp of the classes that are linked with others. members: (doc_id, n, class)."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, round(total / SHARD_SHINGLES))
-    dealt = docs.select("text").mapInArrow(_deal(shards), "shard int, class binary, n binary, runs binary, value binary")
-    shared = dealt.groupBy("shard").applyInArrow(_share, "class long, n long, k long, value binary, rank binary")
-    able = shared.groupBy("class", "n").agg(F.sum("k").alias("k"), F.collect_list(F.struct("value", "rank")).alias("parts")).where("4 * k >= 3 * n")
-    sets = store(able.select("class", "n", "parts").mapInArrow(_arrange, "class long, n long, prefix long, home long, items binary"), "jaccard-sets")
+    dealt = docs.select("text").mapInArrow(_deal(shards, frequent), "shard int, class binary, n binary, runs binary, value binary, rank binary")
+    shared = dealt.groupBy("shard").applyInArrow(_share(shards), "bucket int, class binary, n binary, runs binary, value binary, rank binary")
+    sets = store(shared.groupBy("bucket").applyInArrow(_gather, "class long, n long, prefix long, home long, items binary"), "jaccard-sets")
 
     comp = store(_homes(sets), "jaccard-roots").select("class", F.col("root").alias("comp"))
     for _ in range(ROUNDS):
@@ -318,18 +396,20 @@ def components(members: DataFrame, docs: DataFrame) -> DataFrame:
     named = sets.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     items = named.select("class", "comp", "n", "prefix", "items").mapInArrow(_prefixes, "class long, comp long, item long")
     items = store(items, "jaccard-prefixes")
-    groups = items.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sign")).where("lo != hi")
-    groups = store(groups.groupBy("m", "sign").agg(F.min("item").alias("item")).select("item", "m"), "jaccard-groups")
-    if groups.isEmpty():
+    open_items = items.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("class").alias("a")).where("lo != hi")
+    stars = store(items.join(open_items.select("item", "a"), "item").select("a", F.col("class").alias("b")).distinct(), "jaccard-stars")
+    if stars.isEmpty():
         return comp
-    parts = F.ceil(F.col("m") / CHUNK).cast("int")
-    placed = items.join(groups, "item").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    family = _close(stars).select(F.col("a").alias("class"), F.col("label").alias("family"))
+    parts = F.ceil(F.col("m") / CHUNK).cast("int").alias("parts")
+    sizes = family.groupBy("family").agg(F.count("*").alias("m")).select("family", parts)
+    placed = family.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = placed.select("item", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class", "comp")
+    pair = placed.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class")
     # a chunk meets itself once, and every other chunk once
     side = F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("part")).alias("side")
-    full = pair.join(sets.select("class", "n", "items"), "class").select("item", "i", "j", side, "class", "comp", "n", "items")
-    edges = store(full.groupBy("item", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "jaccard-edges")
+    full = pair.join(named.select("class", "comp", "n", "items"), "class").select("family", "i", "j", side, "class", "comp", "n", "items")
+    edges = store(full.groupBy("family", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "jaccard-edges")
     if edges.isEmpty():
         return comp
     label = _close(edges).select(F.col("a").alias("comp"), "label")
@@ -350,8 +430,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    members = store(docs.mapInArrow(_members, "doc_id long, n long, class long"), "jaccard-members")
-    comp = components(members, docs)
+    found = store(docs.mapInArrow(_members, "doc_id long, n long, class long, item long, c long"), "jaccard-members")
+    members = found.where("c IS NULL").select("doc_id", "n", "class")
+    often = found.where("c IS NOT NULL").groupBy("item").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "item").limit(MOST).collect()
+    comp = components(members, docs, Frequent({r["item"] % 2**64: r["c"] for r in often}))
     # a class or component of one row is its own; only the others are joined
     per_class = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     named = per_class.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
@@ -366,9 +448,11 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns. Of rows that share that id one
-    stays; rows without an id stay when nothing else is in their component."""
-    found = link(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id = component_id OR _id IS NULL AND component_id IS NULL")
-    firsts = found.where("_id IS NOT NULL").select("_id").distinct()
-    kept = docs.join(firsts, docs["doc_id"] == firsts["_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each component, the one with the smallest id, with its columns. Rows that share that id stay unless
+    their texts are equal; rows without an id cannot be told apart by one and stay."""
+    found = store(link(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id <=> component_id"), "jaccard-firsts")
+    ids = found.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("_rows"))
+    single, several = ids.where("_rows = 1").select("_id"), ids.where("_rows > 1").select("_id")
+    same = F.col("doc_id") == F.col("_id")
+    kept = docs.join(single, same, "left_semi").unionByName(docs.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
