@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.env import TableEnv
 from tidemark.plans import statements
+from tidemark.ship import ship
 from tidemark.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,7 @@ class _Product:
 
 def _with_functions(tables: str, sql: str, *functions: tuple) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         env = environment(spark, sf_dir, tables)
         for name, function, returns in functions:
             env.add_function(name, function, returns=returns)
