@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import co_training, crf_langid, decontamination, jaccard_join, mixing, ngram_lm, page_text, pii, quality_rules, secret_scan
+from tidemark.llm import co_training, crf_langid, decontamination, jaccard_join, mixing, ngram_lm, oracles, page_text, pii, quality_rules, secret_scan
+from tidemark.ship import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan, op9_co_training, op10_mixing,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op10_mixing": mixing.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op1_pii": oracles.OP1, "op8_secret_scan": oracles.OP8, "op10_mixing": mixing.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -14,6 +14,8 @@ and text columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,18 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)$"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-WEAK_ID = r"""(?<![A-Za-z0-9])(?:[A-Z][A-Z0-9]{15,}+(?![A-Za-z0-9])|(?i:user(?:name)?|login|account|client|tenant|access_key)(?i:[_-]?id)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+)"""
-WEAK_SECRET = r"""(?<![A-Za-z0-9+/_-])(?:(?i:pwd|pass|passphrase|auth|credential|private_key|signature)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"',;]{4,}+|(?=[A-Za-z+/_-]{0,64}+[0-9])(?=[a-z0-9+/_-]{0,64}+[A-Z])(?=[A-Z0-9+/_-]{0,64}+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+)"""
-ENDPOINT = r"""(?:(?i:https?|ftp|s3|jdbc:[a-z]{2,20}|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]{3,}+|(?<![A-Za-z0-9])(?i:host(?:name)?|endpoint|server|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}+)"""
+KEY_ID = r"[A-Za-z0-9]{16,}+"
+NAMED_ID = r"""(?i:user(?:name)?|login|account|client|tenant|access_key)(?i:[_-]?id)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
+RUN = r"[A-Za-z0-9+/_-]{20,}+"
+NAMED_SECRET = r"""(?i:pwd|passphrase|pass|auth|credential|private_key|signature)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"',;]{4,}+"""
+URL = r"""(?i:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]{3,}+"""
+NAMED_HOST = r"""(?i:host(?:name)?|endpoint|server|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}+"""
+#: (rank, kind, pattern, patterns that a match must have)
+WEAK = (
+    (3, "weak_id", KEY_ID, ("^[A-Z][A-Z0-9]+$", "[0-9]")), (3, "weak_id", NAMED_ID, ()),
+    (4, "weak_secret", RUN, ("[0-9]", "[A-Z]", "[a-z]")), (4, "weak_secret", NAMED_SECRET, ()),
+    (5, "endpoint", URL, ()), (5, "endpoint", NAMED_HOST, ()),
+)
 
 SCOPE = 200
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
@@ -46,11 +57,10 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    return S.ordered(
-        S.find(text, WEAK_ID, 3, "weak_id", None, text.rlike(WEAK_ID)),
-        S.find(text, WEAK_SECRET, 4, "weak_secret", None, text.rlike(WEAK_SECRET)),
-        S.find(text, ENDPOINT, 5, "endpoint", None, text.rlike(ENDPOINT)),
-    )
+    def keep(tests: tuple[str, ...]):
+        return (lambda v: reduce(lambda a, b: a & b, [v.rlike(t) for t in tests])) if tests else None
+
+    return F.array_distinct(S.ordered(*[S.find(text, p, rank, kind, keep(tests), text.rlike(p)) for rank, kind, p, tests in WEAK]))
 
 
 def _role(s: Column) -> Column:
