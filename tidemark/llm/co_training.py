@@ -1,14 +1,15 @@
 """Quality classifier by co-training on two views of a document.
 
-The text view sees words (naive-Bayes log odds of words seen in MIN_DF documents or more, summed up as means and counts
-of telling words) and plain measures of the text; the metadata view sees language, source and length. Two questions are
+The text view sees words (naive-Bayes log odds of words that MIN_DF documents or more have, summed up as means, counts and
+extremes) and plain measures of the text; the metadata view sees language, source and length. Two questions are
 asked, quality and toxicity, each with a logistic model a view. Over ROUNDS rounds each view labels the documents of an
 unlabelled pool of which it is most confident, and the other view trains on these too. Each view is then calibrated on
 labelled documents kept aside, and a logistic model over the calibrated views gives the probability of each answer.
 A document is kept when it is likelier good than not, and likelier harmless than not.
 
-The models are fitted on at most LABELLED labelled documents and a pool of at most POOL others, those with the lowest
-hash of their id; every document is scored in full. Where a label has one value only (or none), its answer is that value
+The words' odds are counts over all labelled documents of one half, by hash of the id, kept for the LEXICON words that
+tell most; the models are fitted on at most LABELLED documents of the other half and a pool of at most POOL without a
+label, those with the lowest hash; every document is scored in full. Where a label has one value only (or none), its answer is that value
 (or good). Null texts count as empty, null metadata is a value of its own; repeated rows are scored one by one; an
 empty table gives an empty result. Columns other than the five of documents are carried by accept() and not read.
 """
@@ -16,7 +17,7 @@ empty table gives an empty result. Columns other than the five of documents are
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABELLED, POOL = 8000, 3000
+from tidemark.llm.shared import join_small, store
+
+LABELLED, POOL = 4000, 2000
 ROUNDS, SHARE, SURE = 3, 0.05, 0.97
-MIN_DF, STRONG = 5, 2.0
+MIN_DF, STRONG, LEXICON = 5, 2.5, 30_000
+FLUSH_WORDS, BROADCAST_ROWS = 200_000, 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 
@@ -46,24 +50,17 @@ class Lexicon(dict):
 
 class Text:
     """The text view: for each question, log odds of words' presence in documents with that answer, summed up, and plain
-    measures of the text."""
+    measures of the text. counts has, for known words, how many documents have them and how many of those give each answer;
+    totals the same for all documents."""
 
-    def __init__(self, texts: Iterable[str | None], answers: np.ndarray):
-        n = answers.shape[1]
-        counts = [Counter() for _ in range(n)]
-        every: Counter = Counter()
-        for text, given in zip(texts, answers, strict=True):
-            present = set(_words(_raw(text)))
-            every.update(present)
-            for k in np.flatnonzero(given):
-                counts[k].update(present)
-        known = sorted(w for w, c in every.items() if c >= MIN_DF)
+    def __init__(self, counts: dict[bytes, list[int]], totals: list[int]):
+        known = sorted(counts)
         self.lexicon = Lexicon((w, i + 1) for i, w in enumerate(known))
-        self.odds = np.zeros((len(known) + 1, n))
-        for k in range(n):
-            yes = np.array([counts[k][w] for w in known], float)
-            no = np.array([every[w] for w in known], float) - yes
-            self.odds[1:, k] = np.log((yes + 0.5) / (answers[:, k].sum() + 1)) - np.log((no + 0.5) / (len(answers) - answers[:, k].sum() + 1))
+        table = np.array([counts[w] for w in known], float).reshape(len(known), len(totals))
+        have, total = table[:, :1], totals[0]
+        yes, every = table[:, 1:], np.array(totals[1:], float)
+        odds = np.log((yes + 0.5) / (every + 1)) - np.log((have - yes + 0.5) / (total - every + 1))
+        self.odds = np.concatenate([np.zeros((1, len(every))), odds])
 
     def __call__(self, text: str | None) -> list[np.ndarray]:
         raw = _raw(text)
@@ -76,8 +73,33 @@ class Text:
             np.log1p(n), len(set(words)) / max(1, n), 1 - len(raw.translate(None, _SYMBOLS)) / size, ((letters >= 65) & (letters <= 90)).sum() / size,
             1 - len(set(lines)) / len(lines), n / size,
         ]
-        up, down = (r > STRONG).sum(0), (r < -STRONG).sum(0)
-        return [np.array([r[:, k].mean(), np.log1p(up[k]), up[k] / max(1, n), np.log1p(down[k]), down[k] / max(1, n), *plain]) for k in range(r.shape[1])]
+        out = []
+        for k in range(r.shape[1]):
+            x = r[:, k]
+            up, down = x[x > STRONG], -x[x < -STRONG]
+            out.append(np.array([x.mean(), *(f for y in (up, down) for f in (np.log1p(len(y)), len(y) / max(1, n), np.log1p(y.sum()), y.max(initial=0.0))), *plain]))
+        return out
+
+
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a partition have each word, in all and by answer; the empty word stands for all documents."""
+
+    def out(counts: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        table = np.array(list(counts.values()))
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *[pa.array(table[:, k]) for k in range(3)]], ["word", "n", "good", "harmless"])
+
+    counts: dict[bytes, np.ndarray] = {}
+    for batch in batches:
+        for text, *answers in zip(*[batch.column(c).to_pylist() for c in ("text", "good", "harmless")], strict=True):
+            one = np.array([1, *answers], np.int64)
+            for word in {*_words(_raw(text)), b""}:
+                have = counts.get(word)
+                counts[word] = one if have is None else have + one
+            if len(counts) > FLUSH_WORDS:
+                yield out(counts)
+                counts = {}
+    if counts:
+        yield out(counts)
 
 
 def _raw(text: str | None) -> bytes:
@@ -128,8 +150,8 @@ class Logistic:
 class Question:
     """One answer from two co-trained views of labelled documents (known) and others (pool)."""
 
-    def __init__(self, known: list[np.ndarray], y: np.ndarray, part: np.ndarray, pool: list[np.ndarray]):
-        fit, aside = part == 1, part == 2
+    def __init__(self, known: list[np.ndarray], y: np.ndarray, aside: np.ndarray, pool: list[np.ndarray]):
+        fit = ~aside
         extra: list[dict[int, float]] = [{}, {}]
         n = len(pool[0])
         quota = max(1, int(SHARE * n))
@@ -144,9 +166,10 @@ class Question:
                 break
             for k in (0, 1):  # each view teaches the other what it is sure of
                 p = 1 / (1 + np.exp(-self.models[k].logit(pool[k])))
+                taught = np.isin(np.arange(n), list(extra[1 - k]))
                 for answer, sure in ((1.0, p), (0.0, 1 - p)):
-                    best = np.argsort(-sure, kind="stable")[:quota]
-                    extra[1 - k].update((int(i), answer) for i in best if sure[i] >= SURE)
+                    best = np.argsort(np.where(taught, 0.0, -sure), kind="stable")[:quota]
+                    extra[1 - k].update((int(i), answer) for i in best if sure[i] >= SURE and not taught[i])
         logits = [self.models[k].logit(known[k][aside]) for k in (0, 1)]
         self.calibration = [Logistic(s[:, None], y[aside]) for s in logits]
         self.blend = Logistic(np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)]), y[aside])
@@ -159,18 +182,17 @@ class Question:
 class Classifier:
     """Both questions over shared views."""
 
-    def __init__(self, sample: pd.DataFrame, answers: np.ndarray, pool: pd.DataFrame):
-        part = np.array([0, 0, 1, 2])[np.arange(len(sample)) % 4]  # half for the odds, a quarter to fit, a quarter aside
-        first = part == 0
+    def __init__(self, text: Text, sample: pd.DataFrame, answers: np.ndarray, pool: pd.DataFrame):
+        aside = np.arange(len(sample)) % 2 == 1  # half to fit, half aside
         n = answers.shape[1]
-        mixed_ = [len(sample) > 0 and all(len(np.unique(answers[part == k, i])) == 2 for k in range(3)) for i in range(n)]
-        self.constant = [None if ok else float(round(answers[:, i].mean())) if len(sample) else 1.0 for i, ok in enumerate(mixed_)]
-        if not any(mixed_):
+        mixed = [len(sample) > 0 and all(len(np.unique(answers[aside == k, i])) == 2 for k in (False, True)) for i in range(n)]
+        self.constant = [None if ok else float(round(answers[:, i].mean())) if len(sample) else 1.0 for i, ok in enumerate(mixed)]
+        if not any(mixed):
             return
-        self.text = Text(sample["text"][first], answers[first])
-        self.meta = [Meta(sample[first], answers[first, i]) for i in range(n)]
+        self.text = text
+        self.meta = [Meta(sample[~aside], answers[~aside, i]) for i in range(n)]
         known, others = self._views(sample), self._views(pool)
-        self.questions = [Question(known[i], answers[:, i], part, others[i]) if ok else None for i, ok in enumerate(mixed_)]
+        self.questions = [Question(known[i], answers[:, i], aside, others[i]) if ok else None for i, ok in enumerate(mixed)]
 
     def _views(self, rows: pd.DataFrame) -> list[list[np.ndarray]]:
         """For each question, the features of both views."""
@@ -190,12 +212,27 @@ def _frame(columns: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
 
+def _odds(docs: DataFrame, marks: DataFrame) -> Text:
+    """Word counts over the labelled documents of the first half; the LEXICON words that tell most come to the driver."""
+    half = marks.where("_part < 2").select("doc_id", (F.col("quality") == 1).cast("int").alias("good"), (F.col("toxic") == 0).cast("int").alias("harmless"))
+    rows = join_small(docs.select("doc_id", "text"), half, "doc_id", "inner", BROADCAST_ROWS).select("text", "good", "harmless")
+    counts = rows.mapInArrow(_present, "word binary, n long, good long, harmless long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "good", "harmless")])
+    counts = store(counts.where((F.col("n") >= MIN_DF) | (F.length("word") == 0)), "quality-words")
+    first = counts.where(F.length("word") == 0).first()
+    totals = [first["n"], first["good"], first["harmless"]] if first else [0, 0, 0]
+    # how far the share of an answer among a word's documents is from its share among all, in standard errors
+    off = [F.abs(F.col(c) / F.col("n") - F.lit(t / max(1, totals[0]))) * F.sqrt("n") for c, t in (("good", totals[1]), ("harmless", totals[2]))]
+    top = counts.where(F.length("word") > 0).orderBy(F.greatest(*off).desc(), "word").limit(LEXICON).collect()
+    return Text({bytes(r["word"]): [r["n"], r["good"], r["harmless"]] for r in top}, totals)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """The classifier of quality and harmlessness, from bounded samples."""
+    """The classifier of quality and harmlessness: word counts over half of the labelled documents, models from a bounded
+    sample of the other half."""
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    marks = marks.where(F.col("quality").isNotNull())
+    marks = marks.where(F.col("quality").isNotNull()).withColumn("_part", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(4)))
     luck = F.xxhash64(F.lit(17), "doc_id")
-    chosen = marks.orderBy(luck, "doc_id").limit(LABELLED)
+    chosen = marks.where("_part >= 2").orderBy(luck, "doc_id").limit(LABELLED).drop("_part")
     others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(luck, "doc_id").limit(POOL)
     none = F.lit(None).cast("int")
     wanted = chosen.unionByName(others.select("doc_id", none.alias("quality"), none.alias("toxic"))).withColumn("_luck", luck)
@@ -205,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     known = rows["quality"].notna()
     sample, pool = rows[known].reset_index(drop=True), rows[~known].reset_index(drop=True)
     answers = np.column_stack([sample["quality"].astype(float) == 1, sample["toxic"].astype(float) == 0]).astype(float)
-    return Classifier(sample, answers, pool)
+    return Classifier(_odds(docs, marks), sample, answers, pool)
 
 
 def score(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
