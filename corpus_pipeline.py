@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import co_training, decontamination, jaccard_join, mixing, pii
 from tidemark.llm.shared import store
+from tidemark.ship import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
