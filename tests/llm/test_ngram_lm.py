@@ -52,8 +52,9 @@ def test_awkward(spark):
     assert L.op2(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("heavy, shard", [(4096, 10**9), (20, 5000)])
-def test_corpus(spark, sf, monkeypatch, heavy, shard):
+@pytest.mark.parametrize("heavy, shard, frequent", [(4096, 10**9, 16), (20, 5000, 10**9), (300, 20000, 2)])
+def test_corpus(spark, sf, monkeypatch, heavy, shard, frequent):
+    monkeypatch.setattr(L, "FREQUENT", frequent)
     monkeypatch.setattr(L, "HEAVY", heavy)
     monkeypatch.setattr(L, "SHARD_TOKENS", shard)
     check(spark.read.parquet(f"{sf}/documents.parquet"), corpus(sf))

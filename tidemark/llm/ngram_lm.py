@@ -8,10 +8,11 @@ of the next token. A shard counts its training tokens, writes the trie's levels
 Elias-Fano levels, quantised log values), maps them into memory and looks up all its tokens by context-relative
 successor search.
 
-A first pass counts words per partition and sums them: N, V, and the HEAVY most frequent words, a number that does not
-grow. Any other word has at most N / HEAVY tokens. The heavy words' tokens are dealt to shards by the pair, as their
-counts are known everywhere. Tokens travel as blocks of documents' worth of arrays, each distinct hash once a block.
-Words are told apart by 64-bit hashes.
+A first pass counts words per block of documents and sums them: N, V, and the HEAVY most frequent words, a number that
+does not grow; any other word has at most N / HEAVY tokens. It also finds up to HEAVY likely frequent pairs, which a
+second pass counts. With these counts known everywhere, frequent pairs are scored where they stand and never travel,
+and the frequent words' other tokens are dealt to shards by the pair, so that no word or pair makes a shard large. Tokens
+travel as blocks of documents' worth of arrays, each distinct hash once a block. Words are told apart by 64-bit hashes.
 
 The order is two: of the three-word sequences over four fifths occur once in the test corpora, and a third level would
 need about twice the disk. Null texts count as empty and consist of the end token alone. Rows with equal ids are
@@ -22,12 +23,10 @@ read.
 from __future__ import annotations
 
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,31 +41,90 @@ MU = 10.0
 HEAVY = 4096
 #: Hashes of the end token and of what stands before the first word; no word of a text is meant by them.
 END, START = 0x6F1D_5A3C_9B27_E481, 0x1B84_C7E2_36A9_5FD0
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 BLOCK_DOCS = 60_000
-SHARD_TOKENS = 2_500_000
-FLUSH_WORDS = 500_000
+SHARD_TOKENS = 2_200_000
+FREQUENT = 16
+META, SUMS, TOKENS = 0, 1, 2
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the training words of a partition, by hash."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Documents in blocks of bounded text."""
+    ids, texts, held = [], [], 0
+    for doc_id, text in rows_of(batches, "doc_id", "text"):
+        ids.append(doc_id)
+        texts.append(text)
+        held += len(text or "")
+        if held > BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the local vocabulary, token, token before, tokens of each text); 0 is the end, 1 the start."""
+    vocabulary = Vocabulary(END, START)
+    numbers = []
+    for text in texts:
+        numbers += [vocabulary.numbers(words_of(text)).astype(np.int32), np.zeros(1, np.int32)]
+    token = np.concatenate(numbers)
+    ends = np.flatnonzero(token == 0)
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[0] = 1
+    before[ends[:-1] + 1] = 1
+    return vocabulary.array(), token, before, np.diff(ends, prepend=-1)
+
+
+def _training(ids: list) -> np.ndarray:
+    return np.array([fold_of(i, FOLDS) != 0 for i in ids])
 
-    def out(counts: Counter, docs: int) -> pa.RecordBatch:
-        hashes = [xxhash.xxh64_intdigest(w) for w in counts] + [END]
-        values = np.array(hashes, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.array([*counts.values(), docs], np.int64))], ["h", "c"])
 
-    counts: Counter = Counter()
-    docs = 0
-    for doc_id, text in rows_of(batches, "doc_id", "text"):
-        if fold_of(doc_id, FOLDS):
-            counts.update(words_of(text))
-            docs += 1
-            if len(counts) > FLUSH_WORDS:
-                yield out(counts, docs)
-                counts, docs = Counter(), 0
-    if docs:
-        yield out(counts, docs)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the training words of each block, by hash, and of the pairs that are frequent within the block: a pair
+    with a HEAVY-th of all tokens is that frequent in some block at least."""
+    for ids, texts in _blocks(batches):
+        hashes, token, before, lengths = _tokens(texts)
+        learns = np.repeat(_training(ids), lengths)
+        token, before = token[learns], before[learns]
+        count = np.bincount(token, minlength=len(hashes))
+        seen = np.flatnonzero(count)
+        codes, often = np.unique(token.astype(np.int64) << 32 | before, return_counts=True)
+        frequent = often >= max(FREQUENT, len(token) / HEAVY)
+        codes, often = codes[frequent], often[frequent]
+        first = np.concatenate([hashes[seen], hashes[codes >> 32]]).view(np.int64)
+        second = np.concatenate([np.zeros(len(seen), np.uint64), hashes[codes & (2**32 - 1)]]).view(np.int64)
+        pair = np.concatenate([np.zeros(len(seen), bool), np.ones(len(codes), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(pair), pa.array(np.concatenate([count[seen], often]).astype(np.int64))], ["h", "b", "pair", "c"])
+
+
+def _pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mixed(mixed(words) ^ before)
+
+
+def _count_pairs(pairs: np.ndarray):
+    """Exact counts of the given pairs, by number."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(pairs), np.int64)
+        for ids, texts in _blocks(batches):
+            hashes, token, before, lengths = _tokens(texts)
+            learns = np.repeat(_training(ids), lengths)
+            at, there = _places(pairs, _pair_keys(hashes[token[learns]], hashes[before[learns]]))
+            total += np.bincount(at[there], minlength=len(pairs))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["k", "c"])
+
+    return count
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted values stand among the known ones, which are sorted, and whether they do."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -86,78 +144,100 @@ def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-def _dealer(heavy: np.ndarray, shards: int):
-    """Turns documents into blobs of tokens for each shard, and one with the documents themselves."""
+class Frequent:
+    """What every task knows: the totals, and the exact counts of the most frequent words and pairs."""
+
+    def __init__(self, total: int, vocabulary: int, words: dict[int, int], pairs: dict[int, int]):
+        self.total, self.vocabulary = total, vocabulary
+        split = lambda d: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], np.float64))
+        self.words, self.word_counts = split(words)
+        self.pairs, self.pair_counts = split(pairs)
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        return (count + ALPHA) / (self.total + ALPHA * (self.vocabulary + 1))
+
+
+def _sums(doc: np.ndarray, n: int, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
+    """Each document's sums; the score is no finer than its quantised parts."""
+    sums = [np.bincount(doc, x.astype(np.float64), minlength=n) for x in (score, base, known)]
+    return _pack(sums[0].astype(np.float32), sums[1], *_narrow(sums[2].astype(np.uint32)))
+
+
+def _narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low and the high halves of counts, of which the high ones are mostly zero."""
+    return (counts & 0xFFFF).astype(np.uint16), (counts >> 16).astype(np.uint16)
+
+
+def _role(token_is_end: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What a token takes off as the context of the next one; nothing comes after the end."""
+    return np.where(token_is_end, 0.0, np.log10(count + MU))
+
+
+def _dealer(known: Frequent, shards: int):
+    """Turns documents into blobs of tokens for each shard; frequent pairs are scored at once, as their counts are known,
+    and go with the documents' own row to a shard that only passes them on."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, serial = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("meta", pa.bool_()), ("n", pa.int64()), ("data", pa.binary())])
+        part = TaskContext.get().partitionId()
+        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+
+        def row(shard: int, block: int, kind: int, n: int, blob: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, block, kind, n, blob), schema.types, strict=True)], schema=schema)
 
-        def flush(ids, texts) -> Iterator[pa.RecordBatch]:
-            nonlocal serial
+        for serial, (ids, texts) in enumerate(_blocks(batches)):
             block = (part << 24) | serial
-            serial += 1
-            vocabulary = Vocabulary(END, START)
-            numbers = []
-            for text in texts:
-                numbers += [vocabulary.numbers(words_of(text)), np.zeros(1, np.int64)]
-            token = np.concatenate(numbers)
-            del numbers
-            ends = np.flatnonzero(token == 0)
-            lengths = np.diff(ends, prepend=-1)
-            before = np.empty_like(token)
-            before[1:] = token[:-1]
-            before[0] = 1
-            before[ends[:-1] + 1] = 1
+            hashes, token, before, lengths = _tokens(texts)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), lengths)
-            hashes = vocabulary.array()
+            train = _training(ids)
+            meta = _pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), train.astype(np.uint8), lengths.astype(np.int64))
+            yield row(block % shards, block, META, len(ids), meta)
+
+            at, often = _places(known.pairs, _pair_keys(hashes[token], hashes[before]))
+            if often.any():
+                words = hashes[token[often]]
+                place, there = _places(known.words, words)
+                often[np.flatnonzero(often)[~there]] = False  # a frequent pair's word is frequent, unless others are more so
+                place, words = place[there], words[there]
+                count = known.word_counts[place]
+                score = np.log10(known.pair_counts[at[often]] + MU * known.p(count)) - _role(words == np.uint64(END), count)
+                yield row(block % shards, block, SUMS, len(ids), _sums(doc[often], len(ids), score, np.log10(count + ALPHA), count > 0))
+                token, before, doc = token[~often], before[~often], doc[~often]
             own = mixed(hashes)
-            spread = np.isin(hashes, heavy)
+            spread = _places(known.words, hashes)[1]
             where = own[token]
             pairs = spread[token]
             where[pairs] = mixed(where[pairs] ^ hashes[before[pairs]])
             shard = (where % np.uint64(shards)).astype(np.int32)
+            del where, pairs
             order = np.lexsort((token, shard))
             token, before, doc, shard = token[order], before[order], doc[order], shard[order]
-            train = np.array([fold_of(i, FOLDS) != 0 for i in ids])
             bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 words, runs = np.unique(token[a:b], return_counts=True)
                 near, place = np.unique(before[a:b], return_inverse=True)
-                place = place.astype(np.uint16 if len(near) <= 65_536 else np.uint32)
                 blob = _pack(hashes[words], runs.astype(np.uint32), hashes[near], place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), doc[a:b], np.packbits(train))
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([block]), pa.array([False]), pa.array([len(ids)]), pa.array([blob])], schema=schema)
-            meta = _pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), train.astype(np.uint8), lengths.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([block % shards], pa.int32()), pa.array([block]), pa.array([True]), pa.array([len(ids)]), pa.array([meta])], schema=schema)
-
-        ids, texts, held = [], [], 0
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
-            ids.append(doc_id)
-            texts.append(text)
-            held += len(text or "")
-            if held > BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
-                yield from flush(ids, texts)
-                ids, texts, held = [], [], 0
-        if ids:
-            yield from flush(ids, texts)
+                yield row(int(shard[a]), block, TOKENS, len(ids), blob)
 
     return deal
 
 
-def _scorer(heavy: np.ndarray, heavy_counts: np.ndarray, total: float, vocabulary: float):
+def _scorer(known: Frequent):
     """Counts, builds and queries one shard; gives the sums of each block's documents."""
-    floor = total + ALPHA * (vocabulary + 1)
 
     def score(table: pa.Table) -> pa.Table:
-        block, meta, size, data = (table.column(k).to_pylist() for k in ("block", "meta", "n", "data"))
-        out = {"block": [], "n": [], "meta": [], "data": []}
+        block, kind, size, data = (table.column(k).to_pylist() for k in ("block", "kind", "n", "data"))
+        out = {"block": [], "n": [], "kind": [], "data": []}
+
+        def put(*values) -> None:
+            for k, v in zip(out, values, strict=True):
+                out[k].append(v)
+
         parts = []
-        for b, is_meta, n, blob in zip(block, meta, size, data, strict=True):
-            if is_meta:
-                for k, v in (("block", b), ("n", n), ("meta", True), ("data", blob)):
-                    out[k].append(v)
+        for b, what, n, blob in zip(block, kind, size, data, strict=True):
+            if what != TOKENS:
+                put(b, n, what, blob)
                 continue
             words, runs, near, place, doc, train = _unpack(blob, np.uint64, np.uint32, np.uint64, np.uint8, np.uint16, np.uint8)
             place = place.reshape(4, -1).T.copy().view(np.uint32).ravel()
@@ -165,12 +245,13 @@ def _scorer(heavy: np.ndarray, heavy_counts: np.ndarray, total: float, vocabular
             parts.append((b, n, np.repeat(words, runs), near[place], doc, learns))
         if parts:
             word, before, learns = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 5))
+            parts = [(b, n, doc) for b, n, _, _, doc, _ in parts]
             keys, number = np.unique(word, return_inverse=True)
+            number = number.astype(np.int32)
             count = np.bincount(number[learns], minlength=len(keys)).astype(np.float64)
-            at = np.minimum(np.searchsorted(heavy, keys), max(0, len(heavy) - 1))
-            if len(heavy):
-                count = np.where(heavy[at] == keys, heavy_counts[at], count)
-            p = (count + ALPHA) / floor
+            at, there = _places(known.words, keys)
+            count[there] = known.word_counts[at[there]]
+            p = known.p(count)
             w, v = word[learns], before[learns]
             order = np.lexsort((v, w))
             w, v = w[order], v[order]
@@ -182,19 +263,18 @@ def _scorer(heavy: np.ndarray, heavy_counts: np.ndarray, total: float, vocabular
             value = np.log10(often + MU * p[np.searchsorted(keys, w)])
             with tempfile.TemporaryDirectory() as path:
                 Trie.build(w, v, value, path)
+                del w, v, value, order, often, starts, new
                 found = Trie.open(path).lookup(word, before)
             unseen = np.isnan(found)
             found[unseen] = np.log10(MU * p)[number[unseen]]
-            found -= np.where(keys == np.uint64(END), 0.0, np.log10(count + MU))[number]
-            base, known = np.log10(count + ALPHA)[number], (count > 0)[number]
+            found -= _role(keys == np.uint64(END), count)[number]
+            base, seen = np.log10(count + ALPHA)[number], (count > 0)[number]
             a = 0
-            for b, n, own, _, doc, _ in parts:
-                z = a + len(own)
-                sums = [np.bincount(doc, x[a:z].astype(np.float64), minlength=n) for x in (found, base, known)]
+            for b, n, doc in parts:
+                z = a + len(doc)
+                put(b, n, SUMS, _sums(doc, n, found[a:z], base[a:z], seen[a:z]))
                 a = z
-                for k, x in (("block", b), ("n", n), ("meta", False), ("data", _pack(sums[0], sums[1], sums[2].astype(np.uint32)))):
-                    out[k].append(x)
-        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("meta", pa.bool_()), ("data", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())]))
 
     return score
 
@@ -207,14 +287,14 @@ def _adder(total: float, vocabulary: float, documents: float):
         """The rows of one block from its shards' sums."""
         n = table.column("n")[0].as_py()
         score, base, known, meta = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), None
-        for is_meta, blob in zip(table.column("meta").to_pylist(), table.column("data").to_pylist(), strict=True):
-            if is_meta:
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if kind == META:
                 meta = _unpack(blob, np.int64, np.uint8, np.uint8, np.int64)
             else:
-                s, b, k = _unpack(blob, np.float64, np.float64, np.uint32)
+                s, b, low, high = _unpack(blob, np.float32, np.float64, np.uint16, np.uint16)
                 score += s
                 base += b
-                known += k
+                known += low + (high.astype(np.int64) << 16)
         ids, there, train, tokens = meta
         return pa.table({
             "doc_id": pa.array(ids, mask=there == 0), "held_out": pa.array(train == 0), "n_tokens": pa.array(tokens), "n_known": pa.array(known),
@@ -224,18 +304,28 @@ def _adder(total: float, vocabulary: float, documents: float):
     return add
 
 
+def _unsigned(value: int) -> int:
+    return value % 2**64
+
+
+def statistics(docs: DataFrame) -> tuple[Frequent, int]:
+    """What all tasks need to know, and the number of training documents. A bounded number of rows comes to the driver."""
+    counts = store(docs.mapInArrow(_count, "h long, b long, pair boolean, c long").groupBy("h", "b", "pair").agg(F.sum("c").alias("c")), "lm-counts")
+    words = counts.where("NOT pair")
+    ends = F.coalesce(F.sum(F.when(F.col("h") == (END - 2**64 if END >= 2**63 else END), F.col("c"))), F.lit(0))
+    total, vocabulary, documents = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), ends).first()
+    top = {_unsigned(r["h"]): r["c"] for r in words.orderBy(F.desc("c"), "h").limit(HEAVY).collect()}
+    likely = counts.where("pair").orderBy(F.desc("c"), "h", "b").limit(HEAVY).collect()
+    keys = np.unique(_pair_keys(*(np.array([_unsigned(r[k]) for r in likely], np.uint64) for k in ("h", "b"))))
+    exact = docs.mapInArrow(_count_pairs(keys), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect() if len(keys) else []
+    return Frequent(total, vocabulary, top, {int(keys[r["k"]]): r["c"] for r in exact}), documents
+
+
 def op2(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    counts = store(docs.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAVY).collect()
-    top = sorted((r["h"] % 2**64, r["c"]) for r in top)
-    documents = next((c for h, c in top if h == END), None)
-    if documents is None:
-        documents = counts.where(F.col("h") == (END - 2**64 if END >= 2**63 else END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    heavy, heavy_counts = np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.float64)
-    shards = max(1, round(total / SHARD_TOKENS))
-    dealt = docs.mapInArrow(_dealer(heavy, shards), "shard int, block long, meta boolean, n long, data binary")
-    sums = dealt.groupBy("shard").applyInArrow(_scorer(heavy, heavy_counts, total, vocabulary), "block long, n long, meta boolean, data binary")
+    known, documents = statistics(docs)
+    shards = max(1, round(known.total / SHARD_TOKENS))
+    dealt = docs.mapInArrow(_dealer(known, shards), "shard int, block long, kind int, n long, data binary")
+    sums = dealt.groupBy("shard").applyInArrow(_scorer(known), "block long, n long, kind int, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.groupBy("block").applyInArrow(_adder(total, vocabulary, documents), schema)
+    return sums.groupBy("block").applyInArrow(_adder(known.total, known.vocabulary, documents), schema)
