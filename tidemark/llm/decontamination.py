@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import small, store
 from tidemark.llm.tokens import mixed
 
 Q = 10
@@ -30,6 +31,7 @@ ERROR = 0.05
 SHORT = 25
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 22
+BROADCAST_ROWS = 2_000_000
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, n, 2**64)) for n in (1, 2, 4)]
 
 
@@ -181,7 +183,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any item, with their columns. Documents with a null id are kept."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = store(matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
+    bad = F.broadcast(bad) if small(bad, BROADCAST_ROWS) else bad  # so that texts need not be shuffled
     return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import store
+from tidemark.llm.shared import small, store
 from tidemark.llm.tokens import Vocabulary, mixed, rows_of, words_of
 
 SHINGLE = 5
@@ -41,6 +41,7 @@ CHUNK = 1000
 ROUNDS = 2
 #: A shingle of that many classes of a block, and of one in SPREAD of them, may be one of the MOST that are known to all tasks.
 FREQUENT, SPREAD, MOST = 16, 1000, 65_536
+BROADCAST_ROWS = 2_000_000
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -452,7 +453,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     their texts are equal; rows without an id cannot be told apart by one and stay."""
     found = store(link(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id <=> component_id"), "jaccard-firsts")
     ids = found.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("_rows"))
-    single, several = ids.where("_rows = 1").select("_id"), ids.where("_rows > 1").select("_id")
-    same = F.col("doc_id") == F.col("_id")
-    kept = docs.join(single, same, "left_semi").unionByName(docs.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    ids = store(ids, "jaccard-ids")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        """The rows with the chosen ids; the ids are broadcast while they are few, so that texts need not be shuffled."""
+        right = F.broadcast(chosen) if small(chosen, BROADCAST_ROWS) else chosen
+        return docs.join(right, F.col("doc_id") == F.col("_id"), "left_semi")
+
+    kept = of(ids.where("_rows = 1").select("_id")).unionByName(of(ids.where("_rows > 1").select("_id")).dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
