@@ -34,9 +34,9 @@ from tidemark.llm.shared import small, store
 from tidemark.llm.tokens import Vocabulary, mixed, rows_of, words_of
 
 SHINGLE = 5
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 7_000_000
 BLOCK_DOCS = 60_000
-SHARD_SHINGLES = 2_500_000
+SHARD_SHINGLES = 1_800_000
 CHUNK = 1000
 ROUNDS = 2
 #: A shingle of that many classes of a block, and of one in SPREAD of them, may be one of the MOST that are known to all tasks.
