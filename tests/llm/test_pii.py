@@ -83,6 +83,19 @@ def test_copies_support_once(spark):
     assert pii.disclosing_terms(docs)[0].count() == 0
 
 
+def test_one_person_one_address(spark):
+    names = ["plain", "quiet", "other", "common", "simple", "round", "early"]
+    around = lambda i: f"{names[i % 7]} {names[i // 7 % 7]}"
+    texts = [f"{around(i)} Quimby quimby@corp.example {around(i + 3)}" for i in range(40)]
+    texts += [f"{around(i)} copied once@corp.example" for i in [2] * 30] + [f"{around(i)} nothing private" for i in range(80)]
+    docs = frame(spark, [*texts, "ask Quimby about it"])
+    terms, _ = pii.disclosing_terms(docs)
+    assert {(r["entity"], r["term"]) for r in terms.collect()} == {("email:quimby@corp.example", "quimby")}
+    out = {r["doc_id"]: r["text"] for r in pii.sanitize(docs).collect()}
+    assert not any("Quimby" in t for t in out.values()) and out[150] == "ask  about it" and out[80] == texts[80]
+    assert {r["doc_id"]: r["n_term"] for r in pii.op1(docs).collect()}[3] == 1
+
+
 def test_sanitize_keeps_columns_and_nulls(spark):
     docs = frame(spark, AWKWARD).withColumn("_base", F.lit("clash")).withColumn("_doc", F.lit(1)).withColumn("term", F.lit(2))
     out = pii.sanitize(docs)

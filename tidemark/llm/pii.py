@@ -1,12 +1,13 @@
 """PII: information-theoretic sanitisation in native expressions.
 
-Identifiers (email, ip, card, phone) are found by fixed patterns. The kinds are the protected entities. Around every
-identifier the words within WINDOW characters are its context. A term's disclosure of an entity is its pointwise mutual
-information with the entity as a share of the entity's information content, PMI(term; entity) / IC(entity), with
-probabilities from document frequencies over the whole corpus; it is 1 when the term never appears away from the
-entity. A term that stands in the contexts of at least MIN_VALUES different identifiers of a kind and whose disclosure
-reaches GENERALISE is generalised, from REMOVE on removed, wherever it stands. Exact and near copies of a document
-share their identifiers, and so support a term once.
+Identifiers (email, ip, card, phone) are found by fixed patterns. They are the protected entities, each as a kind and as
+a value. Around every identifier the words within WINDOW characters are its context. A term's disclosure of an entity is
+its pointwise mutual information with the entity as a share of the entity's information content, PMI(term; entity) /
+IC(entity), with probabilities from document frequencies over the whole corpus; it is 1 when the term never appears away
+from the entity. A kind supports a term that stands in the contexts of at least MIN_VALUES different identifiers, a value
+one that stands in at least MIN_CONTEXTS of its contexts with different terms. A supported term whose disclosure reaches
+GENERALISE is generalised, from REMOVE on removed, wherever it stands. Copies of a document share their identifiers and
+contexts, and so support a term once; near copies do so too where the words around the identifier are the same.
 
 Null texts count as empty. Repeated rows and repeated ids each keep their row; ids that share a number share their
 disclosing terms. An empty table gives an empty result. sanitize() carries the other columns
@@ -30,7 +31,7 @@ CARD = r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 WINDOW = 64
-MIN_VALUES = 5
+MIN_VALUES, MIN_CONTEXTS = 5, 5
 GENERALISE, REMOVE = 0.85, 0.95
 BROADCAST_ROWS = 1_000_000
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
@@ -93,19 +94,23 @@ def _contexts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(terms, hits): terms with entity, n_values, near, df, disclosure and action; hits, the terms of each document.
+    """(terms, hits): terms with entity, support, near, df, disclosure and action; hits, the terms of each document.
 
     The corpus is read twice: for the contexts of identifiers, and for the document frequencies of the terms that
-    enough identifiers support. Only those terms are shuffled; they are broadcast while they are few."""
+    enough identifiers or contexts support. Only those terms are shuffled; they are broadcast while they are few."""
     docs = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     contexts = store(_contexts(docs), "pii-contexts")
-    entities = contexts.withColumnRenamed("kind", "entity")
-    near = entities.select("_doc", "entity", "value", F.explode(_terms(F.col("context"))).alias("term"))
-    # distinct values, then distinct documents, each pre-aggregated by its own key: no group is gathered
-    n_values = near.select("entity", "term", "value").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_values")).where(F.col("n_values") >= MIN_VALUES)
+    found_by = contexts.withColumn("_terms", F.array_sort(_terms(F.col("context"))))
+    kind = F.struct(F.col("kind").alias("entity"), F.col("value").alias("by"), F.lit(MIN_VALUES).alias("least"))
+    value = F.struct(F.concat_ws(":", "kind", "value").alias("entity"), F.xxhash64("_terms").cast("string").alias("by"), F.lit(MIN_CONTEXTS).alias("least"))
+    entities = found_by.select("_doc", "_terms", F.explode(F.array(kind, value)).alias("_e")).select("_doc", "_terms", "_e.*")
+    near = entities.select("_doc", "entity", "by", "least", F.explode("_terms").alias("term"))
+    # distinct values or contexts, then distinct documents, each pre-aggregated by its own key: no group is gathered
+    support = near.select("entity", "least", "term", "by").distinct().groupBy("entity", "least", "term").agg(F.count("*").alias("support")).where(F.col("support") >= F.col("least")).drop("least")
     n_near = near.select("entity", "term", "_doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("near"))
-    candidates = store(n_values.join(n_near, ["entity", "term"]), "pii-candidates")
-    with_entity = entities.select("entity", "_doc").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    candidates = store(support.join(n_near, ["entity", "term"]), "pii-candidates")
+    holders = entities.select("entity", "_doc").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    with_entity = store(join_small(holders, candidates.select("entity").distinct(), "entity", "left_semi", BROADCAST_ROWS), "pii-entities")
     total = docs.count()
 
     every = docs.select("_doc", F.explode(_terms(F.col("_text"))).alias("term"))
@@ -114,7 +119,7 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     ic = -F.log2(F.col("with_entity") / F.lit(float(max(total, 1))))
     pmi = F.log2(F.col("near") * F.lit(float(max(total, 1))) / (F.col("df") * F.col("with_entity")))
-    scored = candidates.join(df, "term").join(with_entity, "entity").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
+    scored = join_small(candidates.join(df, "term"), with_entity, "entity", "inner", BROADCAST_ROWS).withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
     terms = store(scored.where(F.col("disclosure") >= GENERALISE).withColumn("action", action), "pii-terms")
     strongest = terms.groupBy("term").agg(F.max("action").alias("action"))
