@@ -46,6 +46,39 @@ def test_markup():
     assert P.extract(page, w).split("\n") == ["Head & — line", "a b c d e <f> and more words here to weigh", "second paragraph without an end", "one item", "two items", "last words of the article here"]
 
 
+def test_marks_do_not_empty_pages():
+    """Classes of layouts, slugs of headings and wrappers leave the article whole."""
+    body = "<h1>Head line</h1><p>First words of the text.</p><p>More words of it here.</p>"
+    text = "Head line\nFirst words of the text.\nMore words of it here."
+    side = "<div class='sidebar'><p>Buy this</p></div><div class='site-footer'>legal words</div>"
+    for page in (
+        f"<body class='single no-sidebar search'>{body}{side}</body>",
+        f"<div class='page has-sidebar'>{body}{side}</div>",
+        f"<div class='layout-with-nav'>{body}</div>{side}",
+        f"<body><form id=aspnet>{body}{side}</form></body>",
+        f"<div class=widget><div class='sidebar'><article>{body}</article></div>{side}</div>",
+        f"<div class='search'><main>{body}</main><p>other hits</p></div>{side}",
+    ):
+        assert P.extract(page, {}) == text, page
+    parts = "<section id='related-work'><h2 id='search-algorithms'>Search</h2><p>Some of it.</p></section><div id='social-history'><p>Old times.</p></div><section id=search><p>How to find.</p></section>"
+    assert P.extract(f"<article>{body}{parts}{side}</article>", {}) == text + "\nSearch\nSome of it.\nOld times.\nHow to find."
+
+
+def test_marks_with_most_words_beside_the_article():
+    page = f"<article><h1>Head of it</h1><p>Three words more</p></article><div class=comments>{'<p>I think so too</p>' * 20}</div>"
+    assert P.extract(page, {}) == "Head of it\nThree words more"
+
+
+def test_marks_are_learned():
+    """A mark that wraps the content of labelled pages does not hold on others; one that does not keeps holding."""
+    labelled = ["<div class=widget><article><p>one two three four</p></article></div><div class=promo><p>buy</p></div><h1>Site</h1>" + "<p>x y z</p>" * 5] * 3
+    w = P.learn(labelled)
+    assert w["mark widget"] > 0 > w["mark promo"]
+    page = "<h1>Site</h1><div class=widget><p>one two three four five six</p></div><div class=promo><p>buy</p></div>" + "<p>x y z</p>" * 4
+    assert "one two" in P.extract(page, w | {"word in p": 1.0}) and "buy" not in P.extract(page, w | {"word in p": 1.0})
+    assert "one two" not in P.extract(page, {})
+
+
 def test_awkward(spark):
     pages = [None, "", "   ", "plain words only", "<", "<p", "<!-- open", "<p title=\"x", "<b>" * 3000 + "deep", "<div>" * 3000 + "deep text", "&#0; &bogus; &amp", "<p>x</p>" * 2000]
     rows = [(i, None, p) for i, p in enumerate(pages)] + [(1, "u", "<p>again</p>"), (None, "u", "<p>no id</p>")]

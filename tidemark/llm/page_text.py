@@ -4,9 +4,11 @@ A page is a sequence of words and tags. Words score by the element they stand in
 contiguous part of the page with the largest sum, found in one linear scan, is its content. The weights come from
 labelled pages: pages that mark their content with one <article> or <main> element label their own tokens, and the log
 odds of a context inside against outside, over at most LABELLED such pages (lowest hash of the page's id), are the
-weights; contexts that no labelled page shows keep a default by kind. Elements that are boilerplate by name or
-class (menus, forms, notices, adverts, comments) cost next to nothing, wherever they stand, and are left out of the
-chosen part; the rest is written block by block.
+weights; contexts that no labelled page shows keep a default by kind. Elements that are marked as boilerplate by name or
+by a whole class, id or role (menus, forms, notices, adverts, comments) cost next to nothing and are left out of the
+chosen part; the rest is written block by block. Marks do not hold on the page's root, headings, <main>, <article>, nor on
+an element with most of the page's words unless an <article>, <main> or <h1> stands apart from it; <main> ends those
+around it. A mark whose elements around labelled pages have more words of the content than others does not hold either.
 
 Scripts, styles, comments and the like have no tokens. Null and empty pages give an empty text, as do pages without
 positive words. Repeated rows are extracted one by one; an empty table gives an empty result. Only page_id, url and
@@ -37,11 +39,18 @@ BLOCKS = frozenset(
 SILENT = frozenset("script style noscript template iframe object embed svg math canvas audio video textarea select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog fieldset".split())
+UNMARKED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social"
-    r"|related|recommended|comments?|disqus|replies|respond|login|signup|search|widget|pagination|pager|skip|toolbar)(?:$|[\s_-])",
-    re.I,
+    r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav(?:bar|igation|s)?|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social"
+    r"|related|recommended|comments?|disqus|replies|respond|login|signup|search|widget|pagination|pager|skip|toolbar"
 )
+#: A class of several words is a mark only where all others are of these: site-footer is one, no-sidebar and related-work are not.
+QUALIFIERS = frozenset(
+    "site page main global top bottom left right primary secondary header post posts entry article articles blog list item items box block container wrapper wrap inner outer area section panel bar"
+    " button buttons link links form icons media message content text title to".split()
+)
+#: An id of a section of an article is mostly its heading's text; these are not.
+DISCUSSION = frozenset("comment comments disqus replies respond".split())
 DEFAULTS = {"word": 1.0, "tag": -0.5, "title": -1.0}
 #: Boilerplate is left out of the output anyway; it costs this much a token, so that little of it cannot part an article.
 BOILERPLATE_COST = -0.05
@@ -52,11 +61,57 @@ _SPACE = re.compile(r"[\x20\x09-\x0D\x85\xA0]+")
 _CLOSES = {"p": "p", "li": "li", "dd": "dd", "dt": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+def _named(token: str) -> str:
+    """The word of boilerplate that a class, id or role stands for; empty if none."""
+    parts = [p for p in re.split(r"[_-]+", token.lower()) if p]
+    found = [p for p in parts if NOISE.fullmatch(p)]
+    return found[0] if found and all(p in QUALIFIERS or NOISE.fullmatch(p) for p in parts) else ""
+
+
+def _mark(name: str, attributes: str, content: bool) -> str:
+    """What marks an element as boilerplate; empty if nothing does."""
+    if name in UNMARKED:
+        return ""
+    if name in BOILERPLATE or name == "header" and not content:
+        return name
+    for attribute, a, b, c in _ATTRIBUTE.findall(attributes):
+        for word in filter(None, map(_named, (a or b or c).split())):
+            if word in DISCUSSION or not (content and name == "section" and attribute.lower() == "id"):
+                return word
+    return ""
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, tuple[str, ...], bool]]:
     """(kind, text, context, noise, content) of the page's tags and texts: kind is 'tag', 'block' (a tag that ends a block) or
-    'text'; context names the nearest block element or link; noise tells whether an element around is boilerplate; content
-    whether <article> or <main> is around."""
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    'text'; context names the nearest block element or link; noise has the marks of boilerplate around, those inside the
+    content with a star; content tells whether <article> or <main> is around."""
+    marked = [("", 0)]  # a mark and the number of the marked element around it
+    stream = list(_walk(page, marked))
+    words, anchors = [0] * len(marked), [0] * len(marked)
+    for kind, text, _, around, _ in stream:
+        if kind == "text":
+            words[around] += len(text.split())
+        elif text in ("article", "main", "h1"):
+            anchors[around] += 1
+    total = sum(words)
+    for i in range(len(marked) - 1, 0, -1):
+        words[marked[i][1]] += words[i]
+    # elements with most of the words lie in each other; they wrap the content as long as it does not begin outside
+    apart, noise = anchors[0], [()]
+    for i in range(1, len(marked)):
+        mark, around = marked[i]
+        if not noise[around] and 2 * words[i] > total and not apart:
+            apart += anchors[i]
+            noise.append(())
+        else:
+            noise.append(noise[around] if mark in noise[around] else (*noise[around], mark))
+    for kind, text, context, around, content in stream:
+        yield kind, text, context, noise[around], content
+
+
+def _walk(page: str, marked: list[tuple[str, int]]) -> Iterator[tuple[str, str, str, int, bool]]:
+    """The tokens with the number of the marked element around each, 0 for none; adds the marked elements to marked."""
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
     at = 0
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -85,8 +140,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 if stack[i][0] in BLOCKS and stack[i][0] not in ("p",):
                     break
             _, noise, content = stack[-1]
-        marks = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes))
-        noise = noise or name in BOILERPLATE or bool(marks and NOISE.search(marks)) or (name == "header" and not content)
+        if name == "main":
+            noise = 0
+        elif mark := _mark(name, attributes, content):
+            marked.append((mark + "*" * content, noise))
+            noise = len(marked) - 1
         content = content or name in ("article", "main")
         yield kind, name, name, noise, content
         if name in SILENT and not attributes.endswith("/"):
@@ -100,14 +158,27 @@ def _feature(kind: str, text: str, context: str) -> str:
     return f"word in {context}" if kind == "text" else f"tag {text.lstrip('/')}"
 
 
+def _noisy(weights: dict[str, float], noise: tuple[str, ...]) -> bool:
+    """Whether one of the marks holds."""
+    return any(weights.get(f"mark {m}", BOILERPLATE_COST) <= 0 for m in noise)
+
+
 def learn(pages: list[str]) -> dict[str, float]:
     """Weights from pages that have <article> or <main>."""
     inside, outside = Counter(), Counter()
+    for page in pages:
+        for kind, text, _, noise, content in tokens(page):
+            if kind == "text":
+                for m in noise:
+                    if not m.endswith("*"):  # a mark inside the content is no sign that it belongs there
+                        (inside if content else outside)[f"mark {m}"] += len(text.split())
+    marks = {m: min(HIGH, max(LOW, math.log((inside[m] + SMOOTH) / (outside[m] + SMOOTH)))) for m in inside.keys() | outside.keys()}
+    inside, outside = Counter(), Counter()
     for page in pages:
         for kind, text, context, noise, content in tokens(page):
-            if not noise:
+            if not _noisy(marks, noise):
                 (inside if content else outside)[_feature(kind, text, context)] += len(text.split()) if kind == "text" else 1
-    weights = {}
+    weights = dict(marks)
     n, m = sum(inside.values()) + 1, sum(outside.values()) + 1
     for f in inside.keys() | outside.keys():
         odds = math.log((inside[f] + SMOOTH) / n) - math.log((outside[f] + SMOOTH) / m)
@@ -117,8 +188,8 @@ def learn(pages: list[str]) -> dict[str, float]:
     return weights
 
 
-def weight(weights: dict[str, float], kind: str, text: str, context: str, noise: bool) -> float:
-    if noise:
+def weight(weights: dict[str, float], kind: str, text: str, context: str, noise: tuple[str, ...]) -> float:
+    if _noisy(weights, noise):
         return BOILERPLATE_COST
     found = weights.get(_feature(kind, text, context))
     if found is not None:
@@ -135,7 +206,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     stream = []
     for kind, text, context, noise, _ in tokens(page):
         score = weight(weights, kind, text, context, noise)
-        stream.append((kind, text, noise, score * len(text.split()) if kind == "text" else score))
+        stream.append((kind, text, _noisy(weights, noise), score * len(text.split()) if kind == "text" else score))
     best, begin, end, total, start = 0.0, 0, 0, 0.0, 0
     for i, (_, _, _, score) in enumerate(stream):
         if total <= 0:
