@@ -46,6 +46,31 @@ def test_views_teach_each_other(monkeypatch):
     assert np.mean(taught) > np.mean(alone) + 0.2 and np.mean(taught) > 0.85
 
 
+def test_rare_answer_is_learned(spark, monkeypatch):
+    """Few toxic documents, of which a small sample by hash would hold none, or too few for both of its halves."""
+    monkeypatch.setattr(C, "LABELLED", 40)
+    rng = np.random.default_rng(3)
+    word = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 200, k))
+    docs = frame(spark, [f"{word(20)} vile scum filth {word(3)}" if i % 50 == 0 else word(26) for i in range(1100)])
+    labels = spark.createDataFrame([(i, 1, int(i % 50 == 0)) for i in range(1000)], LABELS)
+    rows = {r["doc_id"]: r for r in C.op9(docs, labels).collect()}
+    assert sum(not rows[i]["kept"] for i in range(0, 1000, 50)) >= 18
+    assert sum(r["kept"] for i, r in rows.items() if i < 1000 and i % 50) >= 970 and all(r["p_quality"] == 1 for r in rows.values())
+
+
+def test_constant_only_where_labels_have_one_value(spark):
+    docs = frame(spark, [f"word{i % 7} text number {i}" for i in range(60)])
+    for toxic in (3, 4):
+        labels = spark.createDataFrame([(i, 1, int(i == toxic)) for i in range(50 if toxic == 3 else 60)], LABELS)
+        assert C.fit(docs, labels).constant == [1.0, None]
+        assert all(0 <= r["score"] <= 1 for r in C.op9(docs, labels).collect())
+    assert C.fit(docs, labels.where("toxic = 0")).constant == [1.0, 1.0]
+
+
+def test_sample_restores_shares():
+    assert sum(C._quotas([9000, 10, 2000, 5000])) == C.LABELLED and C._quotas([3, 7]) == [3, 7]
+
+
 def test_awkward(spark):
     docs = frame(spark, AWKWARD)
     none = spark.createDataFrame([], LABELS)

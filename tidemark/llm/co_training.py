@@ -9,8 +9,11 @@ A document is kept when it is likelier good than not, and likelier harmless than
 
 The words' odds are counts over all labelled documents of one half, by hash of the id, kept for the LEXICON words that
 tell most; the models are fitted on at most LABELLED documents of the other half and a pool of at most POOL without a
-label, those with the lowest hash; every document is scored in full. Where a label has one value only (or none), its answer is that value
-(or good). Null texts count as empty, null metadata is a value of its own; repeated rows are scored one by one; an
+label, those with the lowest hash; every document is scored in full. The labelled ones are drawn from each pair of answers
+in equal numbers as far as there are, and split alike; pairs with fewer than FEW in that half take some of the first half
+too, and an answer that only one document gives stands on both sides. Each is weighted by the labelled documents it
+stands for, half of those with its pair, so that the pairs' shares are restored. Only where all labels of documents have one value (or there are none), the
+answer is that value (or good). Null texts count as empty, null metadata is a value of its own; repeated rows are scored one by one; an
 empty table gives an empty result. Columns other than the five of documents are carried by accept() and not read.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.shared import join_small, store
 
-LABELLED, POOL = 4000, 2000
+LABELLED, POOL, FEW = 4000, 2000, 4
 ROUNDS, SHARE, SURE = 3, 0.05, 0.97
 MIN_DF, STRONG, LEXICON = 5, 2.5, 30_000
 FLUSH_WORDS, BROADCAST_ROWS = 200_000, 2_000_000
@@ -112,12 +115,14 @@ _SYMBOLS = b"#*$%&|<>!@^~{}[]\\"
 class Meta:
     """The metadata view: log odds of language and source, and the length."""
 
-    def __init__(self, rows: pd.DataFrame, y: np.ndarray):
+    def __init__(self, rows: pd.DataFrame, y: np.ndarray, weight: np.ndarray):
         self.tables = []
         for column in ("lang", "source"):
             values = rows[column].where(rows[column].notna(), None)
-            good, bad = Counter(values[y == 1]), Counter(values[y == 0])
-            n, m = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+            good, bad = Counter(), Counter()
+            for v, answer, w in zip(values, y, weight, strict=True):
+                (good if answer == 1 else bad)[v] += w
+            n, m = max(1, good.total()), max(1, bad.total())
             self.tables.append({v: float(np.log((good[v] + 2) / (n + 2)) - np.log((bad[v] + 2) / (m + 2))) for v in good.keys() | bad.keys()})
 
     def __call__(self, lang, source, n_chars) -> np.ndarray:
@@ -148,10 +153,13 @@ class Logistic:
 
 
 class Question:
-    """One answer from two co-trained views of labelled documents (known) and others (pool)."""
+    """One answer from two co-trained views of labelled documents (known) and others (pool). What a view is
+    taught weighs half as much as the known documents with that answer do on average."""
 
-    def __init__(self, known: list[np.ndarray], y: np.ndarray, aside: np.ndarray, pool: list[np.ndarray]):
-        fit = ~aside
+    def __init__(self, known: list[np.ndarray], y: np.ndarray, aside: np.ndarray, pool: list[np.ndarray], fit: np.ndarray | None = None, weight: np.ndarray | None = None):
+        fit = ~aside if fit is None else fit
+        weight = np.ones(len(y)) if weight is None else weight
+        half = {a: 0.5 * float(weight[fit & (y == a)].mean()) for a in (0.0, 1.0)}
         extra: list[dict[int, float]] = [{}, {}]
         n = len(pool[0])
         quota = max(1, int(SHARE * n))
@@ -161,7 +169,7 @@ class Question:
                 at = np.fromiter(extra[k].keys(), np.int64, len(extra[k]))
                 x = np.concatenate([known[k][fit], pool[k][at]]) if len(at) else known[k][fit]
                 label = np.concatenate([y[fit], np.fromiter(extra[k].values(), float, len(extra[k]))])
-                self.models.append(Logistic(x, label, np.concatenate([np.ones(int(fit.sum())), np.full(len(at), 0.5)])))
+                self.models.append(Logistic(x, label, np.concatenate([weight[fit], [half[a] for a in extra[k].values()]])))
             if turn == ROUNDS or not n:
                 break
             for k in (0, 1):  # each view teaches the other what it is sure of
@@ -171,8 +179,8 @@ class Question:
                     best = np.argsort(np.where(taught, 0.0, -sure), kind="stable")[:quota]
                     extra[1 - k].update((int(i), answer) for i in best if sure[i] >= SURE and not taught[i])
         logits = [self.models[k].logit(known[k][aside]) for k in (0, 1)]
-        self.calibration = [Logistic(s[:, None], y[aside]) for s in logits]
-        self.blend = Logistic(np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)]), y[aside])
+        self.calibration = [Logistic(s[:, None], y[aside], weight[aside]) for s in logits]
+        self.blend = Logistic(np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)]), y[aside], weight[aside])
 
     def __call__(self, views: list[np.ndarray]) -> np.ndarray:
         both = np.column_stack([c.logit(m.logit(v)[:, None]) for c, m, v in zip(self.calibration, self.models, views, strict=True)])
@@ -180,27 +188,41 @@ class Question:
 
 
 class Classifier:
-    """Both questions over shared views."""
-
-    def __init__(self, text: Text, sample: pd.DataFrame, answers: np.ndarray, pool: pd.DataFrame):
-        aside = np.arange(len(sample)) % 2 == 1  # half to fit, half aside
-        n = answers.shape[1]
-        mixed = [len(sample) > 0 and all(len(np.unique(answers[aside == k, i])) == 2 for k in (False, True)) for i in range(n)]
-        self.constant = [None if ok else float(round(answers[:, i].mean())) if len(sample) else 1.0 for i, ok in enumerate(mixed)]
-        if not any(mixed):
+    """Both questions over shared views. cells has the pair of answers of each document of the sample, and counts how many
+    documents there are with each pair."""
+
+    def __init__(self, text: Text, sample: pd.DataFrame, cells: np.ndarray, counts: np.ndarray, pool: pd.DataFrame):
+        pairs = np.array([[c // 2, c % 2] for c in range(4)], float)
+        n = pairs.shape[1]
+        share = [[counts[pairs[:, i] == a].sum() for a in (0, 1)] for i in range(n)]
+        self.constant = [None if min(s) > 0 else float(s[1] > 0 or s[0] == 0) for s in share]
+        if all(c is not None for c in self.constant):
             return
+        answers, drawn = pairs[cells], np.bincount(cells, minlength=4)
+        # half to fit, half aside, in turn along the pairs, neighbours of which share an answer
+        aside = np.zeros(len(cells), bool)
+        aside[np.argsort(np.array([0, 1, 3, 2])[cells], kind="stable")[1::2]] = True
         self.text = text
-        self.meta = [Meta(sample[~aside], answers[~aside, i]) for i in range(n)]
+        weight = (counts / np.maximum(1, drawn))[cells] / 2
+        sides = []
+        for i in range(n):
+            fit, kept = ~aside, aside.copy()
+            for a in (0, 1):
+                for side in (fit, kept):
+                    if not (side & (answers[:, i] == a)).any():
+                        side |= answers[:, i] == a
+            sides.append((fit, kept))
+        self.meta = [Meta(sample[sides[i][0]], answers[sides[i][0], i], weight[sides[i][0]]) for i in range(n)]
         known, others = self._views(sample), self._views(pool)
-        self.questions = [Question(known[i], answers[:, i], aside, others[i]) if ok else None for i, ok in enumerate(mixed)]
+        self.questions = [None if c is not None else Question(known[i], answers[:, i], sides[i][1], others[i], sides[i][0], weight) for i, c in enumerate(self.constant)]
 
     def _views(self, rows: pd.DataFrame) -> list[list[np.ndarray]]:
         """For each question, the features of both views."""
         text = [self.text(t) for t in rows["text"]]
         out = []
         for i, meta in enumerate(self.meta):
-            x = np.array([t[i] for t in text]).reshape(len(rows), -1)
-            out.append([x, np.array([meta(a, b, c) for a, b, c in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)]).reshape(len(rows), -1)])
+            x = np.array([t[i] for t in text]).reshape(len(rows), -1 if len(rows) else 0)
+            out.append([x, np.array([meta(a, b, c) for a, b, c in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)]).reshape(len(rows), -1 if len(rows) else 0)])
         return out
 
     def __call__(self, rows: pd.DataFrame) -> list[np.ndarray]:
@@ -226,23 +248,37 @@ def _odds(docs: DataFrame, marks: DataFrame) -> Text:
     return Text({bytes(r["word"]): [r["n"], r["good"], r["harmless"]] for r in top}, totals)
 
 
+def _quotas(have: list[int]) -> list[int]:
+    """LABELLED dealt out evenly over the pairs of answers; what one cannot use goes to the others."""
+    out, left = [0] * len(have), LABELLED
+    for rank, i in enumerate(sorted(range(len(have)), key=lambda i: have[i])):
+        out[i] = min(have[i], max(1, left // (len(have) - rank)))
+        left -= out[i]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """The classifier of quality and harmlessness: word counts over half of the labelled documents, models from a bounded
     sample of the other half."""
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    marks = marks.where(F.col("quality").isNotNull()).withColumn("_part", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(4)))
-    luck = F.xxhash64(F.lit(17), "doc_id")
-    chosen = marks.where("_part >= 2").orderBy(luck, "doc_id").limit(LABELLED).drop("_part")
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().join(marks.select("doc_id"), "doc_id", "left_anti").orderBy(luck, "doc_id").limit(POOL)
-    none = F.lit(None).cast("int")
-    wanted = chosen.unionByName(others.select("doc_id", none.alias("quality"), none.alias("toxic"))).withColumn("_luck", luck)
-    table = docs.select(*COLUMNS).join(F.broadcast(wanted), "doc_id").toArrow()  # at most LABELLED + POOL ids
+    marks = marks.where(F.col("quality").isNotNull()).withColumn("_cell", (F.col("quality") == 1).cast("int") * 2 + (F.col("toxic") == 0).cast("int"))
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().join(marks, "doc_id", "left")
+    ids = store(ids.withColumn("_part", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(4))).withColumn("_luck", F.xxhash64(F.lit(17), "doc_id")), "quality-ids")
+    marks = ids.where(F.col("_cell").isNotNull())
+    second = F.col("_part") >= 2
+    have = {r["_cell"]: (r["n"], r["m"]) for r in marks.groupBy("_cell").agg(F.count("*").alias("n"), F.count_if(second).alias("m")).collect()}
+    counts = np.array([have.get(c, (0, 0))[0] for c in range(4)], float)
+    wanted = ids.where(F.col("_cell").isNull()).orderBy("_luck", "doc_id").limit(POOL)
+    for cell, quota in zip(have, _quotas([m for _, m in have.values()]), strict=True):
+        for part, most in ((second, quota), (~second, FEW - have[cell][1])):
+            if most > 0:
+                wanted = wanted.unionByName(marks.where((F.col("_cell") == cell) & part).orderBy("_luck", "doc_id").limit(most))
+    table = docs.select(*COLUMNS).join(F.broadcast(wanted.select("doc_id", "_cell", "_luck")), "doc_id").toArrow()  # at most LABELLED + POOL ids, and a few
     rows = _frame({c: table.column(c).to_pylist() for c in table.column_names})
     rows = rows.sort_values(["_luck", "doc_id"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    known = rows["quality"].notna()
+    known = rows["_cell"].notna()
     sample, pool = rows[known].reset_index(drop=True), rows[~known].reset_index(drop=True)
-    answers = np.column_stack([sample["quality"].astype(float) == 1, sample["toxic"].astype(float) == 0]).astype(float)
-    return Classifier(_odds(docs, marks), sample, answers, pool)
+    return Classifier(_odds(docs, marks), sample, sample["_cell"].astype(int).to_numpy(), counts, pool)
 
 
 def score(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
