@@ -88,6 +88,27 @@ def test_chain_of_links(spark, monkeypatch):
     assert got(docs) == brute(docs.collect())
 
 
+def test_parcels_in_two_steps(spark, monkeypatch):
+    """Many shards, each block makes few parcels."""
+    monkeypatch.setattr(J, "FAN", 3)
+    monkeypatch.setattr(J, "SHARD_SHINGLES", 40)
+    monkeypatch.setattr(J, "BLOCK_BYTES", 3000)
+    docs = frame(spark, copies(4, 10, 60, 4, 4) + AWKWARD)
+    assert got(docs) == brute(docs.collect())
+
+
+@pytest.mark.parametrize("chunk", [10, 1000])
+def test_one_phrase_in_all_documents(spark, monkeypatch, chunk):
+    """Half of the documents are mostly the phrase, so that it stands in their prefixes; few are linked."""
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    rng = random.Random(8)
+    phrase = " ".join(f"p{k}" for k in range(30))
+    own = lambda n: " ".join(f"q{rng.randrange(10**9)}" for _ in range(n))
+    texts = [f"{own(rng.randrange(4))} {phrase} {own(rng.randrange(16))}" for _ in range(120)] + [f"{own(90)} {phrase}" for _ in range(120)]
+    docs = frame(spark, texts)
+    assert got(docs) == brute(docs.collect())
+
+
 def test_trie_join_against_all_pairs():
     import numpy as np
 
@@ -121,3 +142,20 @@ def test_one_of_each(spark):
     kept = J.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 5, 6, 7]
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, ["a b c d e f g"] * 3 + ["other words"])
+    for name in ("_id", "id", "rows", "class", "component_id", "n"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
+    assert sorted(r["component_id"] for r in J.op6(docs).collect()) == [0, 0, 0, 3]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"v{k}" for k in range(300_000))
+    rows = J.op6(frame(spark, [long, long + " more", "short text of a few words only"])).collect()
+    assert sorted((r["n_shingles"], r["component_id"]) for r in rows) == [(3, 2), (299_996, 0), (299_997, 0)]

@@ -11,37 +11,46 @@
    overlap that the remaining lengths could still give. First every class is joined in the one group of its
    commonest prefix shingle, in chunks of at most CHUNK; then, ROUNDS times, one member of each component is. This
    links copies at the cost of one pass each, whatever the size of their group, and leaves out nothing for good.
-4. Then the prefix shingles that still have classes of two components or more tie their classes together into families,
-   closed by label propagation, and every family is joined in full, by pairs of chunks where it is large. So a class
-   travels once, not once for each shingle. New links are closed over components in the same way.
+4. Then a prefix shingle that still has classes of two components or more is open. Shingles with the same holders (as
+   those of one passage are) count as one group, and groups that share classes make a family. Every family is joined in
+   full, so that a class travels once, not once for each shingle; only where many classes hang together by few groups, as
+   by a widespread phrase, each group is joined for itself instead, whichever moves less. A family or group of more than
+   CHUNK classes is cut by length into bands as wide as a link can reach, of which only neighbours meet, and those into
+   chunks. New links are closed over components in the same way.
 
 A link is only ever made after counting the overlap of the whole sets. A document without words has the empty set and its
 own id as component; with fewer than five words its sequence is its only shingle. Null texts count as empty; rows with
-equal ids keep their rows; a null id gets the smallest id of its component, null if there is none. An empty table gives
-an empty result. Only the id and text columns are read. Shingles are told apart by 64-bit hashes.
+equal ids keep their rows; a null id gets the smallest id of its component, null if there is none. Texts of any length
+are read whole: a longer one makes a larger block. A tie at exactly 75 % is a link. An empty table gives an empty
+result. Only the id and text columns are read. Shingles are told apart by 64-bit hashes.
+
+Blocks of documents send shingles to shards as parcels, one a shard. Beyond FAN shards they go in two steps, so that a
+block makes about the root of as many parcels and none gets small, however large the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small, store
-from tidemark.llm.tokens import Vocabulary, mixed, rows_of, words_of
+from tidemark.llm.shared import fresh, join_small, small, store
+from tidemark.llm.tokens import Vocabulary, mixed, release, rows_of, words_of
 
 SHINGLE = 5
-BLOCK_BYTES = 7_000_000
+BLOCK_BYTES = 4_000_000
 BLOCK_DOCS = 60_000
-SHARD_SHINGLES = 1_800_000
+SHARD_SHINGLES = 1_200_000
+FAN = 4096
 CHUNK = 1000
 ROUNDS = 2
 #: A shingle of that many classes of a block, and of one in SPREAD of them, may be one of the MOST that are known to all tasks.
 FREQUENT, SPREAD, MOST = 16, 1000, 65_536
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, OPEN_ROWS = 2_000_000, 200_000
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -91,8 +100,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tup
         if size > BLOCK_BYTES or len(held) >= BLOCK_DOCS:
             yield held
             held, size = [], 0
+            release()
     if held:
         yield held
+    release()
 
 
 def _once(name: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -125,9 +136,9 @@ _MEMBERS = ["doc_id", "n", "class", "item", "c"]
 class Frequent:
     """The most frequent shingles, known to all tasks: they need no shard to learn that they are shared."""
 
-    def __init__(self, counts: dict[int, int]):
-        self.items = np.array(sorted(counts), np.uint64)
-        self.ranks = np.array([int(np.log2(counts[k])) for k in sorted(counts)], np.uint8)
+    def __init__(self, items: np.ndarray, counts: np.ndarray):
+        order = np.argsort(items)
+        self.items, self.ranks = items[order], np.log2(counts[order]).astype(np.uint8)
 
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.items):
@@ -136,18 +147,49 @@ class Frequent:
         return at, self.items[at] == values
 
 
+Place = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+_KINDS = (("class", np.uint64), ("n", np.uint32), ("runs", np.uint32), ("value", np.uint64), ("rank", np.uint8))
+_PARCEL = "shard int, class binary, n binary, runs binary, value binary, rank binary"
+
+
+def _to_shards(shards: int) -> Place:
+    """Frequent shingles, which have a rank, go by class to shards from `shards` on, others by value."""
+    return lambda value, rank, name: np.where(rank > 0, np.uint64(shards) + name % np.uint64(shards), value % np.uint64(shards)).astype(np.int64)
+
+
+def _to_buckets(shards: int) -> Place:
+    return lambda value, rank, name: (mixed(name) % np.uint64(shards)).astype(np.int64)
+
+
+def _fan(places: int) -> int:
+    """How many parcels a block may make at once."""
+    return places if places <= FAN else math.isqrt(places - 1) + 1
+
+
+def _parcels(place: np.ndarray, name: np.ndarray, size: np.ndarray, owner: np.ndarray, value: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each place, of the values there and their owners (numbers of names, in ascending order)."""
+    order = np.argsort(place, kind="stable")
+    owner, value, place, rank = owner[order], value[order], place[order], rank[order]
+    bounds = np.flatnonzero(np.diff(place, prepend=-1, append=-2))
+    rows: dict[str, list] = {k: [] for k in ("shard", *(k for k, _ in _KINDS))}
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        starts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+        who = owner[a:b][starts]
+        runs = np.diff(np.append(starts, b - a)).astype(np.uint32)
+        for k, x in zip(rows, (int(place[a]), name[who].tobytes(), size[who].astype(np.uint32).tobytes(), runs.tobytes(), value[a:b].tobytes(), rank[a:b].tobytes()), strict=True):
+            rows[k].append(x)
+    columns = [pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in rows.items()]
+    for at in range(0, len(columns[0]), 500):
+        yield pa.RecordBatch.from_arrays([c.slice(at, 500) for c in columns], list(rows))
+
+
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([np.frombuffer(b, kind) for b in table.column(k).to_pylist()]) for k, kind in _KINDS}
+
+
 def _deal(shards: int, frequent: Frequent):
-    """Deals the shingles of each block's classes: frequent ones by class, to shards from `shards` on, others by value."""
-
-    def rows(shard, owner, value, rank, name, size):
-        order = np.argsort(shard, kind="stable")
-        owner, value, shard, rank = owner[order], value[order], shard[order], rank[order]
-        bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=2 * shards))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            who, runs = np.unique(owner[a:b], return_counts=True)
-            columns = [pa.array([int(shard[a])], pa.int32())]
-            columns += [pa.array([x.tobytes()]) for x in (name[who], size[who].astype(np.uint32), runs.astype(np.uint32), value[a:b], rank[a:b])]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "class", "n", "runs", "value", "rank"])
+    """Deals the shingles of each block's classes."""
+    place, fan = _to_shards(shards), _fan(2 * shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, "text"):
@@ -155,52 +197,63 @@ def _deal(shards: int, frequent: Frequent):
             mine = _once(name, size)[owner]
             owner, value = owner[mine], value[mine]
             at, known = frequent.find(value)
-            direct = shards + (name[owner[known]] % np.uint64(shards)).astype(np.int64)
-            yield from rows(direct, owner[known], value[known], frequent.ranks[at[known]], name, size)
-            owner, value = owner[~known], value[~known]
-            yield from rows((value % np.uint64(shards)).astype(np.int64), owner, value, np.zeros(len(value), np.uint8), name, size)
+            rank = np.zeros(len(value), np.uint8)
+            rank[known] = frequent.ranks[at[known]]
+            yield from _parcels(place(value, rank, name[owner]) % fan, name, size, owner, value, rank)
 
     return deal
 
 
-def _by_bucket(buckets: int, names: np.ndarray, size: np.ndarray, ends: np.ndarray, value: np.ndarray, rank: np.ndarray) -> pa.Table:
-    """A row for each bucket of classes, whose shingles lie between neighbouring ends."""
-    ends = ends.astype(np.int64)
-    bucket = (mixed(names) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    runs = np.diff(ends)[order]
-    place = np.repeat(ends[:-1][order] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-    value, rank, names, size, bucket = value[place], rank[place], names[order], size[order], bucket[order]
-    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-    stops = np.append(0, np.cumsum(runs))
-    cut = lambda x, on: pa.array([x[a:b].tobytes() for a, b in zip(on[:-1], on[1:], strict=True)], pa.binary())
-    columns = {"class": cut(names, bounds), "n": cut(size.astype(np.uint32), bounds), "runs": cut(runs.astype(np.uint32), bounds), "value": cut(value, stops[bounds]), "rank": cut(rank, stops[bounds])}
-    return pa.table({"bucket": pa.array(bucket[bounds[:-1]].astype(np.int32))} | columns)
+def _delivered(parcels: DataFrame, places: int, place: Place) -> DataFrame:
+    """Parcels at their places; those that are only known up to a bundle of places are opened and dealt again."""
+    if _fan(places) == places:
+        return parcels
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = _columns(pa.Table.from_batches(rows))
+            owner = np.repeat(np.arange(len(columns["class"])), columns["runs"])
+            to = place(columns["value"], columns["rank"], columns["class"][owner])
+            yield from _parcels(to, columns["class"], columns["n"], owner, columns["value"], columns["rank"])
+            release()
 
-_KINDS = (("class", np.uint64), ("n", np.uint32), ("runs", np.uint32), ("value", np.uint64), ("rank", np.uint8))
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                held.append(batch.slice(at, 100))
+                size += held[-1].nbytes
+                if size > 2 * BLOCK_BYTES:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(held)
 
-
-def _columns(table: pa.Table) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([np.frombuffer(b, kind) for b in table.column(k).to_pylist()]) for k, kind in _KINDS}
+    return parcels.repartition(_fan(places), "shard").mapInArrow(split, _PARCEL)
 
 
 def _share(shards: int):
+    place, fan = _to_buckets(shards), _fan(shards)
+
+    def sent(names, size, owner, value, rank) -> pa.Table:
+        out = pa.Table.from_batches(_parcels(place(value, rank, names[owner]) % fan, names, size, owner, value, rank), _PARCEL_TYPES)
+        release()
+        return out
+
     def share(table: pa.Table) -> pa.Table:
         """Of one shard, for each class the shingles that other classes have too, with the order of magnitude of how many."""
         columns = _columns(table)
         names, first, number = np.unique(columns["class"], return_index=True, return_inverse=True)
         size = columns["n"][first]
+        value, rank = columns["value"], columns["rank"]
         if table.column("shard")[0].as_py() >= shards:  # all are shared; of a class that several blocks have, the first counts
             keep = np.zeros(len(number), bool)
             keep[first] = True
             inside = np.repeat(keep, columns["runs"])
-            owner = np.repeat(number, columns["runs"])[inside]
-            value, rank = columns["value"][inside], columns["rank"][inside]
+            owner, value, rank = np.repeat(number, columns["runs"])[inside], value[inside], rank[inside]
             order = np.argsort(owner, kind="stable")
-            value, rank = value[order], rank[order]
-            return _by_bucket(shards, names, size, np.append(0, np.cumsum(columns["runs"][first])), value, rank)
-        owner, value = np.repeat(number, columns["runs"]), columns["value"]
+            return sent(names, size, owner[order], value[order], rank[order])
+        owner = np.repeat(number, columns["runs"]).astype(np.uint32)
+        del columns, number
         order = np.lexsort((owner, value))
         owner, value = owner[order], value[order]
         new = np.ones(len(value), bool)
@@ -214,13 +267,14 @@ def _share(shards: int):
         shared = often > 1
         owner, value, often = owner[shared], value[shared], often[shared]
         order = np.argsort(owner, kind="stable")
-        owner, value, rank = owner[order], value[order], np.log2(often[order]).astype(np.uint8)
-        who, at = np.unique(owner, return_index=True)
-        return _by_bucket(shards, names[who], size[who], np.append(at, len(owner)), value, rank)
+        return sent(names, size, owner[order], value[order], np.log2(often[order]).astype(np.uint8))
 
     return share
 
 
+_PARCEL_TYPES = pa.schema([("shard", pa.int32()), *[(k, pa.binary()) for k, _ in _KINDS]])
+
+
 def _gather(table: pa.Table) -> pa.Table:
     """Of one bucket, the classes of which three quarters are shared: their shared shingles, rarest first, and how many of
     them the prefix has; home is the prefix's last."""
@@ -232,7 +286,7 @@ def _gather(table: pa.Table) -> pa.Table:
     inside = able[owner]
     owner, value, rank = owner[inside], columns["value"][inside], columns["rank"][inside]
     order = np.lexsort((value, rank, owner))
-    owner, value = owner[order], value[order]
+    owner, value = owner[order].astype(np.int64), value[order]
     ends = np.searchsorted(owner, np.append(np.flatnonzero(able), len(names)))
     names, n = names[able], n[able]
     prefix = np.diff(ends) - (3 * n + 3) // 4 + 1
@@ -340,6 +394,7 @@ def _local(table: pa.Table) -> pa.Table:
     name = name[order]
     sets = [np.frombuffer(b, np.uint64)[::-1] for b in table.column("items").to_pylist()]
     forest, _ = trie_join([sets[i] for i in order], table.column("n").to_numpy()[order], np.arange(len(name)))
+    release()
     return pa.table({"class": pa.array(name), "root": pa.array(name[forest.root])})
 
 
@@ -378,13 +433,57 @@ def _close(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _families(groups: DataFrame) -> DataFrame:
+    """(group, class) with whole families in place of those groups that would move more rows by themselves."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("m"), F.min("class").alias("a"))
+    parts = F.ceil(F.col("m") / CHUNK)
+    sizes = store(sizes.withColumn("cost", F.col("m") * parts), "jaccard-sizes")
+    named = groups.join(sizes.select("group", "a"), "group")
+    family = store(_close(named.select("a", F.col("class").alias("b"))).select(F.col("a").alias("class"), F.col("label").alias("family")), "jaccard-families")
+    whole = family.groupBy("family").agg(F.count("*").alias("m"))
+    apart = sizes.join(family.select(F.col("class").alias("a"), "family"), "a").groupBy("family").agg(F.sum("cost").alias("cost"))
+    taken = store(whole.join(apart, "family").select("family", (F.col("m") * parts <= F.col("cost")).alias("whole")), "jaccard-taken")
+    chosen = family.join(taken, "family")
+    rest = chosen.where("NOT whole").select("class")
+    out = chosen.where("whole").select(F.col("family").alias("group"), "class")
+    return store(out.unionByName(groups.join(rest, "class", "left_semi")), "jaccard-joined")
+
+
+def _cells(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(group, i, j, side, class): where the classes of each group meet. A group of up to CHUNK is one cell. Larger ones
+    are cut into bands, so wide that links reach no further than to the next, and bands into chunks; a chunk meets itself,
+    the others of its band and those of the bands beside it. i and j name the chunks, side tells them apart."""
+    many = groups.groupBy("group").agg(F.count("*").alias("_m"))
+    one = groups.join(many.where(F.col("_m") <= CHUNK), "group")
+    out = one.select("group", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), "class")
+    many = store(many.where(F.col("_m") > CHUNK), "jaccard-large")
+    if many.isEmpty():
+        return out
+    band = F.floor(F.log("n") / math.log(4 / 3) + 1e-9).cast("long")
+    large = join_small(groups, many, "group", "left_semi", BROADCAST_ROWS).join(sizes, "class").select("group", "class", band.alias("band"))
+    parts = large.groupBy("group", "band").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("parts"))
+    parts = store(parts, "jaccard-bands")
+    below, above = (parts.select("group", (F.col("band") + by).alias("band"), F.col("parts").alias(k)) for by, k in ((1, "below"), (-1, "above")))
+    about = parts.join(below, ["group", "band"], "left").join(above, ["group", "band"], "left")
+    placed = join_small(large, about, ["group", "band"], "inner", BROADCAST_ROWS)
+    # chunks are numbered by band and part
+    wide = 1 << 32
+    chunk = F.col("band") * wide + F.pmod(F.xxhash64("class"), F.col("parts"))
+    row = lambda by, k: F.transform(F.sequence(F.lit(0).cast("long"), F.col(k) - 1), lambda p: (F.col("band") + by) * wide + p)
+    near = lambda by, k: F.when(F.col(k).isNotNull(), row(by, k)).otherwise(F.array().cast("array<bigint>"))
+    meets = placed.withColumn("mine", chunk).withColumn("other", F.explode(F.concat(row(0, "parts"), near(-1, "below"), near(1, "above"))))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return out.unionByName(meets.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "class"))
+
+
 def components(members: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
     """class and comp of the classes that are linked with others. members: (doc_id, n, class)."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, round(total / SHARD_SHINGLES))
-    dealt = docs.select("text").mapInArrow(_deal(shards, frequent), "shard int, class binary, n binary, runs binary, value binary, rank binary")
-    shared = dealt.groupBy("shard").applyInArrow(_share(shards), "bucket int, class binary, n binary, runs binary, value binary, rank binary")
-    sets = store(shared.groupBy("bucket").applyInArrow(_gather, "class long, n long, prefix long, home long, items binary"), "jaccard-sets")
+    dealt = _delivered(docs.select("text").mapInArrow(_deal(shards, frequent), _PARCEL), 2 * shards, _to_shards(shards))
+    # a partition a shard, however many there are
+    shared = _delivered(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_share(shards), _PARCEL), shards, _to_buckets(shards))
+    sets = store(shared.repartition(shards, "shard").groupBy("shard").applyInArrow(_gather, "class long, n long, prefix long, home long, items binary"), "jaccard-sets")
 
     comp = store(_homes(sets), "jaccard-roots").select("class", F.col("root").alias("comp"))
     for _ in range(ROUNDS):
@@ -397,20 +496,16 @@ def components(members: DataFrame, docs: DataFrame, frequent: Frequent) -> DataF
     named = sets.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     items = named.select("class", "comp", "n", "prefix", "items").mapInArrow(_prefixes, "class long, comp long, item long")
     items = store(items, "jaccard-prefixes")
-    open_items = items.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("class").alias("a")).where("lo != hi")
-    stars = store(items.join(open_items.select("item", "a"), "item").select("a", F.col("class").alias("b")).distinct(), "jaccard-stars")
-    if stars.isEmpty():
+    # an open shingle's group is told by its holders; should two groups have one name, they are joined as one
+    holders = [F.count("*").alias("m"), F.min("class").alias("a"), F.max("class").alias("z"), F.bit_xor(F.xxhash64("class")).alias("x")]
+    open_items = items.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *holders).where("lo != hi")
+    open_items = store(open_items.select("item", F.xxhash64("m", "a", "z", "x").alias("group")), "jaccard-open")
+    if open_items.isEmpty():
         return comp
-    family = _close(stars).select(F.col("a").alias("class"), F.col("label").alias("family"))
-    parts = F.ceil(F.col("m") / CHUNK).cast("int").alias("parts")
-    sizes = family.groupBy("family").agg(F.count("*").alias("m")).select("family", parts)
-    placed = family.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pair = placed.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "class")
-    # a chunk meets itself once, and every other chunk once
-    side = F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("part")).alias("side")
-    full = pair.join(named.select("class", "comp", "n", "items"), "class").select("family", "i", "j", side, "class", "comp", "n", "items")
-    edges = store(full.groupBy("family", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "jaccard-edges")
+    groups = store(join_small(items.select("item", "class"), open_items, "item", "inner", OPEN_ROWS).select("group", "class").distinct(), "jaccard-groups")
+    cells = _cells(_families(groups), sets.select("class", "n"))
+    full = cells.join(named.select("class", "comp", "n", "items"), "class").select("group", "i", "j", "side", "class", "comp", "n", "items")
+    edges = store(full.groupBy("group", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "jaccard-edges")
     if edges.isEmpty():
         return comp
     label = _close(edges).select(F.col("a").alias("comp"), "label")
@@ -433,8 +528,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = store(docs.mapInArrow(_members, "doc_id long, n long, class long, item long, c long"), "jaccard-members")
     members = found.where("c IS NULL").select("doc_id", "n", "class")
-    often = found.where("c IS NOT NULL").groupBy("item").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "item").limit(MOST).collect()
-    comp = components(members, docs, Frequent({r["item"] % 2**64: r["c"] for r in often}))
+    often = found.where("c IS NOT NULL").groupBy("item").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "item").limit(MOST).toArrow()
+    comp = components(members, docs, Frequent(often.column("item").to_numpy().view(np.uint64), often.column("c").to_numpy()))
     # a class or component of one row is its own; only the others are joined
     per_class = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     named = per_class.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
@@ -451,14 +546,15 @@ def op6(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns. Rows that share that id stay unless
     their texts are equal; rows without an id cannot be told apart by one and stay."""
-    found = store(link(docs).select(F.col("doc_id").alias("_id"), "component_id").where("_id <=> component_id"), "jaccard-firsts")
-    ids = found.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("_rows"))
+    key = fresh(docs, "id")
+    found = store(link(docs).select("doc_id", "component_id").where("doc_id <=> component_id"), "jaccard-firsts")
+    ids = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"))
     ids = store(ids, "jaccard-ids")
 
     def of(chosen: DataFrame) -> DataFrame:
         """The rows with the chosen ids; the ids are broadcast while they are few, so that texts need not be shuffled."""
         right = F.broadcast(chosen) if small(chosen, BROADCAST_ROWS) else chosen
-        return docs.join(right, F.col("doc_id") == F.col("_id"), "left_semi")
+        return docs.join(right, docs["doc_id"] == right[key], "left_semi")
 
-    kept = of(ids.where("_rows = 1").select("_id")).unionByName(of(ids.where("_rows > 1").select("_id")).dropDuplicates(["doc_id", "text"]))
+    kept = of(ids.where("rows = 1").select(key)).unionByName(of(ids.where("rows > 1").select(key)).dropDuplicates(["doc_id", "text"]))
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

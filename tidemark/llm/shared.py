@@ -72,6 +72,9 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns cannot clash with those an operator adds."""
-    return df.select(*names)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name

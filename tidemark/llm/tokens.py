@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -9,6 +10,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+SLICE = 500
+#: Only the GNU C library has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text in order, A to Z lower-cased. bytes.split() cuts at exactly the six blanks of the contract and
@@ -41,9 +46,17 @@ class Vocabulary(dict):
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of the named columns."""
+    """Rows of the named columns, of which only a few are Python objects at a time."""
     for batch in batches:
-        yield from zip(*[batch.column(n).to_pylist() for n in names], strict=True)
+        for at in range(0, batch.num_rows, SLICE):
+            yield from zip(*[batch.column(n).slice(at, SLICE).to_pylist() for n in names], strict=True)
+
+
+def release() -> None:
+    """Give what has been freed back to the system: a worker lives on between tasks, and its peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
