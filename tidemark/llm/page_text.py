@@ -10,9 +10,13 @@ chosen part; the rest is written block by block. Marks do not hold on the page's
 an element with most of the page's words unless an <article>, <main> or <h1> stands apart from it; <main> ends those
 around it. A mark whose elements around labelled pages have more words of the content than others does not hold either.
 
+Where the chosen part lies in <article> or <main>, other such elements add their own best parts, so that a page with
+several of them, or with many tags in one, loses none.
+
 Scripts, styles, comments and the like have no tokens. Null and empty pages give an empty text, as do pages without
-positive words. Repeated rows are extracted one by one; an empty table gives an empty result. Only page_id, url and
-html are read. Among parts of equal sum the first and shortest is taken.
+positive words. Pages of any length and depth are read whole in linear time. Repeated rows and null ids are extracted one
+by one; an empty table gives an empty result. Only page_id, url and html are read, so other columns cannot clash. Among
+parts of equal sum the first and shortest is taken.
 """
 
 from __future__ import annotations
@@ -55,8 +59,10 @@ DEFAULTS = {"word": 1.0, "tag": -0.5, "title": -1.0}
 #: Boilerplate is left out of the output anyway; it costs this much a token, so that little of it cannot part an article.
 BOILERPLATE_COST = -0.05
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# A quote begins a value only after an equals sign, and only where another ends it.
+_TAIL = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)({_TAIL})(?:>|$)|([^<]+|<)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/=>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _SPACE = re.compile(r"[\x20\x09-\x0D\x85\xA0]+")
 _CLOSES = {"p": "p", "li": "li", "dd": "dd", "dt": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 
@@ -75,9 +81,10 @@ def _mark(name: str, attributes: str, content: bool) -> str:
     if name in BOILERPLATE or name == "header" and not content:
         return name
     for attribute, a, b, c in _ATTRIBUTE.findall(attributes):
-        for word in filter(None, map(_named, (a or b or c).split())):
-            if word in DISCUSSION or not (content and name == "section" and attribute.lower() == "id"):
-                return word
+        if (attribute := attribute.lower()) in ("class", "id", "role"):
+            for word in filter(None, map(_named, (a or b or c).split())):
+                if word in DISCUSSION or not (content and name == "section" and attribute == "id"):
+                    return word
     return ""
 
 
@@ -111,35 +118,42 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, tuple[str, ...], bool]]:
 
 def _walk(page: str, marked: list[tuple[str, int]]) -> Iterator[tuple[str, str, str, int, bool]]:
     """The tokens with the number of the marked element around each, 0 for none; adds the marked elements to marked."""
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    # open elements (name, marked element, inside content, context); blocks and by_name have their places in the stack
+    stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]
+    blocks: list[int] = []
+    by_name: dict[str, list[int]] = {}
+
+    def cut(level: int) -> None:
+        while len(stack) > level:
+            n = stack.pop()[0]
+            by_name[n].pop()
+            if n in BLOCKS:
+                blocks.pop()
+
     at = 0
     while m := _TOKEN.match(page, at):
         at = m.end()
         close, name, attributes, text = m.group(1, 2, 3, 4)
         if name is None and text is None:
             continue
-        _, noise, content = stack[-1]
+        _, noise, content, context = stack[-1]
         if text is not None:
-            context = next((n for n, _, _ in reversed(stack) if n in BLOCKS or n == "a"), "")
             yield "text", text, context, noise, content
             continue
         name = name.lower()
         kind = "block" if name in BLOCKS else "tag"
         if close:
-            level = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), None)
-            if level is not None and (kind == "block" or not any(n in BLOCKS for n, _, _ in stack[level + 1 :])):
-                del stack[level:]
+            level = by_name[name][-1] if by_name.get(name) else 0
+            if level and (kind == "block" or not blocks or blocks[-1] < level):
+                cut(level)
             yield kind, "/" + name, name, noise, content
             continue
-        if kind == "block":
+        if kind == "block" and blocks:
             # a block ends a paragraph that was left open; an item of its own kind ends the last item
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" or stack[i][0] == name and name in _CLOSES:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS and stack[i][0] not in ("p",):
-                    break
-            _, noise, content = stack[-1]
+            last = stack[blocks[-1]][0]
+            if last == "p" or last == name and name in _CLOSES:
+                cut(blocks[-1])
+                _, noise, content, context = stack[-1]
         if name == "main":
             noise = 0
         elif mark := _mark(name, attributes, content):
@@ -151,7 +165,10 @@ def _walk(page: str, marked: list[tuple[str, int]]) -> Iterator[tuple[str, str,
             end = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID:
-            stack.append((name, noise, content))
+            by_name.setdefault(name, []).append(len(stack))
+            if kind == "block":
+                blocks.append(len(stack))
+            stack.append((name, noise, content, name if kind == "block" or name == "a" else context))
 
 
 def _feature(kind: str, text: str, context: str) -> str:
@@ -203,30 +220,52 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """The content of a page."""
     if not page:
         return ""
-    stream = []
-    for kind, text, context, noise, _ in tokens(page):
+    stream, scores, within = [], [], []
+    for kind, text, context, noise, content in tokens(page):
         score = weight(weights, kind, text, context, noise)
-        stream.append((kind, text, _noisy(weights, noise), score * len(text.split()) if kind == "text" else score))
+        stream.append((kind, text, _noisy(weights, noise)))
+        scores.append(score * len(text.split()) if kind == "text" else score)
+        within.append(content)
+    begin, end = best_part(scores)
+    parts = [(begin, end)]
+    if any(within[begin:end]):
+        # what a page marks as content is not lost for the tags between its parts
+        for side in (range(begin), range(end, len(scores))):
+            runs = [i for i in side if within[i] and (not i or not within[i - 1] or i == side.start)]
+            for a in runs:
+                z = a
+                while z < side.stop and within[z]:
+                    z += 1
+                x, y = best_part(scores[a:z])
+                parts.append((a + x, a + y))
+    blocks: list[str] = []
+    for begin, end in sorted(parts):
+        held: list[str] = []
+        for kind, text, noise in stream[begin:end]:
+            if kind == "block":
+                blocks.append("".join(held))
+                held = []
+            elif kind == "text":
+                if not noise:
+                    held.append(entities.unescape(text))
+            elif text == "br":
+                held.append(" ")
+        blocks.append("".join(held))
+    clean = (_SPACE.sub(" ", b).strip() for b in blocks)
+    return "\n".join(b for b in clean if b)
+
+
+def best_part(scores: list[float]) -> tuple[int, int]:
+    """Where the contiguous part with the largest sum begins and ends, the first and shortest of equal ones; nothing if
+    no sum is positive."""
     best, begin, end, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (_, _, _, score) in enumerate(stream):
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += score
         if total > best + 1e-12:
             best, begin, end = total, start, i + 1
-    blocks, held = [], []
-    for kind, text, noise, _ in stream[begin:end]:
-        if kind == "block":
-            blocks.append("".join(held))
-            held = []
-        elif kind == "text":
-            if not noise:
-                held.append(entities.unescape(text))
-        elif text == "br":
-            held.append(" ")
-    blocks.append("".join(held))
-    clean = (_SPACE.sub(" ", b).strip() for b in blocks)
-    return "\n".join(b for b in clean if b)
+    return begin, end
 
 
 def fit(pages: DataFrame) -> dict[str, float]:
