@@ -6,9 +6,9 @@ counted in bands of diagonals that overlap by k, so that every such region lies
 bound are verified by alignment within the band, the item whole and the text's ends free. Texts and items are
 compared lower-cased and with single blanks for white space; positions count characters of that form.
 
-A match with k edits leaves all but k Q of an item's grams whole, so it has one of any k Q + 1 of them. The item's rarest
-ones in the benchmark are indexed and lead to the bands that are counted at all: grams that many items share are met
-only where an item has nothing rarer. Hits are taken in slices of at most SLICE, whatever the text and the benchmark.
+A match with k edits leaves all but k Q of an item's grams whole, so it has FIRST of any k Q + FIRST of them (or as many as
+the bound asks for). The item's rarest ones in the benchmark are indexed, and a band is counted in full only if it has
+FIRST of these: grams that many items share are met only where an item has nothing rarer. Hits are taken in slices of at most SLICE, whatever the text and the benchmark.
 
 Items of fewer than SHORT characters must be there without an edit and end at word ends; below Q characters an item is
 its own and only gram. Items with one text are searched once. A text that has an item at several places reports the one
@@ -39,6 +39,7 @@ from tidemark.llm.tokens import mixed, release
 Q = 10
 ERROR = 0.05
 SHORT = 25
+FIRST = 8
 BLOCK_CHARS = 4_000_000
 SLICE = 1_000_000
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, n, 2**64)) for n in (1, 2, 4)]
@@ -134,10 +135,12 @@ class Index:
         _, number, often = np.unique(hashes, return_inverse=True, return_counts=True)
         order = np.lexsort((place, often[number], owner))
         rank = np.arange(len(order)) - np.repeat(np.cumsum([0, *map(len, self.grams)])[:-1], [len(g) for g in self.grams])
-        rare = order[rank <= Q * self.edits[owner]]
+        self.bound = np.array([len(g) for g in self.grams], np.int64) - Q * self.edits
+        self.first = np.minimum(self.bound, FIRST)
+        rare = order[rank < (Q * self.edits + self.first)[owner]]
         rare = rare[np.lexsort((place[rare], owner[rare], hashes[rare]))]
         self.hashes, self.owner, self.place = hashes[rare], owner[rare], place[rare]
-        self.shift = np.uint64(64 - min(27, max(16, int(16 * len(rare)).bit_length())))
+        self.shift = np.uint64(64 - min(27, max(20, int(64 * len(rare)).bit_length())))
         self.table = np.zeros(1 << (64 - int(self.shift)), bool)
         self.table[(self.hashes >> self.shift).astype(np.int64)] = True
 
@@ -153,14 +156,16 @@ class Index:
                     yield item, start
 
     def _bands(self, h: np.ndarray) -> np.ndarray:
-        """item << 40 | band of the bands that have a rare gram, in ascending order; a band has k + 1 diagonals of its own
+        """item << 40 | band of the bands that have enough rare grams, in ascending order; a band has k + 1 diagonals of its own
         and the k before them. Diagonals are raised to be positive."""
         near = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
+        if not len(near):
+            return near
         first = np.searchsorted(self.hashes, h[near])
         often = np.searchsorted(self.hashes, h[near], side="right") - first
         upto = np.cumsum(often)
-        total = int(upto[-1]) if len(upto) else 0
-        keys = [np.zeros(0, np.int64)]
+        total = int(upto[-1])
+        keys, counts = np.zeros(0, np.int64), np.zeros(0)
         for low in range(0, total, SLICE):
             hit = np.arange(low, min(low + SLICE, total))
             k = np.searchsorted(upto, hit, side="right")
@@ -169,8 +174,9 @@ class Index:
             edits = self.edits[item]
             band = (near[k] - self.place[entry] + 2**31) // (edits + 1)
             both = np.concatenate([item << 40 | band, (item << 40 | band + 1)[edits > 0]])
-            keys = [np.unique(np.concatenate([*keys, both]))]
-        return keys[0]
+            keys, number = np.unique(np.concatenate([keys, both]), return_inverse=True)
+            counts = np.bincount(number, np.concatenate([counts, np.ones(len(both))]), minlength=len(keys))
+        return keys[counts >= self.first[keys >> 40]]
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of each item that the text has, at its best place."""
@@ -187,7 +193,7 @@ class Index:
                 continue  # nothing beats the first exact one
             k, own = int(self.edits[j]), self.grams[j]
             low, high = b * (k + 1) - k - 2**31, b * (k + 1) + k - 2**31
-            if self._shared(own, h, low, high) < len(own) - Q * k:
+            if self._shared(own, h, low, high) < self.bound[j]:
                 continue
             if not k:
                 end = low + len(self.items[j])
