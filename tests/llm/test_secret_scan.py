@@ -57,3 +57,31 @@ def test_linking(spark):
     ]
     got = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in secret_scan.op8(frame(spark, texts)).collect()}
     assert got == {0: ["weak_id", "weak_secret"], 1: [], 2: [], 3: ["weak_secret"], 4: [], 5: ["access", "weak_secret"], 6: ["weak_id"] * 3 + ["weak_secret"]}
+
+
+def test_planted_parts_at_table_size(spark):
+    """Parts planted in every tenth document of a whole table are linked there; a lone part never is."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    part = F.when(F.col("doc_id") % 10 == 0, " user: deploybot pwd: hunter2 ").when(F.col("doc_id") % 10 == 1, " pwd: hunter2 ").otherwise("")
+    before = {r["doc_id"]: r["n_linked"] for r in secret_scan.op8(docs).collect()}
+    after = {r["doc_id"]: r["n_linked"] for r in secret_scan.op8(docs.withColumn("text", F.concat("text", part))).collect()}
+    assert all(after[i] - before[i] == 2 for i in after if i % 10 == 0) and all(after[i] == before[i] for i in after if i % 10 > 1)
+    assert sum(after[i] - before[i] for i in after if i % 10 == 1) <= 0.1 * len(after) / 10
+
+
+def test_many_parts_in_one_text(spark):
+    """Parts far beyond one block are linked as in short texts, in time in proportion."""
+    import time
+
+    one = "token: abcdefgh1 user: deploybot pwd: hunter2 " + "filler " * 60
+    took = []
+    for n in (700, 7_000, 70_000):
+        began = time.time()
+        (row,) = secret_scan.op8(frame(spark, [one * n])).collect()
+        took.append(time.time() - began)
+        assert row["n_linked"] == 2 * n and row["n_assign"] == n
+        spans = row["spans"].split(",")
+        assert spans[-3:] == [f"{k}:{a + (n - 1) * len(one)}:{b + (n - 1) * len(one)}" for k, a, b in (("assign", 0, 16), ("weak_id", 17, 32), ("weak_secret", 33, 45))]
+    assert took[2] < 60

@@ -8,8 +8,9 @@ starts, forwards and backwards, which carries the nearest part of every role: a
 secret, strong or weak, lies within its scope, a weak secret when an identifier or an endpoint does. Endpoints only
 link. The join is inside the row, so a document's parts never meet another's and nothing is shuffled.
 
-Null texts count as empty, repeated rows keep their rows, an empty table gives an empty result, and only the id
-and text columns are read.
+Null texts count as empty, repeated rows and rows without an id keep their rows, an empty table gives an empty result, and
+only the id and text columns are read, so others cannot clash. Parts with one start are swept by rank, then end; a part at
+exactly SCOPE counts. Texts of any length are read whole, in time about linear in their parts.
 """
 
 from __future__ import annotations
@@ -72,28 +73,23 @@ def _role(s: Column) -> Column:
 
 def linked(base: Column, weak: Column, scope: int = SCOPE) -> Column:
     """The weak identifiers and secrets that have a complementary part within scope and do not meet a strong one."""
-    far = -(10**9)
+    strong = lambda p: p["kind"].isin(*KINDS)
 
     def sweep(parts: Column, forwards: bool) -> Column:
-        """For each part in the given order, the nearest id, secret and endpoint before it."""
+        """For each part, 1 if it has a partner before it, and 2 if a strong one overlaps it."""
+        sees = {r: (lambda p, r=r: F.when(_role(p) == r, p["end"] if forwards else -p["start"])) for r in ("id", "secret", "endpoint")}
 
-        def step(acc: Column, p: Column) -> Column:
-            edge = p["end"] if forwards else -p["start"]
-            role = _role(p)
-            near = {r: F.when(role == r, F.greatest(acc[r], edge)).otherwise(acc[r]).alias(r) for r in ("id", "secret", "endpoint")}
-            begin = p["start"] if forwards else -p["end"]
+        def emit(acc: Column, p: Column) -> Column:
+            role, begin = _role(p), p["start"] if forwards else -p["end"]
             close = lambda r: begin - acc[r] <= scope
             hit = F.when(role == "id", close("secret")).when(role == "secret", close("id") | close("endpoint")).otherwise(False)
-            found = F.when(hit & p["kind"].isin("weak_id", "weak_secret"), F.concat(acc["out"], F.array(p))).otherwise(acc["out"])
-            return F.struct(*near.values(), found.alias("out"))
+            return hit.cast("int") + 2 * S.meets(p, acc, forwards).cast("int")
 
-        start = F.struct(*[F.lit(far).alias(r) for r in ("id", "secret", "endpoint")], S.empty().alias("out"))
-        return F.aggregate(parts, start, step, lambda acc: acc["out"])
+        return S.scan(parts, sees | {"edge": S.edge(strong, forwards)}, emit)
 
     def join(parts: Column) -> Column:
-        both = F.array_distinct(F.concat(sweep(parts, True), sweep(F.reverse(parts), False)))
-        apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.filter(both, apart)
+        both = F.zip_with(sweep(parts, True), F.reverse(sweep(F.reverse(parts), False)), lambda a, b: a.bitwiseOR(b))
+        return let(both, lambda flags: F.filter(parts, lambda p, i: p["kind"].isin("weak_id", "weak_secret") & (F.get(flags, i) == 1)))
 
     return F.when(F.size(weak) == 0, S.empty()).otherwise(let(F.array_sort(F.concat(base, weak)), join))
 
