@@ -96,6 +96,51 @@ def test_one_person_one_address(spark):
     assert {r["doc_id"]: r["n_term"] for r in pii.op1(docs).collect()}[3] == 1
 
 
+def test_rows_without_an_id(spark):
+    """What a row reveals depends on its text alone, whatever its id."""
+    names = ["plain", "quiet", "other", "common", "simple", "round"]
+    texts = [f"{names[i % 6]} {names[i // 6 % 6]} hotline zone{i} +1 (234) 555-{1000 + i} {names[i // 2 % 6]}" for i in range(12)]
+    texts += [f"{names[i % 6]} {names[(i + 1) % 6]} nothing private" for i in range(40)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "call the hotline now", None, None, None), (3, "one more hotline", None, None, None), (3, "plain text", None, None, None)]
+    got = pii.op1(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["n_term"] for r in got if r["doc_id"] is None} == {None: 1}
+    assert sorted(r["n_term"] for r in got if r["doc_id"] == 3) == [0, 1, 2]
+    texts = [r["text"] for r in pii.sanitize(frame(spark, rows)).collect()]
+    assert not any("hotline" in t for t in texts) and "plain text" in texts
+
+
+def test_words_with_marks_and_digits(spark):
+    names = ["plain", "quiet", "other", "common", "simple", "round", "early"]
+    around = lambda i: f"{names[i % 7]} {names[i // 7 % 7]}"
+    texts = [f"{around(i)} O'Quimby-Hale (ACC-10442) \u5f20\u4f1f quimby@corp.example {around(i + 3)}" for i in range(40)] + [f"{around(i)} ACC-10443 nothing private" for i in range(80)]
+    terms, _ = pii.disclosing_terms(frame(spark, texts))
+    assert {r["term"] for r in terms.collect() if ":" in r["entity"]} == {"o'quimby-hale", "acc-10442", "\u5f20\u4f1f"}
+
+
+def test_planted_terms_at_table_size(spark):
+    """A name planted beside one address in many documents of a whole table is found there, and nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = docs.withColumn("text", F.when(F.col("doc_id") % 25 == 3, F.concat("text", *[F.concat(F.lit(" x"), F.substring(F.md5(F.concat("text", F.lit(k))), 1, 6)) for k in "abcdefgh"], F.lit(" Zebulonia zeb@corp.example"))).otherwise(F.col("text")))
+    planted = planted.withColumn("text", F.when(F.col("doc_id") % 250 == 4, F.concat("text", F.lit(" ask Zebulonia."))).otherwise(F.col("text")))
+    before = {r["doc_id"]: r["n_term"] for r in pii.op1(docs).collect()}
+    after = {r["doc_id"]: r["n_term"] for r in pii.op1(planted.where("text IS NOT NULL")).collect()}
+    assert all(after[i] == before[i] + (i % 25 == 3 or i % 250 == 4) for i in after)
+
+
+def test_many_identifiers_in_one_text(spark):
+    """Long texts take time in proportion."""
+    import time
+
+    one = "write to someone@corp.example or 10.0.0.1 now "
+    took = []
+    for n in (300, 3_000, 30_000):
+        began = time.time()
+        (row,) = pii.op1(frame(spark, [one * n])).collect()
+        took.append(time.time() - began)
+        assert row["n_email"] == row["n_ip"] == n
+    assert took[2] < 60
+
+
 def test_sanitize_keeps_columns_and_nulls(spark):
     docs = frame(spark, AWKWARD).withColumn("_base", F.lit("clash")).withColumn("_doc", F.lit(1)).withColumn("term", F.lit(2))
     out = pii.sanitize(docs)

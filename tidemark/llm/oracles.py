@@ -1,11 +1,26 @@
-"""op1 and op8 in DuckDB's SQL. Patterns lose their possessive quantifiers and look-behinds, which change no match."""
+"""op1 and op8 in DuckDB's SQL, with patterns and numbers of their own, so that a wrong one in an operator shows."""
 
 from __future__ import annotations
 
-import re
-
-from tidemark.llm import pii, secret_scan
-
+# The patterns of the contract, in a form without groups, and those of the weak parts of credentials.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+CARD = r"[0-9](?:[\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+KEY_ID = r"[A-Za-z0-9]{16,}"
+NAMED_ID = r"""(?i:user(?:name)?|login|account|client|tenant|access_key)(?i:[_-]?id)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+RUN = r"[A-Za-z0-9+/_-]{20,}"
+NAMED_SECRET = r"""(?i:pwd|passphrase|pass|auth|credential|private_key|signature)["']?\x20*[:=]\x20*["']?[^\x20\x09-\x0D"',;]{4,}"""
+URL = r"""(?i:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]{3,}"""
+NAMED_HOST = r"""(?i:host(?:name)?|endpoint|server|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,}"""
+WEAK = (
+    (3, "weak_id", KEY_ID, ("^[A-Z][A-Z0-9]+$", "[0-9]")), (3, "weak_id", NAMED_ID, ()),
+    (4, "weak_secret", RUN, ("[0-9]", "[A-Z]", "[a-z]")), (4, "weak_secret", NAMED_SECRET, ()),
+    (5, "endpoint", URL, ()), (5, "endpoint", NAMED_HOST, ()),
+)
+WINDOW, LEAST, GENERALISE, SCOPE = 64, 5, 0.85, 200
 WS = r"[\x20\x09-\x0D]"
 
 
@@ -13,15 +28,9 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _plain(regex: str) -> str:
-    """The pattern for a matcher without possessive quantifiers and look-behind."""
-    regex = regex.replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", "").replace("(?<![0-9])", "").replace("(?<![0-9a-f])", "")
-    return re.sub(r"([*+}])\+", r"\1", regex)
-
-
 def _find(name: str, regex: str, rank: int, kind: str, keep: str = "true", source: str = "docs") -> str:
     """Spans of one pattern: gaps between matches and the matches themselves add up to positions."""
-    r = _quote(_plain(regex))
+    r = _quote(regex)
     return f"""
 {name}_a AS (SELECT rid, string_split_regex(text, {r}) AS gaps, regexp_extract_all(text, {r}) AS hits FROM {source} WHERE regexp_matches(text, {r})),
 {name}_b AS (SELECT rid, unnest(hits) AS value, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM {name}_a),
@@ -53,55 +62,61 @@ _LUHN = f"""length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(rang
 _IP_OK = """len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255')) = 0"""
 
 
-def _term(word: str) -> str:
-    return f"regexp_replace(lower({word}), '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')"
+def _forms(word: str) -> str:
+    """Both terms of a word as a list, empty texts where there is none."""
+    letters = f"regexp_replace(lower({word}), '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')"
+    whole = f"regexp_replace(lower({word}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+    fits = f"regexp_matches({whole}, '\\p{{L}}') AND NOT contains({whole}, '@') AND (length({whole}) >= 3 OR regexp_full_match({whole}, '[^\\x00-\\x7F]{{2}}'))"
+    return f"[CASE WHEN regexp_full_match({letters}, '\\p{{L}}{{3,}}') THEN {letters} ELSE '' END, CASE WHEN {fits} THEN {whole} ELSE '' END]"
 
 
-def _words(column: str, keys: str, source: str) -> str:
-    return f"SELECT DISTINCT {keys}, {_term('w')} AS term FROM (SELECT {keys}, unnest(string_split_regex({column}, '{WS}+')) AS w FROM {source}) WHERE regexp_full_match({_term('w')}, '\\p{{L}}{{3,}}')"
+def _terms(column: str, keys: str, source: str) -> str:
+    """Distinct terms of each row; keys name the row."""
+    return f"SELECT DISTINCT {keys}, term FROM (SELECT {keys}, unnest({_forms('w')}) AS term FROM (SELECT {keys}, unnest(string_split_regex({column}, '{WS}+')) AS w FROM {source})) WHERE term <> ''"
 
 
-_W = pii.WINDOW
 OP1 = f"""WITH {_DOCS},
-{_find("email", pii.EMAIL, 0, "email")},
-{_find("ip", pii.IP, 1, "ip", _IP_OK)},
-{_find("card", pii.CARD, 2, "card", _LUHN)},
-{_find("phone", pii.PHONE, 3, "phone", f"length({_DIGITS}) BETWEEN 9 AND 15")},
+{_find("email", EMAIL, 0, "email")},
+{_find("ip", IP, 1, "ip", _IP_OK)},
+{_find("card", CARD, 2, "card", _LUHN)},
+{_find("phone", PHONE, 3, "phone", f"length({_DIGITS}) BETWEEN 9 AND 15")},
 base AS (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone),
-sides AS (SELECT b.rid, d.doc_id, b.kind AS entity, lower(b.value) AS value,
- CASE WHEN start > {_W} THEN regexp_replace(substr(d.text, start - {_W} + 1, {_W}), '^[^\\x20\\x09-\\x0D]*', '') ELSE substr(d.text, 1, start) END AS l,
- substr(d.text, stop + 1, {_W}) AS r FROM base b JOIN docs d USING (rid)),
-contexts AS (SELECT doc_id, entity, value, l || ' ' || CASE WHEN length(r) = {_W} THEN regexp_replace(r, '[^\\x20\\x09-\\x0D]*$', '') ELSE r END AS context FROM sides),
-near AS ({_words("context", "doc_id, entity, value", "contexts")}),
-candidates AS (SELECT entity, term, count(DISTINCT value) AS n_values, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-')) AS near FROM near GROUP BY ALL HAVING count(DISTINCT value) >= {pii.MIN_VALUES}),
-holders AS (SELECT entity, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-')) AS with_entity FROM contexts GROUP BY entity),
-terms_of AS ({_words("text", "rid", "docs")}),
+sides AS (SELECT b.rid, b.kind, lower(b.value) AS value,
+ CASE WHEN start > {WINDOW} THEN regexp_replace(substr(d.text, start - {WINDOW} + 1, {WINDOW}), '^[^\\x20\\x09-\\x0D]*', '') ELSE substr(d.text, 1, start) END AS l,
+ substr(d.text, stop + 1, {WINDOW}) AS r FROM base b JOIN docs d USING (rid)),
+contexts AS (SELECT row_number() OVER () AS cid, rid, kind, value, l || ' ' || CASE WHEN length(r) = {WINDOW} THEN regexp_replace(r, '[^\\x20\\x09-\\x0D]*$', '') ELSE r END AS context FROM sides),
+beside AS ({_terms("context", "cid, rid, kind, value", "contexts")}),
+shape AS (SELECT cid, string_agg(term, ' ' ORDER BY term) AS shape FROM beside GROUP BY cid),
+near AS (SELECT rid, kind AS entity, value AS by_what, term FROM beside UNION ALL SELECT rid, kind || ':' || value, shape, term FROM beside JOIN shape USING (cid)),
+candidates AS (SELECT entity, term, count(DISTINCT rid) AS near FROM near GROUP BY ALL HAVING count(DISTINCT by_what) >= {LEAST}),
+holders AS (SELECT entity, count(DISTINCT rid) AS with_entity FROM (SELECT kind AS entity, rid FROM contexts UNION ALL SELECT kind || ':' || value, rid FROM contexts) GROUP BY entity),
+terms_of AS ({_terms("text", "rid", "docs")}),
 df AS (SELECT term, count(*) AS df FROM terms_of WHERE term IN (SELECT term FROM candidates) GROUP BY term),
 scored AS (SELECT term, -log2(with_entity / (SELECT count(*) FROM docs)) AS ic, log2(near * CAST((SELECT count(*) FROM docs) AS DOUBLE) / (df * with_entity)) AS pmi
  FROM candidates JOIN df USING (term) JOIN holders USING (entity)),
-flagged AS (SELECT DISTINCT term FROM scored WHERE ic > 0 AND pmi / ic >= {pii.GENERALISE}),
+flagged AS (SELECT DISTINCT term FROM scored WHERE ic > 0 AND pmi / ic >= {GENERALISE}),
 wanted AS (SELECT DISTINCT d.rid, d.text FROM docs d JOIN terms_of t USING (rid) JOIN flagged USING (term)),
 {_find("word", r"[^\x20\x09-\x0D]+", 4, "term", source="wanted")},
-extra AS (SELECT w.* FROM word w JOIN flagged f ON f.term = {_term("w.value")} WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND w.start < b.stop)),
+extra AS (SELECT w.* FROM word w WHERE list_has_any({_forms("w.value")}, (SELECT list(term) FROM flagged)) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.start < w.stop AND w.start < b.stop)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-{_result(pii.KINDS, "count(*) FILTER (WHERE kind = 'term')", "n_term")}"""
+{_result(("email", "ip", "card", "phone"), "count(*) FILTER (WHERE kind = 'term')", "n_term")}"""
 
-_VALUE = _quote(_plain(secret_scan.VALUE))
+_VALUE = _quote(VALUE)
 _WEAK = [
     (f"weak{i}", _find(f"weak{i}", pattern, rank, kind, " AND ".join(f"regexp_matches(value, {_quote(t)})" for t in tests) or "true"))
-    for i, (rank, kind, pattern, tests) in enumerate(secret_scan.WEAK)
+    for i, (rank, kind, pattern, tests) in enumerate(WEAK)
 ]
-_ROLE = "CASE " + " ".join(f"WHEN kind = '{k}' THEN '{r}'" for k, r in secret_scan.ROLES.items()) + " END"
+_ROLE = "CASE WHEN kind IN ('assign', 'hex', 'weak_secret') THEN 'secret' WHEN kind IN ('access', 'weak_id') THEN 'id' ELSE 'endpoint' END"
 _ORDER = "PARTITION BY rid ORDER BY start, rank, stop, value"
 _BEFORE, _AFTER = f"({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", f"({_ORDER} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 
 
 def _close(role: str) -> str:
-    return f"(start - max(stop) FILTER (WHERE role = '{role}') OVER {_BEFORE} <= {secret_scan.SCOPE} OR min(start) FILTER (WHERE role = '{role}') OVER {_AFTER} - stop <= {secret_scan.SCOPE})"
+    return f"(start - max(stop) FILTER (WHERE role = '{role}') OVER {_BEFORE} <= {SCOPE} OR min(start) FILTER (WHERE role = '{role}') OVER {_AFTER} - stop <= {SCOPE})"
 
 
 OP8 = f"""WITH {_DOCS},
-{_find("assign", secret_scan.ASSIGN, 0, "assign", f"length(regexp_extract(value, {_VALUE}, 1)) >= 8")},
+{_find("assign", ASSIGN, 0, "assign", f"length(regexp_extract(value, {_VALUE}, 1)) >= 8")},
 {_find("access", r"AKIA[A-Z0-9]+", 1, "access", "length(value) >= 16")},
 {_find("hex", "[0-9a-f]+", 2, "hex", "length(value) >= 32")},
 {",".join(cte for _, cte in _WEAK)},
@@ -112,4 +127,4 @@ near AS (SELECT *, {_close("id")} AS by_id, {_close("secret")} AS by_secret, {_c
 extra AS (SELECT rid, start, rank, stop, kind, value FROM near n WHERE (kind = 'weak_id' AND by_secret OR kind = 'weak_secret' AND (coalesce(by_id, false) OR coalesce(by_endpoint, false)))
  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = n.rid AND b.start < n.stop AND n.start < b.stop)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-{_result(secret_scan.KINDS, "count(*) FILTER (WHERE starts_with(kind, 'weak_'))", "n_linked")}"""
+{_result(("assign", "access", "hex"), "count(*) FILTER (WHERE starts_with(kind, 'weak_'))", "n_linked")}"""

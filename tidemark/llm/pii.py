@@ -6,11 +6,14 @@ its pointwise mutual information with the entity as a share of the entity's info
 IC(entity), with probabilities from document frequencies over the whole corpus; it is 1 when the term never appears away
 from the entity. A kind supports a term that stands in the contexts of at least MIN_VALUES different identifiers, a value
 one that stands in at least MIN_CONTEXTS of its contexts with different terms. A supported term whose disclosure reaches
-GENERALISE is generalised, from REMOVE on removed, wherever it stands. Copies of a document share their identifiers and
-contexts, and so support a term once; near copies do so too where the words around the identifier are the same.
-
-Null texts count as empty. Repeated rows and repeated ids each keep their row; ids that share a number share their
-disclosing terms. An empty table gives an empty result. sanitize() carries the other columns
+GENERALISE is generalised, from REMOVE on removed, wherever it stands. A word between blanks stands for two terms, its
+letters without what is around them (zone7 for zone) and the whole word without marks around it (ACC-7, O'Neil).
+
+Copies of a document share their identifiers and contexts, and so support a term once; near copies do so too where the
+words around the identifier are the same. What a row reveals depends on nothing but its text: rows without an id and
+rows that share one are served like any other. Null texts count as empty and stay null.
+Repeated rows each keep their row. Of a word's two terms the stronger action holds; a span that meets an identifier gives
+way to it. Texts of any length are read whole. An empty table gives an empty result. sanitize() carries the other columns
 of the input in a struct, so their names cannot clash with those used inside.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import spans as S
-from tidemark.llm.shared import WS, join_small, let, small, store
+from tidemark.llm.shared import WS, join_small, let, store
 
 # Kinds in the order in which ties are listed, and their patterns. A possessive quantifier or a
 # look-behind matches what the plain pattern does and keeps long runs linear and free of recursion.
@@ -33,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WINDOW = 64
 MIN_VALUES, MIN_CONTEXTS = 5, 5
 GENERALISE, REMOVE = 0.85, 0.95
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_TERMS, IN_ROW = 1_000_000, 200_000, 2000
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 
 
@@ -72,34 +75,57 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _term(word: Column) -> Column:
-    """A word's term: lower case without marks around it; empty unless it has three letters or more and nothing else."""
-    bare = F.regexp_replace(F.lower(word), r"^[^\p{L}]++|[^\p{L}]++$", "")
-    return F.when(bare.rlike(r"^\p{L}{3,}$"), bare).otherwise("")
+def _forms(word: Column) -> Column:
+    """A word's terms, lower-cased: its letters, where it has three or more and nothing else between them, and the word
+    without marks around it, where it has a letter, three characters (two, if not ASCII) and is no address. Empty
+    where there is none."""
+    low = F.lower(word)
+    letters = F.regexp_replace(low, r"^[^\p{L}]++|[^\p{L}]++$", "")
+    whole = F.regexp_replace(low, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
+    fits = whole.rlike(r"\p{L}") & ~F.contains(whole, F.lit("@")) & ((F.length(whole) >= 3) | whole.rlike(r"^[^\x00-\x7F]{2}$"))
+    return F.array(F.when(letters.rlike(r"^\p{L}{3,}$"), letters).otherwise(""), F.when(fits, whole).otherwise(""))
 
 
 def _terms(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.transform(F.split(text, WS, -1), _term)), "")
+    return F.array_remove(F.array_distinct(F.flatten(F.transform(F.split(text, WS, -1), _forms))), "")
+
+
+def _key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(_doc, kind, value, context) of every identifier; a word cut by the window's edge is left out."""
-    hits = docs.withColumn("_s", base_spans(F.col("_text"))).where(F.size("_s") > 0).withColumn("_s", F.explode("_s"))
-    start, end = F.col("_s.start"), F.col("_s.end")
-    left = F.substring(F.col("_text"), F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW)))
-    right = F.substring(F.col("_text"), end + 1, F.lit(WINDOW))
-    left = F.when(start > WINDOW, F.regexp_replace(left, r"^[^\x20\x09-\x0D]*+", "")).otherwise(left)
-    right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"[^\x20\x09-\x0D]*$", "")).otherwise(right)
-    return hits.select("_doc", F.col("_s.kind").alias("kind"), F.lower(F.col("_s.value")).alias("value"), F.concat_ws(" ", left, right).alias("context"))
-
-
-def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(terms, hits): terms with entity, support, near, df, disclosure and action; hits, the terms of each document.
-
-    The corpus is read twice: for the contexts of identifiers, and for the document frequencies of the terms that
-    enough identifiers or contexts support. Only those terms are shuffled; they are broadcast while they are few."""
-    docs = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    contexts = store(_contexts(docs), "pii-contexts")
+    """(_doc, kind, value, context) of every identifier; a word cut by the window's edge is left out. Texts are cut once
+    for a block of identifiers, and do not travel with each of them."""
+
+    def beside(block: Column) -> Column:
+        low = F.greatest(F.get(block, F.lit(0))["start"] - WINDOW, F.lit(0))
+
+        def sides(raw: Column) -> Column:
+            def context(s: Column) -> Column:
+                start, end = s["start"], s["end"]
+                left = F.substring(raw, F.greatest(start - WINDOW, F.lit(0)) - low + 1, F.least(start, F.lit(WINDOW)))
+                right = F.substring(raw, end - low + 1, F.lit(WINDOW))
+                left = F.when(start > WINDOW, F.regexp_replace(left, r"^[^\x20\x09-\x0D]*+", "")).otherwise(left)
+                right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"[^\x20\x09-\x0D]*$", "")).otherwise(right)
+                return F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"), F.concat_ws(" ", left, right).alias("context"))
+
+            return F.transform(block, context)
+
+        return let(F.substring(F.col("_text"), low + 1, F.array_max(F.transform(block, lambda s: s["end"])) + WINDOW - low), sides)
+
+    hits = docs.withColumn("_s", base_spans(F.col("_text"))).where(F.size("_s") > 0)
+    return hits.select("_doc", F.explode(F.flatten(F.transform(S.blocks(F.col("_s")), beside))).alias("_c")).select("_doc", "_c.*")
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(terms, hits): terms with entity, support, near, df, disclosure and action; hits, the terms of each text, by _key.
+
+    The corpus is read for the contexts of identifiers and, if any term is supported, for the document frequencies of
+    those that are. Only these are shuffled; while they are few, texts are searched for them row by row."""
+    docs = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    contexts = store(_contexts(docs.withColumn("_doc", F.monotonically_increasing_id())), "pii-contexts")  # numbers of rows, fixed by being stored
     found_by = contexts.withColumn("_terms", F.array_sort(_terms(F.col("context"))))
     kind = F.struct(F.col("kind").alias("entity"), F.col("value").alias("by"), F.lit(MIN_VALUES).alias("least"))
     value = F.struct(F.concat_ws(":", "kind", "value").alias("entity"), F.xxhash64("_terms").cast("string").alias("by"), F.lit(MIN_CONTEXTS).alias("least"))
@@ -111,11 +137,16 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     candidates = store(support.join(n_near, ["entity", "term"]), "pii-candidates")
     holders = entities.select("entity", "_doc").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     with_entity = store(join_small(holders, candidates.select("entity").distinct(), "entity", "left_semi", BROADCAST_ROWS), "pii-entities")
-    total = docs.count()
 
-    every = docs.select("_doc", F.explode(_terms(F.col("_text"))).alias("term"))
-    wanted = candidates.select("term").distinct()
-    found = store(join_small(every, wanted, "term", "left_semi", BROADCAST_ROWS), "pii-found")
+    wanted = candidates.select("term").distinct().limit(IN_ROW + 1).collect()
+    terms_of, docs = _terms(F.col("_text")), docs.withColumn("_doc", _key(F.col("_text")))
+    if len(wanted) <= IN_ROW:  # few: each text keeps those it has
+        known = [r["term"] for r in wanted]
+        found = docs.select("_doc", F.explode(F.filter(terms_of, lambda t: t.isin(known))).alias("term")) if known else docs.select("_doc", F.lit("").alias("term")).limit(0)
+    else:
+        found = join_small(docs.select("_doc", F.explode(terms_of).alias("term")), candidates.select("term").distinct(), "term", "left_semi", BROADCAST_ROWS)
+    found = store(found, "pii-found")
+    total = docs.count() if wanted else 0
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     ic = -F.log2(F.col("with_entity") / F.lit(float(max(total, 1))))
     pmi = F.log2(F.col("near") * F.lit(float(max(total, 1))) / (F.col("df") * F.col("with_entity")))
@@ -129,24 +160,27 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Spans of the disclosing terms of a text that do not meet an identifier."""
-    known = S.find(text, r"[^\x20\x09-\x0D]++", 4, "term", lambda w: F.map_contains_key(terms, _term(w)))
-    named = F.transform(known, lambda s: S.span(s["start"], 4, s["end"], "term", F.element_at(terms, _term(s["value"]))))
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(named, apart)
+    of = lambda w: F.greatest(*[F.try_element_at(terms, F.get(_forms(w), F.lit(i))) for i in (0, 1)])
+    known = S.find(text, r"[^\x20\x09-\x0D]++", 4, "term", lambda w: of(w).isNotNull())
+    named = F.transform(known, lambda s: S.span(s["start"], 4, s["end"], "term", of(s["value"])))
+    return S.apart(base, named, lambda p: p["rank"] < 4)
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """A row per input row: _row (all its columns), _text, _base (spans of identifiers) and _spans (those and the
     disclosing terms')."""
-    _, hits = disclosing_terms(docs, id_col, text_col)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    _, hits = disclosing_terms(docs, text_col)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_base", base_spans(F.col("_text")))
-    rows = rows.join(F.broadcast(hits) if small(hits, BROADCAST_ROWS // 10) else hits, "_doc", "left")
+    weight = hits.agg(F.coalesce(F.sum(1 + F.size("_terms")), F.lit(0))).first()[0]
+    if not weight:
+        return rows.select("_row", "_text", "_base", F.col("_base").alias("_spans"))
+    rows = rows.withColumn("_doc", _key(F.col("_text"))).join(F.broadcast(hits) if weight <= BROADCAST_TERMS else hits, "_doc", "left")
     extra = F.when(F.col("_terms").isNotNull(), _term_spans(F.col("_text"), F.col("_terms"), F.col("_base"))).otherwise(S.empty())
     return rows.select("_row", "_text", "_base", S.ordered(F.col("_base"), extra).alias("_spans"))
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitize(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the same columns: identifiers masked, disclosing terms generalised to <TERM> or removed. A null text
     stays null."""
 
@@ -158,7 +192,7 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     text = F.col("_row").getField(text_col)
     clean = F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(S.replace(F.col("_text"), F.col("_spans"), mask))
-    return with_spans(docs, id_col, text_col).select(*[clean.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return with_spans(docs, text_col).select(*[clean.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:
