@@ -13,7 +13,7 @@ def test_forward_backward_against_enumeration():
     k, steps = 3, 4
     emit, move, start = rng.normal(size=(2, steps, k)), rng.normal(size=(k, k)), rng.normal(size=k)
     mask = np.array([[True] * 4, [True, True, False, False]])
-    post, pairs, _ = C.forward_backward(emit, move, start, mask)
+    post, pairs = C.forward_backward(emit, move, np.exp(start), mask)
     all_pairs = np.zeros((k, k))
     for c in range(2):
         n = int(mask[c].sum())
@@ -30,6 +30,81 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(pairs, all_pairs)
 
 
+def test_pieces_are_one_chain():
+    """Cut into pieces or not, the marginals are those of the whole chain."""
+    rng = np.random.default_rng(1)
+    k, steps = 3, 5
+    lengths = [1, 5, 6, 23, 10, 0]
+    move, start = rng.normal(size=(k, k)), rng.normal(size=k)
+    pieces = np.array([-(-n // steps) for n in lengths])
+    emit, mask, whole = np.zeros((pieces.sum(), steps, k)), np.zeros((pieces.sum(), steps), bool), []
+    for n, first in zip(lengths, np.cumsum(pieces) - pieces, strict=True):
+        one = rng.normal(size=(n, k)) * 3
+        for i in range(n):
+            emit[first + i // steps, i % steps], mask[first + i // steps, i % steps] = one[i], True
+        if n:
+            whole.append(C.forward_backward(one[None], move, np.exp(start), np.ones((1, n), bool))[0][0])
+    post = C.long_chains(emit, move, start, mask, pieces)
+    assert np.allclose(post[mask], np.concatenate(whole))
+
+
+def plain_scores(model, text):
+    """The share of each language in the marginals of a text's words, one word at a time."""
+    words = [w for w in (text or "").encode().lower().split()]
+    k, full = len(model.languages), 2**64
+    emissions = []
+    for w in words:
+        marked, total, n_grams = b"\x02" + w + b"\x03", np.zeros(k), 0
+        for n in range(1, C.GRAMS + 1):
+            for i in range(len(marked) - n + 1):
+                code = 0
+                for c in marked[i : i + n]:
+                    code = (code * 257 + c) % full
+                h = (code * 8 + n) % full
+                h ^= h >> 31
+                h = h * 0x9E3779B97F4A7C15 % full
+                h ^= h >> 29
+                total += model.grams[h >> (64 - C.BITS)]
+                n_grams += 1
+        letters = any(map(str.isalpha, w.decode()))
+        emissions.append((total / n_grams**0.5 + model.entries[model.lexicon.get(w, 0)]) * letters)
+    votes = [any(map(str.isalpha, w.decode())) for w in words]
+    forth, back = [], [np.zeros(k)]
+    for i, e in enumerate(emissions):
+        forth.append(e + (model.start if not i else np.logaddexp.reduce(forth[-1][:, None] + model.move, 0)))
+    for e in emissions[:0:-1]:
+        back.append(np.logaddexp.reduce(model.move + (e + back[-1])[None], 1))
+    post = [np.exp(f + b - np.logaddexp.reduce(f + b)) for f, b in zip(forth, reversed(back), strict=False)]
+    return sum((p for p, v in zip(post, votes, strict=True) if v), np.zeros(k))
+
+
+def test_whole_table_against_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = C.fit(docs)
+    got = {r["doc_id"]: r for r in C.op3(docs).collect()}
+    assert len(got) == len(corpus(sf))
+    for d in corpus(sf):
+        share, r = plain_scores(model, d["text"]), got[d["doc_id"]]
+        if not share.sum():
+            assert r["lang_pred"] == "und" and r["score"] == 0
+        else:
+            assert r["lang_pred"] == model.languages[share.argmax()] and abs(r["score"] - share.max() / share.sum()) < 1e-4
+
+
+def test_repeated_id_brings_few_rows(spark, monkeypatch):
+    """20,000 equal rows are one row of the sample; long texts bring their share of words from all over."""
+    seen = []
+    monkeypatch.setattr(C, "train", lambda texts, langs: seen.append((texts, langs)))
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = frame(spark, [(4, "the same text", "en", None, None)]).crossJoin(spark.range(20_000).select("id")).drop("id")
+    docs = docs.union(frame(spark, [(i, f"text {i}", "en", None, None) for i in range(500)] + [(7, long, "fr", None, None), (7, "again", "fr", None, None), (7, long, "fr", None, None)]))
+    C.fit(docs)
+    (texts, langs), = seen
+    assert langs.count("en") == C.PER_LANGUAGE and langs.count("fr") == 2
+    words = max(texts, key=len).split()
+    assert len(words) == C.WORDS and words[0] == "w0" and words[-1] == "w59999"
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in C.op3(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
@@ -60,6 +135,8 @@ def test_awkward(spark):
     assert [rows[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3
     assert rows[len(AWKWARD) + 2]["lang_pred"] == "und" and rows[len(AWKWARD) + 2]["score"] == 0
     assert rows[0]["lang_pred"] == "en"
+    clash = docs.selectExpr("*", "1 AS held_out", "2 AS score", "3 AS lang_pred", "4 AS _hash", "5 AS _rank")
+    assert sorted(map(str, C.op3(clash).collect())) == sorted(map(str, C.op3(docs).collect()))
     assert C.op3(frame(spark, [])).count() == 0
     assert {r["lang_pred"] for r in C.op3(frame(spark, ["some text"], lang=None)).collect()} == {"und"}
 

@@ -4,14 +4,18 @@ A word's emission scores come from hashed character n-grams of one to four bytes
 (those at a mark are its affixes) and from a lexicon, the words that training documents of a language have most
 often. Transitions between the languages of neighbouring words are learned with them, by the gradient of the
 conditional likelihood from forward-backward, on chains of which half are cut together from documents of several
-languages, as code-switched text is. A text is read whole, in chains of CHAIN words; forward-backward gives each word's
-distribution over languages. A text's language is the one with the largest sum over the words that have a letter, its
-score the share of that sum.
-
-The model is fitted on PER_LANGUAGE documents a language at most (those with the lowest hash of id, among documents with a
-text and a language outside fold 0); every document is labelled. Prediction reads the text alone. A null text or one
-without a letter is `und` with score 0, as is everything when no training documents exist. Ties go to the first
-language by code point. Repeated rows are labelled one by one; an empty table gives an empty result.
+languages, as code-switched text is. A text is one chain, whatever its length: it is cut into pieces of CHAIN words, of
+each of which the product of its transition and emission matrices is taken; messages run over these from piece to piece,
+and then within all pieces at once, which gives every word's exact distribution over languages. A text's language is the
+one with the largest sum over the words that have a letter, its score the share of that sum.
+
+The model is fitted on a bounded sample: of the LANGUAGES languages with the most training documents, PER_LANGUAGE
+documents each (those with the lowest hash of id, then of text, among documents with a text and a language outside fold
+0), and of a longer one WORDS words in pieces of CHAIN that are spread evenly over it. Rows that are equal count once in
+the sample, so a repeated id brings no more rows to the driver. Every document is labelled. Prediction reads the text
+alone. A null text or one without a letter is `und` with score 0, as is everything when no training documents exist. Ties
+go to the first language by code point. Repeated rows and rows without an id are labelled one by one; an empty table
+gives an empty result. Only doc_id, text and lang are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fold
-from tidemark.llm.tokens import mixed, words_of
+from tidemark.llm.shared import fold, let, words
+from tidemark.llm.tokens import mixed, release, words_of
 
 FOLDS = 5
-PER_LANGUAGE = 120
+PER_LANGUAGE, LANGUAGES, WORDS = 120, 256, 6400
 CHAIN = 64
 BITS = 15
 GRAMS = 4
@@ -56,21 +60,20 @@ def gram_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(hashes)
 
 
-def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals (chains, steps, languages) and expected transition counts of chains; emit holds log scores. Masked steps
-    lie at the end of their chain."""
+def forward_backward(emit: np.ndarray, move: np.ndarray, entry: np.ndarray, mask: np.ndarray, leave: np.ndarray | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (chains, steps, languages) and, with count, expected transition counts of chains. emit holds log scores;
+    entry has the weights before the first word, leave what lies behind the last one, for all chains or for each. Masked
+    steps lie at the end of their chain."""
     n, steps, k = emit.shape
     e = np.exp(emit - emit.max(2, keepdims=True))
     t = np.exp(move)
-    alpha, scale = np.empty_like(e), np.ones((n, steps))
-    a = np.exp(start - start.max()) * e[:, 0]
+    alpha = np.empty_like(e)
+    a = entry * e[:, 0]
     for i in range(steps):
         if i:
             a = np.where(mask[:, i, None], (alpha[:, i - 1] @ t) * e[:, i], alpha[:, i - 1])
-        scale[:, i] = a.sum(1)
-        a = a / scale[:, i, None]
-        alpha[:, i] = a
-    beta = np.ones((n, k))
+        alpha[:, i] = a / a.sum(1, keepdims=True)
+    beta = np.ones((n, k)) if leave is None else leave
     post = np.empty_like(e)
     pairs = np.zeros((k, k))
     for i in range(steps - 1, -1, -1):
@@ -79,10 +82,41 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, start: np.ndarray, mask
         if i:
             m = mask[:, i]
             below = e[:, i] * beta
-            q = alpha[:, i - 1][m][:, :, None] * t[None] * below[m][:, None, :]
-            pairs += (q / q.sum((1, 2), keepdims=True)).sum(0)
-            beta = np.where(m[:, None], (below @ t.T) / np.maximum(1e-300, (below @ t.T).sum(1, keepdims=True)) * k, beta)
-    return post, pairs, 0.0
+            if count:
+                q = alpha[:, i - 1][m][:, :, None] * t[None] * below[m][:, None, :]
+                pairs += (q / q.sum((1, 2), keepdims=True)).sum(0)
+            back = below @ t.T
+            beta = np.where(m[:, None], back / np.maximum(1e-300, back.sum(1, keepdims=True)) * k, beta)
+    return post, pairs
+
+
+def long_chains(emit: np.ndarray, move: np.ndarray, start: np.ndarray, mask: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Marginals of chains that are cut into pieces, pieces[i] of them in a row for the i-th chain."""
+    n, steps, k = emit.shape
+    last = np.cumsum(pieces)
+    first = last - pieces
+    opens = np.zeros(n, bool)
+    opens[first[pieces > 0]] = True
+    t, begin = np.exp(move), np.exp(start - start.max())
+    entry, leave, passed = np.tile(begin, (n, 1)), np.ones((n, k)), np.zeros((len(pieces), k))
+    if pieces.max(initial=0) > 1:
+        e = np.exp(emit - emit.max(2, keepdims=True))
+        whole = np.where(opens[:, None, None], np.eye(k), t) * e[:, 0][:, None, :]  # of all words of a piece
+        for i in range(1, steps):
+            m = mask[:, i, None, None]
+            whole = np.where(m, (whole @ t) * e[:, i][:, None, :], whole)
+            whole /= whole.max((1, 2), keepdims=True)
+        for j in range(int(pieces.max()) - 1):  # from piece to piece, of all chains at once
+            longer = pieces > j + 1
+            at = first[longer] + j
+            out = (entry[at][:, None, :] @ whole[at])[:, 0] if j == 0 else (passed[longer][:, None, :] @ whole[at])[:, 0]
+            passed = np.zeros((len(pieces), k))
+            passed[longer] = out / out.sum(1, keepdims=True)
+            entry[at + 1] = passed[longer] @ t
+            at = last[longer] - 1 - j
+            back = (whole[at] @ leave[at][:, :, None])[:, :, 0]
+            leave[at - 1] = back / back.sum(1, keepdims=True)
+    return forward_backward(emit, move, entry, mask, leave, False)[0]
 
 
 class Model:
@@ -155,7 +189,7 @@ def train(texts: list[str], langs: list[str]) -> Model | None:
     total = mask.sum()
     for epoch in range(1, EPOCHS + 1):
         scores = np.stack([np.bincount(owner, model.grams[gram, j], minlength=len(vocabulary)) for j in range(k)], 1) / size[:, None] + model.entries[entry]
-        post, pairs, _ = forward_backward(scores[ids], model.move, model.start, mask)
+        post, pairs = forward_backward(scores[ids], model.move, np.exp(model.start - model.start.max()), mask)
         error = (onehot[gold] - post) * mask[:, :, None]
         by_word = np.stack([np.bincount(ids.ravel(), error[:, :, j].ravel(), minlength=len(vocabulary)) for j in range(k)], 1)
         shared = by_word / size[:, None]
@@ -209,7 +243,7 @@ class Labeller:
         emit, mask = np.zeros((int(chains.sum()), CHAIN, k)), np.zeros((int(chains.sum()), CHAIN), bool)
         emit[row, column] = np.where(self.voting[ids, None], self.scores[ids], 0)
         mask[row, column] = True
-        post, _, _ = forward_backward(emit, self.model.move, self.model.start, mask)
+        post = long_chains(emit, self.model.move, self.model.start, mask, chains)
         return owner, post[row, column], self.voting[ids]
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -232,12 +266,30 @@ class Labeller:
         return [self.model.languages[b] if t > 0 else "und" for b, t in zip(best, total, strict=True)], np.minimum(score, 1.0)
 
 
+def _spread(text: Column) -> Column:
+    """The text's words; of a text with more than WORDS, pieces of CHAIN words that are spread evenly over it."""
+
+    def cut(w: Column) -> Column:
+        n = WORDS // CHAIN
+        piece = lambda i: F.slice(w, (1 + F.floor(i * (F.size(w) - CHAIN) / (n - 1))).cast("int"), CHAIN)
+        return F.when(F.size(w) <= WORDS, w).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), piece)))
+
+    return F.array_join(let(words(text), cut), " ")
+
+
 def fit(docs: DataFrame) -> Model | None:
-    """A model from a bounded sample: the limit for each language is applied in every partition before the shuffle."""
+    """A model from a bounded sample: the limit for each language is applied in every partition before the shuffle, and to
+    keys only; at most LANGUAGES * PER_LANGUAGE texts of WORDS words come to the driver."""
     known = docs.where((fold(F.col("doc_id"), FOLDS) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    luck = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_rank", F.row_number().over(luck)).where(F.col("_rank") <= PER_LANGUAGE)
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).toArrow()
+    key = ["doc_id", "lang", "_hash"]
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("_hash"))
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    luck = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "_hash")
+    # dense ranks: equal rows share one
+    chosen = known.select(*key).withColumn("_rank", F.dense_rank().over(luck)).where(F.col("_rank") <= PER_LANGUAGE).select(*key).distinct()
+    chosen = chosen.join(F.broadcast(most), "lang").select(*[F.col(c).alias("_" + c) for c in key])
+    match = known["doc_id"].eqNullSafe(chosen["_doc_id"]) & (known["lang"] == chosen["_lang"]) & (known["_hash"] == chosen["__hash"])
+    rows = known.join(F.broadcast(chosen), match, "left_semi").select(*key, _spread(F.col("text")).alias("text")).groupBy(*key).agg(F.min("text").alias("text")).toArrow()
     table = sorted(zip(*[rows.column(c).to_pylist() for c in ("doc_id", "lang", "text")], strict=True), key=str)
     return train([t for _, _, t in table], [x for _, x, _ in table])
 
@@ -254,6 +306,7 @@ def label(docs: DataFrame, model: Model | None) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 langs, score = labeller(texts) if labeller else (["und"] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
