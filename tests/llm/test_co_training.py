@@ -28,24 +28,62 @@ def test_logistic_recovers_weights():
     assert abs((m.beta[1:] / m.scale)[0] - 2) < 0.3 and abs((m.beta[1:] / m.scale)[1] + 1) < 0.3
 
 
-def test_views_teach_each_other(monkeypatch):
+def test_views_teach_each_other():
     """The view that can tell on labelled documents teaches the one that can tell on others only."""
     y = np.tile([1.0, 0.0], 50)
     aside = np.arange(100) // 2 % 2 == 1
     hidden = np.tile([1.0, 0.0], 200)
 
     def accuracy(seed, rounds):
-        monkeypatch.setattr(C, "ROUNDS", rounds)
         rng = np.random.default_rng(seed)
         known = [(y + rng.normal(scale=0.1, size=100))[:, None], rng.normal(size=(100, 1))]
         pool = [(hidden + rng.normal(scale=0.1, size=400))[:, None], (hidden * 2 + rng.normal(scale=0.3, size=400))[:, None]]
-        q = C.Question(known, y, aside, pool)
+        q = C.Question(known, y, aside)
+        for _ in range(rounds):
+            for k, p in enumerate(q.sure(pool)):
+                for answer, sure in ((1.0, p), (0.0, 1 - p)):
+                    q.taught[1 - k] += [(answer, pool[1 - k][i]) for i in np.flatnonzero(sure >= C.SURE)[:20]]
+            q.train()
         return ((q.models[1].logit(pool[1]) > 0) == (hidden == 1)).mean()
 
     taught, alone = ([accuracy(seed, rounds) for seed in range(8)] for rounds in (3, 0))
     assert np.mean(taught) > np.mean(alone) + 0.2 and np.mean(taught) > 0.85
 
 
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark, monkeypatch):
+    """Those of which a view is sure, wherever they stand; the surest of them, each taught once."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    seen = []
+    real = C._confident
+    monkeypatch.setattr(C, "_confident", lambda f, m, t: seen.append((f, {k: set(v) for k, v in t.items()}, [q.models for q in m.questions], real(f, m, t))) or seen[-1][-1])
+    model = C.fit(docs, labels)
+    assert len(seen) == C.ROUNDS
+    unlabelled = docs.join(labels.select("doc_id"), "doc_id", "left_anti").select(*C.COLUMNS).distinct().count()
+    cuts = np.cumsum([0, *[v.shape[1] for views in model.views(C._frame({c: [None] for c in C.COLUMNS})) for v in views]])
+    for features, taught, models, found in seen:
+        rows = features.collect()
+        assert len(rows) == unlabelled
+        keys, x = np.array([r["_key"] for r in rows]), np.array([np.frombuffer(bytes(r["_x"]), np.float32) for r in rows], float)
+        for i in (0, 1):
+            for k in (0, 1):
+                p = 1 / (1 + np.exp(-models[i][k].logit(x[:, cuts[2 * i + k] : cuts[2 * i + k + 1]])))
+                for answer, sure in ((1.0, p), (0.0, 1 - p)):
+                    want = [(-s, int(key)) for s, key in zip(sure, keys, strict=True) if s >= C.SURE and key not in taught.get((i, k), ())]
+                    want = {key for _, key in sorted(want)[: C._quota(len(rows))]}
+                    assert {key for a, b, c, key, _ in found if (a, b, c) == (i, k, answer)} == want
+
+
+def test_repeated_ids(spark):
+    """One id with many rows of two texts: the same model in every order, few rows at the driver."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'good' if i % 2 else 'bad'}{x}" for x in rng.integers(0, 30, 12)) for i in range(200)]
+    rows = frame(spark, texts + [(5, "first of two texts", "en", "a", 1), (5, "second of two texts", "en", "b", 2)] * 2000)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 7 == 0)) for i in range(150)], LABELS)
+    one, two = ({(r["doc_id"], r["score"]) for r in C.op9(d, labels).collect()} for d in (rows, rows.repartition(7, "text")))
+    assert one == two
+
+
 def test_rare_answer_is_learned(spark, monkeypatch):
     """Few toxic documents, of which a small sample by hash would hold none, or too few for both of its halves."""
     monkeypatch.setattr(C, "LABELLED", 40)

@@ -2,37 +2,45 @@
 
 The text view sees words (naive-Bayes log odds of words that MIN_DF documents or more have, summed up as means, counts and
 extremes) and plain measures of the text; the metadata view sees language, source and length. Two questions are
-asked, quality and toxicity, each with a logistic model a view. Over ROUNDS rounds each view labels the documents of an
-unlabelled pool of which it is most confident, and the other view trains on these too. Each view is then calibrated on
-labelled documents kept aside, and a logistic model over the calibrated views gives the probability of each answer.
-A document is kept when it is likelier good than not, and likelier harmless than not.
+asked, quality and toxicity, each with a logistic model a view. Over ROUNDS rounds each view labels all unlabelled
+documents; those of which it is sure (probability SURE) are pseudo-labels, and the other view trains on these too. Each
+view is then calibrated on labelled documents kept aside, and a logistic model over the calibrated views gives the
+probability of each answer. A document is kept when it is likelier good than not, and likelier harmless than not; both
+at exactly one half count as yes.
 
 The words' odds are counts over all labelled documents of one half, by hash of the id, kept for the LEXICON words that
-tell most; the models are fitted on at most LABELLED documents of the other half and a pool of at most POOL without a
-label, those with the lowest hash; every document is scored in full. The labelled ones are drawn from each pair of answers
-in equal numbers as far as there are, and split alike; pairs with fewer than FEW in that half take some of the first half
-too, and an answer that only one document gives stands on both sides. Each is weighted by the labelled documents it
-stands for, half of those with its pair, so that the pairs' shares are restored. Only where all labels of documents have one value (or there are none), the
-answer is that value (or good). Null texts count as empty, null metadata is a value of its own; repeated rows are scored one by one; an
-empty table gives an empty result. Columns other than the five of documents are carried by accept() and not read.
+tell most. The features of every unlabelled document are stored once, equal rows once, and scored in every round. The
+models are fitted on bounded samples of labelled rows: at most LABELLED documents of the other half, and of each view's
+pseudo-labels with each answer SHARE as many a round as there are unlabelled rows, at most TAUGHT, the surest. The labelled ones are drawn from each
+pair of answers in equal numbers as far as there are, and split alike; pairs with fewer than FEW in that half take some of
+the first half too, and an answer that only one document gives stands on both sides. Each is weighted by the labelled
+documents it stands for, half of those with its pair, so that the pairs' shares are restored. Only where all labels of
+documents have one value (or there are none), the answer is that value (or good).
+
+Null texts count as empty, null metadata is a value of its own. Texts of any length are scored in full. Repeated rows and
+rows without an id are scored one by one; of rows with one id the sample has one, the least by hash of the text and then
+by its columns, so reruns agree. An empty table gives an empty result. Columns other than the five of documents are
+carried by accept() and not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.shared import join_small, store
+from tidemark.llm.tokens import release
 
-LABELLED, POOL, FEW = 4000, 2000, 4
-ROUNDS, SHARE, SURE = 3, 0.05, 0.97
+LABELLED, TAUGHT, FEW = 4000, 100, 4
+ROUNDS, SHARE, SURE, BUCKETS = 3, 0.05, 0.97, 64
 MIN_DF, STRONG, LEXICON = 5, 2.5, 30_000
 FLUSH_WORDS, BROADCAST_ROWS = 200_000, 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -149,38 +157,41 @@ class Logistic:
                 break
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.beta[0] + ((x - self.mean) / self.scale) @ self.beta[1:], -30, 30)
+        # summed row by row, so that a row's score does not depend on its batch
+        return np.clip(self.beta[0] + ((x - self.mean) / self.scale * self.beta[1:]).sum(1), -30, 30)
 
 
 class Question:
-    """One answer from two co-trained views of labelled documents (known) and others (pool). What a view is
-    taught weighs half as much as the known documents with that answer do on average."""
-
-    def __init__(self, known: list[np.ndarray], y: np.ndarray, aside: np.ndarray, pool: list[np.ndarray], fit: np.ndarray | None = None, weight: np.ndarray | None = None):
-        fit = ~aside if fit is None else fit
-        weight = np.ones(len(y)) if weight is None else weight
-        half = {a: 0.5 * float(weight[fit & (y == a)].mean()) for a in (0.0, 1.0)}
-        extra: list[dict[int, float]] = [{}, {}]
-        n = len(pool[0])
-        quota = max(1, int(SHARE * n))
-        for turn in range(ROUNDS + 1):
-            self.models = []
-            for k in (0, 1):
-                at = np.fromiter(extra[k].keys(), np.int64, len(extra[k]))
-                x = np.concatenate([known[k][fit], pool[k][at]]) if len(at) else known[k][fit]
-                label = np.concatenate([y[fit], np.fromiter(extra[k].values(), float, len(extra[k]))])
-                self.models.append(Logistic(x, label, np.concatenate([weight[fit], [half[a] for a in extra[k].values()]])))
-            if turn == ROUNDS or not n:
-                break
-            for k in (0, 1):  # each view teaches the other what it is sure of
-                p = 1 / (1 + np.exp(-self.models[k].logit(pool[k])))
-                taught = np.isin(np.arange(n), list(extra[1 - k]))
-                for answer, sure in ((1.0, p), (0.0, 1 - p)):
-                    best = np.argsort(np.where(taught, 0.0, -sure), kind="stable")[:quota]
-                    extra[1 - k].update((int(i), answer) for i in best if sure[i] >= SURE and not taught[i])
-        logits = [self.models[k].logit(known[k][aside]) for k in (0, 1)]
-        self.calibration = [Logistic(s[:, None], y[aside], weight[aside]) for s in logits]
-        self.blend = Logistic(np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)]), y[aside], weight[aside])
+    """One answer from two co-trained views of labelled documents (known). What a view is taught weighs half as much as the
+    known documents with that answer do on average."""
+
+    def __init__(self, known: list[np.ndarray], y: np.ndarray, aside: np.ndarray, fit: np.ndarray | None = None, weight: np.ndarray | None = None):
+        self.known, self.y, self.aside = known, y, aside
+        self.fit = ~aside if fit is None else fit
+        self.weight = np.ones(len(y)) if weight is None else weight
+        self.taught: list[list[tuple[float, np.ndarray]]] = [[], []]
+        self.train()
+
+    def train(self) -> None:
+        """Both models on what is known and taught."""
+        y, weight = self.y[self.fit], self.weight[self.fit]
+        half = {a: 0.5 * float(weight[y == a].mean()) for a in (0.0, 1.0)}
+        self.models = []
+        for known, taught in zip(self.known, self.taught, strict=True):
+            more = [np.array(t) for t in zip(*taught, strict=True)] or [np.zeros(0), np.zeros((0, known.shape[1]))]
+            self.models.append(Logistic(np.concatenate([known[self.fit], more[1]]), np.concatenate([y, more[0]]), np.concatenate([weight, [half[a] for a in more[0]]])))
+
+    def sure(self, views: list[np.ndarray]) -> list[np.ndarray]:
+        """Each view's probability of yes."""
+        return [1 / (1 + np.exp(-m.logit(v))) for m, v in zip(self.models, views, strict=True)]
+
+    def calibrate(self) -> None:
+        """Calibration and blend of the trained views; the samples are not needed any more."""
+        y, weight = self.y[self.aside], self.weight[self.aside]
+        logits = [m.logit(v[self.aside]) for m, v in zip(self.models, self.known, strict=True)]
+        self.calibration = [Logistic(s[:, None], y, weight) for s in logits]
+        self.blend = Logistic(np.column_stack([c.logit(s[:, None]) for c, s in zip(self.calibration, logits, strict=True)]), y, weight)
+        del self.known, self.y, self.aside, self.fit, self.weight, self.taught
 
     def __call__(self, views: list[np.ndarray]) -> np.ndarray:
         both = np.column_stack([c.logit(m.logit(v)[:, None]) for c, m, v in zip(self.calibration, self.models, views, strict=True)])
@@ -191,7 +202,7 @@ class Classifier:
     """Both questions over shared views. cells has the pair of answers of each document of the sample, and counts how many
     documents there are with each pair."""
 
-    def __init__(self, text: Text, sample: pd.DataFrame, cells: np.ndarray, counts: np.ndarray, pool: pd.DataFrame):
+    def __init__(self, text: Text, sample: pd.DataFrame, cells: np.ndarray, counts: np.ndarray):
         pairs = np.array([[c // 2, c % 2] for c in range(4)], float)
         n = pairs.shape[1]
         share = [[counts[pairs[:, i] == a].sum() for a in (0, 1)] for i in range(n)]
@@ -213,10 +224,10 @@ class Classifier:
                         side |= answers[:, i] == a
             sides.append((fit, kept))
         self.meta = [Meta(sample[sides[i][0]], answers[sides[i][0], i], weight[sides[i][0]]) for i in range(n)]
-        known, others = self._views(sample), self._views(pool)
-        self.questions = [None if c is not None else Question(known[i], answers[:, i], sides[i][1], others[i], sides[i][0], weight) for i, c in enumerate(self.constant)]
+        known = self.views(sample)
+        self.questions = [None if c is not None else Question(known[i], answers[:, i], sides[i][1], sides[i][0], weight) for i, c in enumerate(self.constant)]
 
-    def _views(self, rows: pd.DataFrame) -> list[list[np.ndarray]]:
+    def views(self, rows: pd.DataFrame) -> list[list[np.ndarray]]:
         """For each question, the features of both views."""
         text = [self.text(t) for t in rows["text"]]
         out = []
@@ -226,7 +237,7 @@ class Classifier:
         return out
 
     def __call__(self, rows: pd.DataFrame) -> list[np.ndarray]:
-        views = self._views(rows) if any(c is None for c in self.constant) else None
+        views = self.views(rows) if any(c is None for c in self.constant) else None
         return [np.full(len(rows), c) if c is not None else self.questions[i](views[i]) for i, c in enumerate(self.constant)]
 
 
@@ -268,17 +279,92 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     second = F.col("_part") >= 2
     have = {r["_cell"]: (r["n"], r["m"]) for r in marks.groupBy("_cell").agg(F.count("*").alias("n"), F.count_if(second).alias("m")).collect()}
     counts = np.array([have.get(c, (0, 0))[0] for c in range(4)], float)
-    wanted = ids.where(F.col("_cell").isNull()).orderBy("_luck", "doc_id").limit(POOL)
+    drawn = []
     for cell, quota in zip(have, _quotas([m for _, m in have.values()]), strict=True):
         for part, most in ((second, quota), (~second, FEW - have[cell][1])):
             if most > 0:
-                wanted = wanted.unionByName(marks.where((F.col("_cell") == cell) & part).orderBy("_luck", "doc_id").limit(most))
-    table = docs.select(*COLUMNS).join(F.broadcast(wanted.select("doc_id", "_cell", "_luck")), "doc_id").toArrow()  # at most LABELLED + POOL ids, and a few
-    rows = _frame({c: table.column(c).to_pylist() for c in table.column_names})
-    rows = rows.sort_values(["_luck", "doc_id"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
-    known = rows["_cell"].notna()
-    sample, pool = rows[known].reset_index(drop=True), rows[~known].reset_index(drop=True)
-    return Classifier(_odds(docs, marks), sample, sample["_cell"].astype(int).to_numpy(), counts, pool)
+                drawn.append(marks.where((F.col("_cell") == cell) & part).orderBy("_luck", "doc_id").limit(most).select("doc_id", "_cell", "_luck"))
+    if not drawn:
+        return Classifier(None, pd.DataFrame(), np.zeros(0, int), counts)
+    wanted = reduce(DataFrame.unionByName, drawn)
+    row = F.struct(F.xxhash64("text").alias("h"), *COLUMNS[1:])
+    table = docs.select("doc_id", row.alias("row")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "_cell", "_luck").agg(F.min("row").alias("row"))
+    table = table.select("doc_id", "_cell", "_luck", "row.*").drop("h").toArrow()  # at most LABELLED rows and a few
+    sample = _frame({c: table.column(c).to_pylist() for c in table.column_names}).sort_values(["_luck", "doc_id"], kind="stable").reset_index(drop=True)
+    model = Classifier(_odds(docs, marks), sample, sample["_cell"].astype(int).to_numpy(), counts)
+    del table, sample
+    open_ = [q for q in getattr(model, "questions", ()) if q is not None]
+    if open_:
+        others = _features(join_small(docs.select(*COLUMNS), marks.select("doc_id"), "doc_id", "left_anti", BROADCAST_ROWS), model)
+        taught: dict[tuple[int, int], set[int]] = {}
+        for _ in range(ROUNDS):
+            for i, k, answer, key, x in _confident(others, model, taught):
+                model.questions[i].taught[1 - k].append((answer, x))
+                taught.setdefault((i, k), set()).add(key)
+            for q in open_:
+                q.train()
+        for q in open_:
+            q.calibrate()
+    release()
+    return model
+
+
+def _features(docs: DataFrame, model: Classifier) -> DataFrame:
+    """_key and _x, the features of all questions and views one after the other, of every different row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x = np.concatenate([v for views in shared.value.views(_frame({c: part.column(c).to_pylist() for c in COLUMNS})) for v in views], 1).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([r.tobytes() for r in x], pa.binary())], ["_key", "_x"])
+            release()
+
+    keyed = docs.withColumn("_key", F.xxhash64(F.lit(17), *COLUMNS)).mapInArrow(run, "_key long, _x binary")
+    return store(keyed.groupBy("_key").agg(F.min("_x").alias("_x")), "quality-features")
+
+
+def _quota(unlabelled: int) -> int:
+    """How many pseudo-labels with one answer a view may give in a round."""
+    return max(1, min(TAUGHT, int(SHARE * unlabelled)))
+
+
+def _confident(features: DataFrame, model: Classifier, taught: dict[tuple[int, int], set[int]]) -> list[tuple[int, int, float, int, np.ndarray]]:
+    """(question, view, answer, key, features for the other view) of pseudo-labels: of all documents of which the view is
+    sure and that it has not taught yet, the surest, by key where equally sure. Each partition gives its own surest, of which
+    buckets and then all are merged."""
+    quota = _quota(features.count())
+    questions = [(i, q.models) for i, q in enumerate(model.questions) if q is not None]
+    cuts = np.cumsum([0, *[v.shape[1] for views in model.views(_frame({c: [None] for c in COLUMNS})) for v in views]])
+    known = {slot: np.array(sorted(keys), np.int64) for slot, keys in taught.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int, float], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys = batch.column("_key").to_numpy()
+            x = np.frombuffer(b"".join(batch.column("_x").to_pylist()), np.float32).reshape(len(keys), -1)
+            for i, models in questions:
+                views = [x[:, cuts[2 * i + k] : cuts[2 * i + k + 1]] for k in (0, 1)]
+                for k in (0, 1):
+                    p = 1 / (1 + np.exp(-models[k].logit(views[k].astype(float))))
+                    new = ~np.isin(keys, known.get((i, k), ()))
+                    for answer, sure in ((1.0, p), (0.0, 1 - p)):
+                        at = np.flatnonzero(new & (sure >= SURE))
+                        have = best.get((i, k, answer), (keys[:0], p[:0], views[1 - k][:0]))
+                        have = tuple(np.concatenate([a, b]) for a, b in zip(have, (keys[at], sure[at], views[1 - k][at]), strict=True))
+                        first = np.lexsort((have[0], -have[1]))[:quota]
+                        best[i, k, answer] = tuple(a[first] for a in have)
+        for (i, k, answer), (keys, sure, x) in best.items():
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, k)), pa.array(np.full(n, answer)), pa.array(keys), pa.array(sure), pa.array([r.tobytes() for r in x], pa.binary())], ["i", "k", "answer", "key", "sure", "x"])
+
+    slot = ["i", "k", "answer"]
+    rows = features.mapInArrow(run, "i long, k long, answer double, key long, sure double, x binary").withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
+    for by in ([*slot, "bucket"], slot):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sure"), "key"))).where(F.col("rank") <= quota).drop("rank")
+    found = rows.select(*slot, "key", "x").collect()  # at most the quota a slot, of which there are eight
+    return [(r["i"], r["k"], r["answer"], r["key"], np.frombuffer(bytes(r["x"]), np.float32).astype(float)) for r in sorted(found, key=lambda r: tuple(r)[:4])]
 
 
 def score(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
@@ -293,6 +379,7 @@ def score(docs: DataFrame, model: Classifier, carry: bool = False) -> DataFrame:
                 s = np.minimum(p, q)
                 own = part.columns if carry else [part.column("doc_id")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array(q), pa.array(s), pa.array(s >= 0.5)], [*(part.schema.names if carry else ["doc_id"]), *ADDED])
+            release()
 
     added = [T.StructField(k, T.BooleanType() if k == ADDED[-1] else T.DoubleType()) for k in ADDED]
     own = list(docs.schema.fields) if carry else [docs.schema["doc_id"]]
