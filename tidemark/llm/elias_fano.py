@@ -1,44 +1,100 @@
-"""Elias-Fano coding of monotone sequences, and a two-level n-gram trie on top of it, in memory-mapped files."""
+"""Elias-Fano coding of monotone sequences, and a two-level n-gram trie on top of it, in one mapped piece of memory.
+
+Nothing is decoded as a whole: elements are read by select on the high bits, found by the bucket that their high part
+names and a search of the low parts in it.
+"""
 
 from __future__ import annotations
 
-import os
+import mmap
 
 import numpy as np
 
+#: Queries are answered so many at a time, so that what they need beside the coded levels is bounded.
+SLICE = 200_000
+
+
+def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the rank-th set bit of each 64-bit word."""
+    place, rank = np.zeros(len(words), np.uint64), rank.astype(np.uint64)
+    for half in (32, 16, 8, 4, 2, 1):
+        count = np.bitwise_count((words >> place) & np.uint64((1 << half) - 1)).astype(np.uint64)
+        beyond = rank >= count
+        rank = rank - np.where(beyond, count, 0).astype(np.uint64)
+        place = place + np.where(beyond, half, 0).astype(np.uint64)
+    return place.astype(np.int64)
+
 
 class EliasFano:
-    """A monotone sequence of unsigned 64-bit numbers: the low bytes as they are, the high parts in unary."""
+    """A monotone sequence of unsigned 64-bit numbers: the low parts in whole bytes, the high parts in unary, with the
+    number of ones before each 64 bits as the directory of select."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, n: int):
-        self.low, self.high, self.n = low, high, n
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.low, self.high, self.ones = low, high, ones
+        self.n, self.width = low.shape[0], low.shape[1]
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.uint64)
+        values = np.ascontiguousarray(values, np.uint64)
         n = len(values)
-        if n == 0:
-            return cls(np.zeros((0, 0), np.uint8), np.zeros(0, np.uint8), 0)
-        universe = int(values[-1]) + 1
-        width = (max(0, (universe // n).bit_length() - 1) + 7) // 8  # low bits, in whole bytes
+        universe = int(values[-1]) + 1 if n else 1
+        width = min(7, (max(0, (universe // max(1, n)).bit_length() - 1) + 7) // 8)
         low = values.view(np.uint8).reshape(n, 8)[:, :width].copy()
-        parts = (values >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, np.int64)
-        bits = np.zeros(int(parts[-1]) + n, np.uint8)
+        parts = (values >> np.uint64(8 * width)).astype(np.int64)
+        size = (int(parts[-1]) if n else 0) + n + 1  # a zero ends every part, the last too
+        bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[parts + np.arange(n)] = 1
-        return cls(low, np.packbits(bits), n)
-
-    def decode(self) -> np.ndarray:
-        if self.n == 0:
-            return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[: self.n]
-        width = self.low.shape[1]
-        full = np.zeros((self.n, 8), np.uint8)
-        full[:, :width] = self.low
-        out = full.view(np.uint64).ravel()
-        return out if width == 8 else out | ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(8 * width))
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "n": np.array([self.n])}
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
+        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64) - np.bitwise_count(high)
+        return cls(low, high, ones)
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.low, self.high, self.ones]
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 8), np.uint8)
+        out[:, : self.width] = self.low[at]
+        return out.view(np.uint64).ravel()
+
+    def _one(self, rank: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.ones, rank, side="right") - 1
+        return 64 * word + _select_in_word(self.high[word], rank - self.ones[word])
+
+    def _zero(self, rank: np.ndarray) -> np.ndarray:
+        lo, hi = np.zeros(len(rank), np.int64), np.full(len(rank), len(self.high), np.int64)
+        while (hi - lo > 1).any():  # the last word with no more zeros before it; the directory counts ones
+            mid = (lo + hi) // 2
+            below = 64 * mid - self.ones[np.minimum(mid, len(self.ones) - 1)] <= rank
+            open_ = hi - lo > 1
+            lo, hi = np.where(open_ & below, mid, lo), np.where(open_ & ~below, mid, hi)
+        return 64 * lo + _select_in_word(~self.high[lo], rank - (64 * lo - self.ones[lo]))
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """The elements at the given places."""
+        return self._low(at) | ((self._one(at) - at).astype(np.uint64) << np.uint64(8 * self.width))
+
+    def find(self, wanted: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first element from begin to end that is not less, whether it is equal)."""
+        end = self.n if end is None else end
+        if not self.n or not len(wanted):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        part = wanted >> np.uint64(8 * self.width)
+        most = int(self._one(np.array([self.n - 1]))[0]) - self.n + 1
+        inside = part <= np.uint64(most)
+        part = np.minimum(part, np.uint64(most)).astype(np.int64)
+        first = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) - part + 1, 0)
+        last = self._zero(part) - part
+        a = np.where(inside, first, self.n)
+        a, stop = np.clip(a, begin, end), np.clip(np.where(inside, last, self.n), begin, end)
+        small = wanted & np.uint64((1 << (8 * self.width)) - 1)
+        b = stop.copy()
+        while (open_ := a < b).any():
+            mid = (a + b) // 2
+            less = self._low(np.minimum(mid, self.n - 1)) < small
+            a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
+        there = a < stop
+        there[there] = self._low(a[there]) == small[there]
+        return a, there
 
 
 def quantise(values: np.ndarray, bins: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
@@ -56,55 +112,58 @@ class Trie:
     """Words, and below each the words that stand before it, with a quantised number for each node.
 
     keys: hashes of the words; contexts: hashes of the words before; pointers: where each word's nodes begin; below: the
-    nodes' context numbers, each word's raised by what the words before reach, so that the whole level is monotone.
-    A lookup finds the word, then the successor of its raised context number within the word's range."""
+    nodes' context numbers, each word's raised by one more than the last of the word before it, so that the level is
+    monotone. A lookup finds the word, reads its pointers and what its numbers are raised by, and searches the successor
+    of the raised context number between the pointers."""
 
     LEVELS = ("keys", "contexts", "pointers", "below")
 
-    def __init__(self, levels: dict[str, EliasFano], codes: np.ndarray, centres: np.ndarray):
-        self.levels, self.codes, self.centres = levels, codes, centres
-        self._keys, self._contexts, self._pointers, self._below = (levels[k].decode() for k in self.LEVELS)
+    def __init__(self, levels: dict[str, EliasFano], codes: np.ndarray, centres: np.ndarray, size: int):
+        self.levels, self.codes, self.centres, self.size = levels, codes, centres, size
 
-    @staticmethod
-    def build(word: np.ndarray, before: np.ndarray, value: np.ndarray, path: str) -> None:
-        """Write the trie of distinct (word, before) pairs, sorted by both, with a value each, into the folder path."""
+    @classmethod
+    def build(cls, word: np.ndarray, before: np.ndarray, value: np.ndarray) -> Trie:
+        """The trie of distinct (word, before) pairs, sorted by both, with a value each."""
         keys, first = np.unique(word, return_index=True)
         contexts, number = np.unique(before, return_inverse=True)
         pointers = np.append(first, len(word)).astype(np.uint64)
-        span = np.uint64(max(1, len(contexts)))
-        below = number.astype(np.uint64) + np.repeat(np.arange(len(keys), dtype=np.uint64), np.diff(pointers.astype(np.int64))) * span
+        raised = np.zeros(len(keys), np.uint64)
+        if len(keys):
+            raised[1:] = np.cumsum(number[pointers[1:-1].astype(np.int64) - 1] + 1)
+        below = number.astype(np.uint64) + np.repeat(raised, np.diff(pointers.astype(np.int64)))
         codes, centres = quantise(value) if len(value) else (np.zeros(0, np.uint16), np.zeros(0))
-        for name, values in zip(Trie.LEVELS, (keys, contexts, pointers, below), strict=True):
-            for part, array in EliasFano.encode(values).arrays().items():
-                np.save(os.path.join(path, f"{name}.{part}.npy"), array)
-        np.save(os.path.join(path, "codes.npy"), codes)
-        np.save(os.path.join(path, "centres.npy"), centres)
+        arrays = [x for v in (keys, contexts, pointers, below) for x in EliasFano.encode(v).arrays()] + [codes, centres]
+        return cls._mapped(arrays)
 
     @classmethod
-    def open(cls, path: str) -> Trie:
-        load = lambda name: np.load(os.path.join(path, f"{name}.npy"), mmap_mode="r")
-        levels = {k: EliasFano(load(f"{k}.low"), load(f"{k}.high"), int(load(f"{k}.n")[0])) for k in cls.LEVELS}
-        return cls(levels, load("codes"), np.asarray(load("centres")))
-
-    @staticmethod
-    def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(sorted_values, wanted)
-        there = at < len(sorted_values)
-        there[there] = sorted_values[at[there]] == wanted[there]
-        return at, there
-
-    def lookup(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The values of the pairs; NaN where the trie has none."""
-        w, known = self._find(self._keys, word)
-        c, seen = self._find(self._contexts, before)
-        both = known & seen
+    def _mapped(cls, arrays: list[np.ndarray]) -> Trie:
+        """The arrays side by side in one anonymous memory map."""
+        starts = np.cumsum([0] + [-(-x.nbytes // 64) * 64 for x in arrays])
+        memory = mmap.mmap(-1, max(64, int(starts[-1])))
+        views = []
+        for x, start in zip(arrays, starts[:-1].tolist(), strict=True):
+            view = np.frombuffer(memory, x.dtype, x.size, start).reshape(x.shape)
+            view[...] = x
+            view.flags.writeable = False
+            views.append(view)
+        levels = {k: EliasFano(*views[3 * i : 3 * i + 3]) for i, k in enumerate(cls.LEVELS)}
+        return cls(levels, views[-2], views[-1], int(starts[-1]))
+
+    def lookup(self, words: np.ndarray, word: np.ndarray, contexts: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The values of the pairs (words[word], contexts[before]); NaN where the trie has none."""
+        keys, named, pointers, below = (self.levels[k] for k in self.LEVELS)
+        if not keys.n:
+            return np.full(len(word), np.nan)
+        at, known = keys.find(words)
+        at = np.where(known, at, 0)
+        begin, end = (pointers[at + i].astype(np.int64) for i in (0, 1))
+        raised = np.where(begin > 0, below[np.maximum(begin - 1, 0)] + np.uint64(1), np.uint64(0))
+        number, seen = named.find(contexts)
         out = np.full(len(word), np.nan)
-        if both.any():
+        for a in range(0, len(word), SLICE):
+            w, c = word[a : a + SLICE], before[a : a + SLICE]
+            both = np.flatnonzero(known[w] & seen[c])
             w, c = w[both], c[both]
-            raised = w.astype(np.uint64) * np.uint64(max(1, len(self._contexts))) + c.astype(np.uint64)
-            at, hit = self._find(self._below, raised)
-            hit &= (at >= self._pointers[w].astype(np.int64)) & (at < self._pointers[w + 1].astype(np.int64))
-            found = np.full(len(w), np.nan)
-            found[hit] = self.centres[np.asarray(self.codes)[at[hit]]]
-            out[both] = found
+            place, hit = below.find(raised[w] + number[c].astype(np.uint64), begin[w], end[w])
+            out[a + both[hit]] = self.centres[self.codes[place[hit]]]
         return out

@@ -4,9 +4,9 @@ p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with p(w) = (c(w) + 0.1) / (N + 0.1
 over the V training tokens and one unknown token. Its logarithm splits into a part that only the trie below w has,
 log(c(v w) + MU p(w)), and one that depends on v alone, -log(c(v) + MU). So every token goes to the shard of its
 own word with the word before it; there it adds the first part for itself and the second in its role as the context
-of the next token. A shard counts its training tokens, writes the trie's levels into files (monotone pointers,
-Elias-Fano levels, quantised log values), maps them into memory and looks up all its tokens by context-relative
-successor search.
+of the next token. A shard counts its training tokens, codes the trie's levels into one memory map (monotone pointers,
+Elias-Fano levels, quantised log values), and looks up all its tokens in the coded levels by context-relative successor
+search. Nothing is written to an executor's disk.
 
 A first pass counts words per block of documents and sums them: N, V, and the HEAVY most frequent words, a number that
 does not grow; any other word has at most N / HEAVY tokens. It also finds up to HEAVY likely frequent pairs, which a
@@ -14,15 +14,17 @@ second pass counts. With these counts known everywhere, frequent pairs are score
 and the frequent words' other tokens are dealt to shards by the pair, so that no word or pair makes a shard large. Tokens
 travel as blocks of documents' worth of arrays, each distinct hash once a block. Words are told apart by 64-bit hashes.
 
-The order is two: of the three-word sequences over four fifths occur once in the test corpora, and a third level would
-need about twice the disk. Null texts count as empty and consist of the end token alone. Rows with equal ids are
-scored one by one; a null id is hashed as an empty text. An empty table gives an empty result. Only doc_id and text are
-read.
+The order is two because the logarithm splits for pairs only: smoothing with three words needs the count of the middle
+word, which is known where that word is, in another shard, so that each token would travel once more.
+
+Null texts count as empty and consist of the end token alone. Texts of any length are scored whole; a longer one makes a
+larger block. Rows with equal ids are scored one by one; a null id is hashed as an empty text. Equal counts are told
+apart by hash where the most frequent are chosen. An empty table gives an empty result. Only doc_id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.elias_fano import Trie
 from tidemark.llm.shared import store
-from tidemark.llm.tokens import Vocabulary, fold_of, mixed, rows_of, words_of
+from tidemark.llm.tokens import Vocabulary, fold_of, mixed, release, rows_of, words_of
 
 FOLDS = 10
 ALPHA = 0.1
@@ -42,7 +44,7 @@ HEAVY = 4096
 #: Hashes of the end token and of what stands before the first word; no word of a text is meant by them.
 END, START = 0x6F1D_5A3C_9B27_E481, 0x1B84_C7E2_36A9_5FD0
 BLOCK_BYTES = 8_000_000
-BLOCK_DOCS = 60_000
+BLOCK_DOCS = 32_000  # a number and a mark fit into 16 bits
 SHARD_TOKENS = 2_200_000
 FREQUENT = 16
 META, SUMS, TOKENS = 0, 1, 2
@@ -58,8 +60,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         if held > BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
             yield ids, texts
             ids, texts, held = [], [], 0
+            release()
     if ids:
         yield ids, texts
+    release()
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,10 +161,11 @@ class Frequent:
         return (count + ALPHA) / (self.total + ALPHA * (self.vocabulary + 1))
 
 
-def _sums(doc: np.ndarray, n: int, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
-    """Each document's sums; the score is no finer than its quantised parts."""
-    sums = [np.bincount(doc, x.astype(np.float64), minlength=n) for x in (score, base, known)]
-    return _pack(sums[0].astype(np.float32), sums[1], *_narrow(sums[2].astype(np.uint32)))
+def _sums(doc: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
+    """The sums of those documents that have tokens here."""
+    some = np.flatnonzero(np.bincount(doc))
+    sums = [np.bincount(doc, x.astype(np.float64))[some] for x in (score, base, known)]
+    return _pack(some.astype(np.uint16), sums[0], sums[1], *_narrow(sums[2].astype(np.uint32)))
 
 
 def _narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +194,8 @@ def _dealer(known: Frequent, shards: int):
         for serial, (ids, texts) in enumerate(_blocks(batches)):
             block = (part << 24) | serial
             hashes, token, before, lengths = _tokens(texts)
-            doc = np.repeat(np.arange(len(ids), dtype=np.uint16), lengths)
             train = _training(ids)
+            doc = np.repeat((np.arange(len(ids)) << 1 | train).astype(np.uint16), lengths)  # the lowest bit marks training documents
             meta = _pack(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), train.astype(np.uint8), lengths.astype(np.int64))
             yield row(block % shards, block, META, len(ids), meta)
 
@@ -202,7 +207,7 @@ def _dealer(known: Frequent, shards: int):
                 place, words = place[there], words[there]
                 count = known.word_counts[place]
                 score = np.log10(known.pair_counts[at[often]] + MU * known.p(count)) - _role(words == np.uint64(END), count)
-                yield row(block % shards, block, SUMS, len(ids), _sums(doc[often], len(ids), score, np.log10(count + ALPHA), count > 0))
+                yield row(block % shards, block, SUMS, len(ids), _sums(doc[often] >> 1, score, np.log10(count + ALPHA), count > 0))
                 token, before, doc = token[~often], before[~often], doc[~often]
             own = mixed(hashes)
             spread = _places(known.words, hashes)[1]
@@ -217,7 +222,7 @@ def _dealer(known: Frequent, shards: int):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 words, runs = np.unique(token[a:b], return_counts=True)
                 near, place = np.unique(before[a:b], return_inverse=True)
-                blob = _pack(hashes[words], runs.astype(np.uint32), hashes[near], place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), doc[a:b], np.packbits(train))
+                blob = _pack(hashes[words], runs.astype(np.uint32), hashes[near], place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), doc[a:b])
                 yield row(int(shard[a]), block, TOKENS, len(ids), blob)
 
     return deal
@@ -239,10 +244,9 @@ def _scorer(known: Frequent):
             if what != TOKENS:
                 put(b, n, what, blob)
                 continue
-            words, runs, near, place, doc, train = _unpack(blob, np.uint64, np.uint32, np.uint64, np.uint8, np.uint16, np.uint8)
+            words, runs, near, place, doc = _unpack(blob, np.uint64, np.uint32, np.uint64, np.uint8, np.uint16)
             place = place.reshape(4, -1).T.copy().view(np.uint32).ravel()
-            learns = np.unpackbits(train, count=n).astype(bool)[doc]
-            parts.append((b, n, np.repeat(words, runs), near[place], doc, learns))
+            parts.append((b, n, np.repeat(words, runs), near[place], doc >> 1, (doc & 1).astype(bool)))
         if parts:
             word, before, learns = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 5))
             parts = [(b, n, doc) for b, n, _, _, doc, _ in parts]
@@ -261,10 +265,11 @@ def _scorer(known: Frequent):
             often = np.diff(np.append(starts, len(w)))
             w, v = w[starts], v[starts]
             value = np.log10(often + MU * p[np.searchsorted(keys, w)])
-            with tempfile.TemporaryDirectory() as path:
-                Trie.build(w, v, value, path)
-                del w, v, value, order, often, starts, new
-                found = Trie.open(path).lookup(word, before)
+            trie = Trie.build(w, v, value)
+            del w, v, value, order, often, starts, new, word, learns
+            near, place = np.unique(before, return_inverse=True)
+            found = trie.lookup(keys, number, near, place.astype(np.int32))
+            del trie, before, near, place
             unseen = np.isnan(found)
             found[unseen] = np.log10(MU * p)[number[unseen]]
             found -= _role(keys == np.uint64(END), count)[number]
@@ -272,8 +277,9 @@ def _scorer(known: Frequent):
             a = 0
             for b, n, doc in parts:
                 z = a + len(doc)
-                put(b, n, SUMS, _sums(doc, n, found[a:z], base[a:z], seen[a:z]))
+                put(b, n, SUMS, _sums(doc, found[a:z], base[a:z], seen[a:z]))
                 a = z
+        release()
         return pa.table(out, schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())]))
 
     return score
@@ -291,10 +297,10 @@ def _adder(total: float, vocabulary: float, documents: float):
             if kind == META:
                 meta = _unpack(blob, np.int64, np.uint8, np.uint8, np.int64)
             else:
-                s, b, low, high = _unpack(blob, np.float32, np.float64, np.uint16, np.uint16)
-                score += s
-                base += b
-                known += low + (high.astype(np.int64) << 16)
+                some, s, b, low, high = _unpack(blob, np.uint16, np.float64, np.float64, np.uint16, np.uint16)
+                score[some] += s
+                base[some] += b
+                known[some] += low + (high.astype(np.int64) << 16)
         ids, there, train, tokens = meta
         return pa.table({
             "doc_id": pa.array(ids, mask=there == 0), "held_out": pa.array(train == 0), "n_tokens": pa.array(tokens), "n_known": pa.array(known),
@@ -326,6 +332,7 @@ def op2(docs: DataFrame) -> DataFrame:
     known, documents = statistics(docs)
     shards = max(1, round(known.total / SHARD_TOKENS))
     dealt = docs.mapInArrow(_dealer(known, shards), "shard int, block long, kind int, n long, data binary")
-    sums = dealt.groupBy("shard").applyInArrow(_scorer(known), "block long, n long, kind int, data binary")
+    # a partition a shard, and as many for the blocks
+    sums = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_scorer(known), "block long, n long, kind int, data binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.groupBy("block").applyInArrow(_adder(known.total, known.vocabulary, documents), schema)
+    return sums.repartition(shards, "block").groupBy("block").applyInArrow(_adder(known.total, known.vocabulary, documents), schema)
