@@ -95,3 +95,48 @@ def test_against_duckdb(spark, size):
     cursor = connection.execute(M.ORACLE)
     assert [d[0] for d in cursor.description] == ["doc_id", "size", "source_size", "target", "taken"]
     assert sorted(cursor.fetchall()) == sorted(map(tuple, M.op10(spark.read.parquet(docs)).collect()))
+
+
+def test_many_sources_without_one_task_for_all(spark):
+    """100,000 sources: the right targets, and no exchange into a single partition."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 100_000).alias("source"))
+    out = M.mix(docs)
+    rows = out.collect()
+    sizes = Counter()
+    for i in range(200_000):
+        sizes[f"s{i % 100_000}"] += i % 7
+    target = brute_targets(sizes)
+    assert len(rows) == 200_000 and all(abs(r["target"] - target[r["source"]]) < 1e-6 for r in rows)
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 2 * M.BLOCK for s, t in target.items())
+    plans = [out._jdf.queryExecution().executedPlan().toString(), M.ranked(docs.select("doc_id"), "doc_id")._jdf.queryExecution().executedPlan().toString()]
+    assert not any("SinglePartition" in p for p in plans)
+
+
+def test_ranked(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"))
+    got = sorted((r["x"], r["_rank"]) for r in M.ranked(rows, "x").collect())
+    assert [k for _, k in got] == list(range(1, 5001))
+    assert M.ranked(rows.limit(0), "x").count() == 0
+
+
+def test_mixed_carries_the_rows(spark):
+    """All columns and rows are there, with what mix() takes of them; repeats of one unit share its copies."""
+    docs = frame(spark, AWKWARD + [(5, f"text {i % 3} of one size", "en", "a", i) for i in range(30)]).selectExpr("*", "1 AS _row", "'x' AS taken", "2 AS _i")
+    rows, out = M.mix(docs).collect(), M.mixed(docs)
+    assert out.columns == [c for c in docs.columns if c != "taken"] + ["size", "source_size", "target", "taken"]
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["source_size"], r["target"], r["taken"])
+    assert Counter(map(key, rows)) == Counter(map(key, out.collect()))
+    assert Counter(str(r["text"]) for r in out.collect()) == Counter(str(r["text"]) for r in docs.collect())
+
+
+def test_repeats_beyond_one_array(spark, monkeypatch):
+    monkeypatch.setattr(M, "REPEATS", 7)
+    docs = frame(spark, [(5, "same words here", None, "hot", 0)] * 50 + [(6, "w " * 40, None, "cold", 0)])
+    check(M.op10(docs).collect(), docs.collect())
