@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import xxhash
+
 from tests.llm.fixtures import AWKWARD, corpus, frame
 from tidemark.llm import quality_rules as Q
 
@@ -66,5 +68,51 @@ def test_ratios(spark):
         assert abs(r["s"] - (sum(got[b] for b in r["g"]) / len(r["g"]) if r["g"] else 0)) < 1e-6
 
 
+def bucket(*words):
+    """The engine's seeded 64-bit hash of one or two words, counted again."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return (h - 2**64 if h >= 2**63 else h) % 10_000
+
+
+def brute_kept(docs, marks):
+    """(llr, kept) of every document by plain counting over the whole table."""
+    good = {m["doc_id"] for m in marks if m["quality"] == 1 and not m["toxic"]}
+    grams = []
+    for d in docs:
+        w = WORD.findall(d["text"] or "")
+        grams.append([bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])])
+    raw, target = Counter(), Counter()
+    for d, g in zip(docs, grams):
+        raw.update(g)
+        target.update(g if d["doc_id"] in good else [])
+    n, m = sum(raw.values()) + 10_000, sum(target.values()) + 10_000
+    ratio = {b: math.log((target[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in raw}
+    llr = [sum(ratio[b] for b in g) / len(g) if g else 0.0 for g in grams]
+    return [(x, not base(d["text"])["base_failed"] and x >= -0.06) for x, d in zip(llr, docs)]
+
+
+def test_whole_query_against_brute_force(spark, sf):
+    docs = corpus(sf)
+    got = {r["doc_id"]: r for r in Q.op4(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    for d, (llr, kept) in zip(docs, brute_kept(docs, corpus(sf, "labels")), strict=True):
+        r = got[d["doc_id"]]
+        assert abs(r["llr"] - llr) < 1e-6 and (r["kept"] == kept or abs(llr + 0.06) < 1e-6)
+
+
+def test_without_labels_the_base_rules_decide(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for marks in (labels(spark, []), labels(spark, [(1, 0, 0), (10**9, 1, 0), (None, 1, 0)])):
+        assert all(r["kept"] != r["base_failed"] and r["llr"] == 0 for r in Q.op4(docs, marks).collect())
+
+
+def test_clashing_columns_and_long_text(spark):
+    docs = frame(spark, AWKWARD + ["one two three four " * 50_000])
+    marks = labels(spark, [(7, 1, 0)])
+    clash = docs.selectExpr("*", "1 AS _words", "2 AS _id", "3 AS kept", "4 AS llr", "5 AS quality", "6 AS _t")
+    assert sorted(map(str, Q.op4(clash, marks).collect())) == sorted(map(str, Q.op4(docs, marks).collect()))
+
+
 def test_empty(spark):
     assert Q.op4(frame(spark, []), labels(spark, [])).count() == 0

@@ -6,9 +6,10 @@ documents). A document's score is the mean over its n-grams of log p_target - lo
 reaches THRESHOLD, a fixed number, so that every document is decided alike in every run. The base rules count symbols,
 repeated lines and repeated word windows and reject documents before the score is asked.
 
-A null text has no words and fails the base rules. Repeated rows are counted and decided row by row; an empty table
-gives an empty result; without labels the target equals the smoothing alone, all scores are 0 minus the raw
-model's and THRESHOLD still decides. Ids that are null match no label. Only the id and text columns are read.
+A null text has no words and fails the base rules. Texts of any length are counted whole. A score at THRESHOLD is kept.
+Repeated rows and rows without an id are counted and decided row by row; ids that are null match no label. Without a
+trusted document there is nothing to compare with: all ratios are 0 and the base rules alone decide. An empty table gives
+an empty result. Only the id and text columns are read, so others cannot clash. Repeated windows are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ THRESHOLD = -0.06
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-BROADCAST_ROWS = 2_000_000
+#: Labels are 8 bytes each; so many, about 50 MB as a hash table, may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def repeated_words(w: Column) -> Column:
@@ -81,7 +83,7 @@ def buckets(w: Column, n: int = BUCKETS) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = BUCKETS) -> list[float]:
     """log p_target - log p_raw of each bucket. trusted has the ids of the target's documents in id_col. The counts cover
-    all documents; one row a bucket comes to the driver, n in all."""
+    all documents; one row a bucket comes to the driver, n in all. Nothing is returned without a trusted n-gram."""
     flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     trusted = trusted.select(F.col(id_col).alias("_id"), F.lit(1).alias("_t")).where(F.col("_id").isNotNull()).distinct()
     flagged = join_small(flagged, trusted, "_id", "left", BROADCAST_ROWS)
@@ -91,6 +93,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     for r in counts:
         raw[r["_b"]] += r["raw"]
         target[r["_b"]] += r["target"]
+    if sum(target) == SMOOTH * n:
+        return []
     shift = math.log(sum(raw)) - math.log(sum(target))
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw, strict=True)]
 
@@ -98,6 +102,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 def llr(w: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the n-grams of the words; 0 without any. The table is one foldable literal of
     len(ratios) numbers."""
+    if not ratios:
+        return F.lit(0.0)
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
     total = lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     return let(buckets(w, len(ratios)), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(total(g) / F.size(g)))
@@ -112,7 +118,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ratios = log_ratios(docs, trusted_target(labels))
     out = base_rules(docs).withColumn("llr", llr(F.col("_words"), ratios))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("_words", "text")
+    return out.withColumn("kept", ~F.col("base_failed") & ((F.col("llr") >= THRESHOLD) | F.lit(not ratios))).drop("_words", "text")
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
