@@ -35,8 +35,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it."""
-    return mixing.mix(docs)
+    """Every document with all its columns and the words that the mix takes of it."""
+    return mixing.mixed(docs)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", leaks), ("PII", private), ("mixing", mixture)]
