@@ -87,3 +87,38 @@ def test_awkward(spark):
     by = {r["page_id"]: r["text"] for r in got if r["url"] is None}
     assert by[0] == by[1] == by[2] == "" and by[3] == "plain words only" and by[8] == "deep"
     assert P.op5(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+BODY = "<h1>Title of it</h1>" + "".join(f"<p>This is paragraph {i} of the article with several words in it.</p>" for i in range(6))
+TEXT = "\n".join(["Title of it", *(f"This is paragraph {i} of the article with several words in it." for i in range(6))])
+
+
+def test_pages_that_keep_their_article():
+    for page in (
+        f"<html><body class='home no-sidebar'><nav>a b c</nav><article>{BODY}</article></body></html>",
+        f"<html><body class='single menu-open'><article>{BODY}</article></body></html>",
+        f"<html><body><form><article>{BODY}</article></form></body></html>",
+        f"<html><body><article class='post has-comments'>{BODY}</article></body></html>",
+        f"<html><body><div class='article notice'>{BODY}</div></body></html>",
+        f"<html><body><div title=it's class=x>{BODY}</div></body></html>",
+        f"<html><body><div class=\"x\"\" id=a>{BODY}</div></body></html>",
+        f"<html><body><div class=\"x id=a>{BODY}</div></body></html>",
+        f"<html><body><div data-x=a=\"b'c class = 'y z'>{BODY}</div></body></html>",
+    ):
+        assert P.extract(page, {}) == TEXT, page[:80]
+
+
+def test_further_parts_of_the_content():
+    """Two articles far apart, or one with many tags in it, are whole; what stands between them is not taken."""
+    gap = "<hr><img><br>" * 40
+    assert P.extract(f"<body><article>{BODY}</article>{gap}<nav>menu words here</nav>{gap}<article>{BODY}</article></body>", {}) == TEXT + "\n" + TEXT
+    assert P.extract(f"<body><main>{BODY}{gap}<p>The end of it.</p></main><div class=footer>legal words</div></body>", {}) == TEXT + "\nThe end of it."
+
+
+def test_linear_time():
+    import time
+
+    for part in ("<b>x", "<b>x</i>", "<div>x", "<div>x</p>", "<p><b>x</div>", "<script>", '<a b="', "<!--", "<a b=", "<div class='ad'>x", "<li>x", "<", "&amp", "<a '\""):
+        began = time.time()
+        P.extract(part * 100_000, {})
+        assert time.time() - began < 8, part
