@@ -1,4 +1,4 @@
-"""The registered queries of this package: one opN_<name> for each operator, and the pipeline."""
+"""The registered queries of this package, one opN_<name> for each operator. The pipeline is the driver contract's to add."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tidemark.llm import co_training, crf_langid, decontamination, jaccard_join, mixing, ngram_lm, oracles, page_text, pii, quality_rules, secret_scan
 from tidemark.ship import ship
 
@@ -62,5 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pii, op2_ngram_lm, op3_crf_langid, op4_quality_rules, op5_page_text, op6_jaccard_join, op7_decontamination,
         op8_secret_scan, op9_co_training, op10_mixing,
     )
-} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op1_pii": oracles.OP1, "op8_secret_scan": oracles.OP8, "op10_mixing": mixing.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+}
+ORACLES: dict[str, str] = {"op1_pii": oracles.OP1, "op8_secret_scan": oracles.OP8, "op10_mixing": mixing.ORACLE}
