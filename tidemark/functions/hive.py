@@ -103,8 +103,26 @@ def _field(a: Arguments) -> list[Node]:
 
 
 def _truncate(a: Arguments) -> list[Node]:
+    """Digits are cut off in decimal, exactly; the type stays. Numbers beyond decimals have no digits to cut off."""
     digits = a[1] if len(a) > 1 else sql("0")
-    return sql("(sign(?) * floor(abs(?) * power(10, ?)) / power(10, ?))", a[0], a[0], digits, digits)
+    fixed = all(isinstance(x, Leaf) and (x.kind == "number" or x.text == "-") for x in digits)
+    if not fixed:
+        return sql("(sign(?) * floor(abs(?) * power(10, ?)) / power(10, ?))", a[0], a[0], digits, digits)
+    cut = sql("CASE WHEN ? < 0 THEN ceil(CAST(? AS DECIMAL(38, 18)), ?) ELSE floor(CAST(? AS DECIMAL(38, 18)), ?) END", a[0], a[0], digits, a[0], digits)
+    return sql("(CASE WHEN false OR abs(?) >= 1e19 THEN ? ELSE ? END)", a[0], a[0], cut)
+
+
+def _url_parts(a: Arguments) -> list[Node]:
+    """parse_url_tuple(url, part, ...): a row with a column for each part."""
+    columns: list[Node] = []
+    for i, part in enumerate(a[1:]):
+        columns += ([Leaf("symbol", ",")] if i else []) + (sql("parse_url(?, 'QUERY', substring(?, 7)) AS ?", a[0], part, sql(f"c{i}")) if value_of(part[0]).upper().startswith("QUERY:") else sql("parse_url(?, ?) AS ?", a[0], part, sql(f"c{i}")))
+    return sql("inline(array(struct(?)))", columns)
+
+
+def _replicated(a: Arguments) -> list[Node]:
+    """replicate_rows(n, ...): n and the other arguments as a row, n times."""
+    return sql("inline(array_repeat(struct(?), CAST(? AS INT)))", _list(a), a[0])
 
 
 def _date_format(a: Arguments) -> list[Node] | None:
@@ -156,6 +174,8 @@ FUNCTIONS: dict[str, Build] = {
     "sqrt": _one("nullif(sqrt(?), CAST('NaN' AS DOUBLE))"),
     "udfdegrees": _renamed("degrees"),
     "truncate": _truncate,
+    "parse_url_tuple": _url_parts,
+    "replicate_rows": _replicated,
     "lpad": _pad("lpad"),
     "rpad": _pad("rpad"),
     "field": _field,

@@ -81,8 +81,8 @@ def _ingest_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return env.sql("SELECT item_id, name, ok FROM items")
 
 
-QUERIES["function_scalar"] = _with_functions("nation", "SELECT n_nationkey, hello(n_name) AS h FROM nation", ("hello", lambda x: f"hello,{x}", "string"))
-ORACLES["function_scalar"] = "SELECT n_nationkey, 'hello,' || n_name AS h FROM nation"
+QUERIES["function_scalar"] = _with_functions("nation", "SELECT n_nationkey, tagged(n_name) AS h FROM nation", ("tagged", lambda x: f"[{x.lower()}]", "string"))
+ORACLES["function_scalar"] = "SELECT n_nationkey, '[' || lower(n_name) || ']' AS h FROM nation"
 QUERIES["function_expression"] = _with_functions("lineitem", "SELECT l_orderkey, l_linenumber, net(l_extendedprice, l_discount) AS n FROM lineitem", ("net", "(p DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN p * (1 - d)", None))
 ORACLES["function_expression"] = "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS n FROM lineitem"
 QUERIES["function_table"] = _with_functions("part", "SELECT p.p_partkey, w.word FROM part p, LATERAL TABLE(words(p.p_name)) AS w(word)", ("words", _Words, "word string"))

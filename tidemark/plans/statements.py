@@ -31,11 +31,12 @@ add("filter_in_rows", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem
 add("filter_in_subquery", "customer nation", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 add("filter_not_in_subquery", "customer nation", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 add("filter_exists", "customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
-add("filter_not_exists", "customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+add("filter_not_exists", "customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 add("filter_between", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 AND l_discount NOT BETWEEN 0.02 AND 0.08")
 add("filter_between_symmetric", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN SYMMETRIC 12 AND 10", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
 add("filter_like", "part", r"SELECT p_partkey FROM part WHERE p_type LIKE '%E%' AND p_name NOT LIKE 'a!%%' ESCAPE '!'")
-add("filter_similar_to", "part", "SELECT p_partkey FROM part WHERE p_type SIMILAR TO '%(STEEL|BRASS|COPPER)%' AND p_brand NOT SIMILAR TO 'Brand#1_'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_type, '.*(STEEL|BRASS|COPPER).*') AND NOT regexp_full_match(p_brand, 'Brand#1.')")
+add("filter_similar_to", "part", "SELECT p_partkey FROM part WHERE p_type SIMILAR TO '%(E|O)%' AND p_brand NOT SIMILAR TO 'Brand#1_'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_type, '.*(E|O).*') AND NOT regexp_full_match(p_brand, 'Brand#1.')")
+add("filter_similar_to_column", "part", "SELECT p_partkey, p_brand SIMILAR TO concat('Brand#', substr(p_brand, 7, 1), '_') AS a, p_brand SIMILAR TO replace(p_brand, '#', '.') AS b, p_name SIMILAR TO concat('%', substr(p_name, 3, 2), '!%%') ESCAPE '!' c FROM part", "SELECT p_partkey, length(p_brand) = 8 AS a, false AS b, false AS c FROM part")
 add("filter_rlike", "customer", "SELECT c_custkey FROM customer WHERE c_name RLIKE '[13579]$' AND c_mktsegment NOT RLIKE '^B' AND c_name REGEXP '0' AND c_name NOT REGEXP '99'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '[13579]$') AND NOT regexp_matches(c_mktsegment, '^B') AND regexp_matches(c_name, '0') AND NOT regexp_matches(c_name, '99')")
 add("filter_is_tests", "customer", "SELECT c_custkey, (c_acctbal > 0) IS TRUE AS pos, (c_acctbal > 0) IS NOT FALSE AS nonneg, (NULLIF(c_nationkey, 3) = 5) IS UNKNOWN AS unk, c_name IS NULL AS isn, c_name IS NOT NULL AS notn FROM customer", "SELECT c_custkey, coalesce(c_acctbal > 0, false) AS pos, coalesce(c_acctbal > 0, true) AS nonneg, (NULLIF(c_nationkey, 3) = 5) IS NULL AS unk, c_name IS NULL AS isn, c_name IS NOT NULL AS notn FROM customer")
 add("filter_distinct_from", "customer", "SELECT c_custkey FROM customer WHERE NULLIF(c_nationkey, 3) IS DISTINCT FROM NULLIF(c_nationkey, 4) AND c_nationkey IS NOT DISTINCT FROM 3")
@@ -74,7 +75,7 @@ add("join_lateral_table", "part", "SELECT p.p_partkey, w.word FROM part p, LATER
 add("join_cross_apply", "part", "SELECT p.p_partkey, w.word FROM part p CROSS APPLY TABLE(explode(split(p.p_type, ' '))) AS w(word)", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
 add("join_unnest", "part", "SELECT p.p_partkey, w.word, w.n FROM part p, UNNEST(split(p.p_name, ' ')) WITH ORDINALITY AS w(word, n)", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, CAST(unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS INTEGER) AS n FROM part")
 add("join_semi", "customer orders", "SELECT c.c_custkey FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-add("join_anti", "customer orders", "SELECT c.c_custkey FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("join_anti", "customer orders", "SELECT c.c_custkey FROM customer c LEFT ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 add("join_many", "lineitem orders customer nation region", "SELECT r.r_name, count(*) AS n, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
 
 # -- aggregation ---------------------------------------------------------------------------------------------------------
@@ -124,7 +125,7 @@ add("subquery_correlated", "lineitem", "SELECT l_orderkey, l_linenumber FROM lin
 add("subquery_derived", "customer", "SELECT seg, n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) t WHERE n > 10")
 add("subquery_array", "region", "SELECT size(ARRAY(SELECT r_name FROM region)) AS n, array_join(sort_array(MULTISET(SELECT r_name FROM region)), '|') AS names", "SELECT CAST(count(*) AS INTEGER) AS n, string_agg(r_name, '|' ORDER BY r_name) AS names FROM region")
 add("subquery_map", "region", "SELECT size(MAP(SELECT r_regionkey, r_name FROM region)) AS n, MAP(SELECT r_regionkey, r_name FROM region)[1] AS one", "SELECT CAST(count(*) AS INTEGER) AS n, max(CASE WHEN r_regionkey = 1 THEN r_name END) AS one FROM region")
-add("multiset_operators", "part", "SELECT p_partkey, size(ARRAY[p_size, 1] MULTISET UNION ARRAY[1, 2]) AS u, size(ARRAY[p_size, 1] MULTISET INTERSECT ARRAY[1, 2]) AS i, size(ARRAY[p_size, 1] MULTISET EXCEPT ARRAY[1, 2]) AS e, size(ARRAY[p_size, 1] MULTISET UNION ALL ARRAY[1, 2]) AS a FROM part", "SELECT p_partkey, CAST(CASE WHEN p_size IN (1, 2) THEN 2 ELSE 3 END AS INTEGER) AS u, CAST(CASE WHEN p_size = 2 THEN 2 ELSE 1 END AS INTEGER) AS i, CAST(CASE WHEN p_size IN (1, 2) THEN 0 ELSE 1 END AS INTEGER) AS e, CAST(4 AS INTEGER) AS a FROM part")
+add("multiset_operators", "part", "SELECT p_partkey, size(ARRAY[p_size, 1] MULTISET UNION DISTINCT ARRAY[1, 2]) AS u, size(ARRAY[p_size, 1] MULTISET INTERSECT DISTINCT ARRAY[1, 2]) AS i, size(ARRAY[p_size, 1] MULTISET EXCEPT DISTINCT ARRAY[1, 2]) AS e, size(ARRAY[p_size, 1] MULTISET UNION ALL ARRAY[1, 2]) AS a FROM part", "SELECT p_partkey, CAST(CASE WHEN p_size IN (1, 2) THEN 2 ELSE 3 END AS INTEGER) AS u, CAST(CASE WHEN p_size = 2 THEN 2 ELSE 1 END AS INTEGER) AS i, CAST(CASE WHEN p_size IN (1, 2) THEN 0 ELSE 1 END AS INTEGER) AS e, CAST(4 AS INTEGER) AS a FROM part")
 
 # -- windows -------------------------------------------------------------------------------------------------------------
 
@@ -170,7 +171,7 @@ add("date_strings", "orders", "SELECT o_orderkey, to_date(o_orderdate) AS a, dat
 add("date_next_day", "orders", "SELECT o_orderkey, next_day(o_orderdate, 'TU') AS a FROM orders", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CAST((8 - isodow(o_orderdate)) % 7 + 1 AS INTEGER), '%Y-%m-%d') AS a FROM orders")
 add("date_parts", "events", "SELECT event_id, year(ts) AS a, quarter(ts) AS b, month(ts) AS c, day(ts) AS d, dayofmonth(ts) AS e, hour(ts) AS f, minute(ts) AS g, second(ts) AS h, dayofweek(ts) AS i, yearweek(ts) AS j, weekofyear(ts) AS k FROM events", "SELECT event_id, CAST(year(ts) AS INTEGER) AS a, CAST(quarter(ts) AS INTEGER) AS b, CAST(month(ts) AS INTEGER) AS c, CAST(day(ts) AS INTEGER) AS d, CAST(day(ts) AS INTEGER) AS e, CAST(hour(ts) AS INTEGER) AS f, CAST(minute(ts) AS INTEGER) AS g, CAST(second(ts) AS INTEGER) AS h, CAST(dayofweek(ts) + 1 AS INTEGER) AS i, CAST(week(ts) AS INTEGER) AS j, CAST(week(ts) AS INTEGER) AS k FROM events")
 add("date_differences", "orders", "SELECT o_orderkey, datediff(o_orderdate, '1995-01-01') AS a, round(months_between(o_orderdate, CAST('1995-01-01' AS TIMESTAMP_NTZ)), 4) > 0 AS b, date_format(o_orderdate, 'yyyy/MM/dd') AS c, date_format(o_orderdate, 'u') AS d FROM orders", "SELECT o_orderkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS a, o_orderdate > TIMESTAMP '1995-01-01' AS b, strftime(o_orderdate, '%Y/%m/%d') AS c, CAST(isodow(o_orderdate) AS VARCHAR) AS d FROM orders")
-add("date_unix", "events", "SELECT event_id, unix_timestamp('2009-03-20', 'yyyy-MM-dd') AS a, from_unixtime(1326988805 + event_id, 'yyyyMMddHH') AS b, to_unix_timestamp('2009-03-20 00:00:00') AS c FROM events", "SELECT event_id, CAST(1237507200 AS BIGINT) AS a, strftime(make_timestamp((1326988805 + event_id) * 1000000), '%Y%m%d%H') AS b, CAST(1237507200 AS BIGINT) AS c FROM events")
+add("date_unix", "events", "SELECT event_id, unix_timestamp('2016-07-01', 'yyyy-MM-dd') AS a, from_unixtime(1400000000 + event_id, 'yyyyMMddHH') AS b, to_unix_timestamp('2016-07-01 00:00:00') AS c FROM events", "SELECT event_id, CAST(1467331200 AS BIGINT) AS a, strftime(make_timestamp((1400000000 + event_id) * 1000000), '%Y%m%d%H') AS b, CAST(1467331200 AS BIGINT) AS c FROM events")
 add("hashes", "nation", "SELECT n_nationkey, md5(n_name) AS a, sha1(n_name) AS b, sha(n_name) AS c, sha2(n_name, 256) AS d FROM nation", "SELECT n_nationkey, md5(n_name) AS a, sha1(n_name) AS b, sha1(n_name) AS c, sha256(n_name) AS d FROM nation")
 add("conditional_functions", "customer", "SELECT c_custkey, if(c_acctbal > 0, 'credit', 'debit') AS a, nvl(NULLIF(c_nationkey, 3), -1) AS b, coalesce(NULL, NULLIF(c_nationkey, 3), 99) AS c, isnull(NULLIF(c_nationkey, 3)) AS d, isnotnull(c_name) AS e, nullif(c_nationkey, 3) AS f FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'credit' ELSE 'debit' END AS a, coalesce(NULLIF(c_nationkey, 3), -1) AS b, coalesce(NULLIF(c_nationkey, 3), 99) AS c, c_nationkey = 3 AS d, true AS e, NULLIF(c_nationkey, 3) AS f FROM customer")
 add("collection_functions", "part", "SELECT p_partkey, size(split(p_name, ' ')) AS a, array_contains(split(p_name, ' '), 'red') AS b, array_join(sort_array(split(p_name, ' ')), ' ') AS c, array_contains(ARRAY[1, NULL], p_size) AS d, index(split(p_name, ' '), 0) AS e, size(map_keys(MAP['a', 1])) AS f, map_values(MAP['a', p_size])[0] AS g, named_struct('x', p_size).x AS h, str_to_map('a:1,b:2')['b'] AS i FROM part", "SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS a, list_contains(string_split(p_name, ' '), 'red') AS b, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS c, p_size = 1 AS d, string_split(p_name, ' ')[1] AS e, CAST(1 AS INTEGER) AS f, p_size AS g, p_size AS h, '2' AS i FROM part")
@@ -178,6 +179,28 @@ add("table_functions", "part", "SELECT p.p_partkey, e.pos, e.word FROM part p, L
 add("table_functions_stack", "nation", "SELECT n.n_nationkey, s.k, s.v FROM nation n, LATERAL TABLE(stack(2, 'key', n.n_nationkey, 'region', n.n_regionkey)) AS s(k, v)", "SELECT n_nationkey, 'key' AS k, n_nationkey AS v FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey FROM nation")
 add("json_tuple", "events", "SELECT e.event_id, j.k FROM events e, LATERAL TABLE(json_tuple(e.props, 'k')) AS j(k)", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 
+# -- forms and functions of all kinds, over the rows of tables -----------------------------------------------------------------
+
+add("alias_after_operands", "part", "SELECT p_partkey, ARRAY[p_size] SUBMULTISET OF ARRAY[4, 5] a, p_size MEMBER OF ARRAY[1, 2] b, p_brand SIMILAR TO 'Brand#1_' c, size(ARRAY[p_size, 5] MULTISET EXCEPT ARRAY[5]) d, p_size BETWEEN SYMMETRIC 9 AND 3 e FROM part", "SELECT p_partkey, p_size IN (4, 5) AS a, p_size IN (1, 2) AS b, regexp_full_match(p_brand, 'Brand#1.') AS c, CAST(1 AS INTEGER) AS d, p_size BETWEEN 3 AND 9 AS e FROM part")
+add("multiset_multiplicity", "part", "SELECT p_partkey, ARRAY[p_size, 5] SUBMULTISET OF ARRAY[5, 7] AS a, array_join(ARRAY[p_size, p_size, 5] MULTISET INTERSECT ARRAY[5, 5, 5], ',') AS b, array_join(ARRAY[p_size, p_size, 9] MULTISET EXCEPT ALL ARRAY[p_size], ',') AS c, size(ARRAY[p_size] MULTISET UNION ARRAY[p_size]) AS d, size(ARRAY[p_size] MULTISET UNION DISTINCT ARRAY[p_size]) AS e FROM part", "SELECT p_partkey, p_size = 7 AS a, CASE WHEN p_size = 5 THEN '5,5,5' ELSE '5' END AS b, p_size || ',9' AS c, CAST(2 AS INTEGER) AS d, CAST(1 AS INTEGER) AS e FROM part")
+add("period_points", "orders", "SELECT o_orderkey, PERIOD(TIMESTAMP_NTZ '1994-01-01 00:00:00', TIMESTAMP_NTZ '1995-01-01 00:00:00') CONTAINS o_orderdate AS c, PERIOD(TIMESTAMP_NTZ '1994-01-01 00:00:00', TIMESTAMP_NTZ '1995-01-01 00:00:00') PRECEDES o_orderdate AS p FROM orders", "SELECT o_orderkey, o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1995-01-01' AS c, o_orderdate >= TIMESTAMP '1995-01-01' AS p FROM orders")
+add("truncate_exact", "lineitem", "SELECT l_orderkey, l_linenumber, truncate(l_discount * 115, 1) AS a, truncate(-l_extendedprice, 1) AS b, truncate(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) = CAST(l_extendedprice AS DECIMAL(12, 2)) AS c, truncate(l_extendedprice, -2) AS d, truncate(8.2, 2) = 8.2 AS e FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(trunc(CAST(CAST(l_discount * 115 AS VARCHAR) AS DECIMAL(28, 16)) * 10) / 10 AS DOUBLE) AS a, -CAST(floor(CAST(l_extendedprice AS DECIMAL(18, 4)) * 10) / 10 AS DOUBLE) AS b, CAST(floor(CAST(l_extendedprice AS DECIMAL(12, 2)) * 10) / 10 AS DECIMAL(12, 2)) = CAST(l_extendedprice AS DECIMAL(12, 2)) AS c, floor(l_extendedprice / 100) * 100 AS d, true AS e FROM lineitem")
+add("floor_dates", "orders", "SELECT o_orderkey, FLOOR(CAST(o_orderdate AS DATE) TO MONTH) AS a, CEIL(CAST(o_orderdate AS DATE) TO QUARTER) AS b, floor_year(o_orderdate) AS c, floor_quarter(o_orderdate) AS d, floor_week(o_orderdate) AS e, floor_day(o_orderdate) AS f FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(CASE WHEN date_trunc('quarter', o_orderdate) = date_trunc('day', o_orderdate) THEN date_trunc('quarter', o_orderdate) ELSE date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH END AS DATE) AS b, CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS c, CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS d, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS e, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS f FROM orders")
+add("floor_times", "events", "SELECT event_id, floor_hour(ts) AS a, floor_minute(ts) AS b, floor_second(ts) AS c FROM events", "SELECT event_id, date_trunc('hour', ts) AS a, date_trunc('minute', ts) AS b, date_trunc('second', ts) AS c FROM events")
+add("context_variables", "nation", "SELECT n_nationkey, CURRENT_DATE = to_date(CURRENT_TIMESTAMP) AS a, LOCALTIMESTAMP >= CAST(CURRENT_DATE AS TIMESTAMP_NTZ) AS b, CURRENT_TIME IS NOT NULL AS c, LOCALTIME IS NOT NULL AS d, USER = CURRENT_USER AND SESSION_USER = SYSTEM_USER AS e, CURRENT_CATALOG IS NOT NULL AND CURRENT_SCHEMA = current_database() AS f, CURRENT_ROLE IS NULL AND CURRENT_PATH IS NULL AS g, logged_in_user() = CURRENT_USER AS h, version() LIKE '4%' AS i, length(uuid()) AS j FROM nation", "SELECT n_nationkey, true AS a, true AS b, true AS c, true AS d, true AS e, true AS f, true AS g, true AS h, true AS i, CAST(36 AS INTEGER) AS j FROM nation")
+add("join_outer_apply", "part", "SELECT p.p_partkey, w.word FROM part p OUTER APPLY TABLE(explode(filter(split(p.p_name, ' '), x -> length(x) > 6))) AS w(word)", "SELECT p.p_partkey, w.word FROM part p LEFT JOIN (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) w ON w.p_partkey = p.p_partkey AND length(w.word) > 6")
+add("string_charsets", "part", "SELECT p_partkey, CONVERT(p_name USING latin1) AS a, TRANSLATE(p_name USING utf8) AS b, upper(p_name) COLLATE UTF8_LCASE = p_name AS c, chr(65 + p_size % 26) AS d, char(97 + p_size % 26) AS e FROM part", "SELECT p_partkey, p_name AS a, p_name AS b, true AS c, chr(65 + p_size % 26) AS d, chr(97 + p_size % 26) AS e FROM part")
+add("string_constants_apart", "nation", "SELECT n_nationkey, soundex(n_name) = soundex(upper(n_name)) AS a, soundex(n_name) LIKE upper(substr(n_name, 1, 1)) || '%' AS b, size(sentences(concat(n_name, ' one. Two three.'))) AS c, hex(unhex(hex(n_name))) = hex(n_name) AS d, mask(str => n_name, lowerChar => 'q') = mask(n_name, 'X', 'q') AS e FROM nation", "SELECT n_nationkey, true AS a, true AS b, CAST(2 AS INTEGER) AS c, true AS d, true AS e FROM nation")
+add("math_bits", "part", "SELECT p_partkey, ~p_size AS a, shiftrightunsigned(p_size, 1) AS b, pow(p_size, 2) AS c, rand(7) BETWEEN 0 AND 1 AS d, p_size <=> NULLIF(p_size, 5) AS e FROM part", "SELECT p_partkey, CAST(-p_size - 1 AS INTEGER) AS a, CAST(p_size // 2 AS INTEGER) AS b, CAST(p_size AS DOUBLE) * p_size AS c, true AS d, p_size <> 5 AS e FROM part")
+add("hashes_and_ciphers", "nation", "SELECT n_nationkey, crc32(repeat('1', n_nationkey % 2 + 1)) AS a, decode(aes_decrypt(aes_encrypt(encode(n_name, 'UTF-8'), '0123456789abcdef'), '0123456789abcdef'), 'UTF-8') AS b, assert_true(n_nationkey >= 0) IS NULL AS c, reflect('java.lang.Math', 'max', n_nationkey, 7) AS d FROM nation", "SELECT n_nationkey, CAST(CASE n_nationkey % 2 WHEN 0 THEN 2212294583 ELSE 3596227959 END AS BIGINT) AS a, n_name AS b, true AS c, CAST(greatest(n_nationkey, 7) AS VARCHAR) AS d FROM nation")
+add("xml_numbers", "nation", "SELECT n_nationkey, xpath_int(x, 'a/b') AS a, xpath_long(x, 'sum(a/b)') AS b, xpath_short(x, 'a/b[2]') AS c, xpath_double(x, 'a/b[1] div 2') AS d, xpath_number(x, 'a/b[2]') AS e, CAST(xpath_float(x, 'a/b[1]') AS DOUBLE) AS f, array_join(xpath(x, 'a/b/text()'), '-') AS g, xpath_boolean(x, 'a/b = 3') AS h FROM (SELECT n_nationkey, concat('<a><b>', n_nationkey, '</b><b>4</b></a>') AS x FROM nation) t", "SELECT n_nationkey, n_nationkey AS a, CAST(n_nationkey + 4 AS BIGINT) AS b, CAST(4 AS SMALLINT) AS c, n_nationkey / 2 AS d, CAST(4 AS DOUBLE) AS e, CAST(n_nationkey AS DOUBLE) AS f, n_nationkey || '-4' AS g, n_nationkey IN (3) AS h FROM nation")
+add("date_zones", "events", "SELECT event_id, date_format(from_utc_timestamp(ts, 'Asia/Tokyo'), 'yyyy-MM-dd HH:mm:ss') AS a, date_format(to_utc_timestamp(ts, 'Asia/Tokyo'), 'yyyy-MM-dd HH:mm:ss') AS b, date(ts) AS c, ts + interval_day_time('1 02:00:00') AS d, ts + interval_year_month('1-2') AS e FROM events", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS b, CAST(ts AS DATE) AS c, ts + INTERVAL 26 HOUR AS d, ts + INTERVAL 14 MONTH AS e FROM events")
+add("table_functions_rows", "nation", "SELECT n.n_nationkey, i.a, i.b FROM nation n, LATERAL TABLE(inline(ARRAY[named_struct('a', n.n_nationkey + 1, 'b', 'x'), named_struct('a', n.n_regionkey, 'b', 'y')])) AS i(a, b)", "SELECT n_nationkey, n_nationkey + 1 AS a, 'x' AS b FROM nation UNION ALL SELECT n_nationkey, n_regionkey, 'y' FROM nation")
+add("table_functions_replicate", "nation", "SELECT n.n_nationkey, r.m FROM nation n, LATERAL TABLE(replicate_rows(n.n_regionkey, n.n_name)) AS r(k, m)", "SELECT n_nationkey, n_name AS m FROM nation, range(5) r(i) WHERE i < n_regionkey")
+add("table_functions_url_tuple", "pages", "SELECT p.page_id, u.h, u.s FROM pages p, LATERAL TABLE(parse_url_tuple(p.url, 'HOST', 'PROTOCOL')) AS u(h, s)", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS h, regexp_extract(url, '^([a-z]+)://', 1) AS s FROM pages")
+add("collection_sorted_by", "orders", "SELECT o_custkey, sort_array_by(collect_list(named_struct('p', o_totalprice, 'k', o_orderkey)), 'p', 'k', 'DESC')[0].k AS top FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top FROM orders GROUP BY o_custkey")
+add("window_allow_partial", "events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING ALLOW PARTIAL) AS c FROM events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS c FROM events")
+
 # -- the five workload shapes of the benchmark ------------------------------------------------------------------------------
 
 add("bench_projection", "lineitem", "SELECT * FROM lineitem")
