@@ -57,7 +57,9 @@ def _scalar(function: Any, returns: Any) -> Any:
 
 
 def _aggregate(cls: Any, returns: Any) -> Any:
-    """A class with init(), add(state, value), and result(state) if the state is not the result."""
+    """A class with init(), add(state, value, ...), and result(state) if the state is not the result. Each group is folded
+    row by row by one worker that holds its columns: for what no native aggregate can say. Groups that may be large are
+    better split first, by an inner GROUP BY with a hash of a key, where the states can be combined."""
     target = cls() if inspect.isclass(cls) else cls
     hints = typing.get_type_hints(target.result) if hasattr(target, "result") else typing.get_type_hints(target.init)
     kind = _type(returns) or _type(hints.get("return")) or T.DoubleType()
@@ -69,11 +71,7 @@ def _aggregate(cls: Any, returns: Any) -> Any:
                 state = target.add(state, *values)
         return target.result(state) if hasattr(target, "result") else state
 
-    def fold(values: pd.Series) -> Any:
-        return run(values)
-
-    fold.__annotations__ = {"values": pd.Series, "return": {T.StringType(): str, T.LongType(): int, T.BooleanType(): bool}.get(kind, float)}
-    return F.pandas_udf(fold, kind)
+    return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)  # of any number of columns
 
 
 def add_function(spark: SparkSession, name: str, function: Any, kind: str | None = None, returns: Any = None) -> None:
@@ -81,7 +79,7 @@ def add_function(spark: SparkSession, name: str, function: Any, kind: str | None
 
     scalar: a function or a class with eval; table: a generator function or a class whose eval yields rows; macro: a
     function of the session that gives a DataFrame, registered as a view when it takes nothing else; aggregate: a class
-    with init, add and maybe result, over one column; expression: SQL text "(x INT) RETURNS INT RETURN x + 1". A module
+    with init, add and maybe result, over one or more columns; expression: SQL text "(x INT) RETURNS INT RETURN x + 1". A module
     registers all its public functions. returns is a type, where annotations don't tell."""
     kind = kind or _kind(function)
     if kind == "module":
