@@ -121,3 +121,44 @@ def test_awkward(spark):
     clash = docs.selectExpr("*", "1 AS _kept", "2 AS quality", "'x' AS _luck")
     kept = C.accept(clash, none)
     assert kept.columns == clash.columns and kept.count() == len(AWKWARD)
+
+
+def plain_scores(model, d):
+    """p_quality and p_harmless of one document, one number at a time."""
+    import math
+
+    raw = (d["text"] or "").encode()
+    words = "".join(" " if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in raw.decode("latin-1")).encode("latin-1").lower().split()
+    n, size, lines = len(words), max(1, len(raw)), raw.split(b"\n")
+    plain = [math.log1p(n), len(set(words)) / max(1, n), sum(b in b"#*$%&|<>!@^~{}[]\\" for b in raw) / size, sum(65 <= b <= 90 for b in raw) / size, 1 - len(set(lines)) / len(lines), n / size]
+    answers = []
+    for i, q in enumerate(model.questions):
+        if q is None:
+            answers.append(model.constant[i])
+            continue
+        odds = [float(model.text.odds[model.text.lexicon.get(w, 0), i]) for w in words] or [0.0]
+        text = [sum(odds) / len(odds)]
+        for side in ([x for x in odds if x > C.STRONG], [-x for x in odds if x < -C.STRONG]):
+            text += [math.log1p(len(side)), len(side) / max(1, n), math.log1p(sum(side)), max(side, default=0.0)]
+        lang, source = model.meta[i].tables
+        length = math.log1p(max(0, d["n_chars"])) if d["n_chars"] is not None else 0.0
+        meta = [lang.get(d["lang"], 0.0), source.get(d["source"], 0.0), length, length * length, float(d["n_chars"] is None)]
+        line = lambda m, x: max(-30, min(30, m.beta[0] + sum(b * (v - mean) / s for b, v, mean, s in zip(m.beta[1:], x, m.mean, m.scale))))
+        both = [line(c, [line(m, x)]) for c, m, x in zip(q.calibration, q.models, (text + plain, meta))]
+        answers.append(1 / (1 + math.exp(-line(q.blend, both))))
+    return answers
+
+
+def test_whole_table_against_a_plain_version(spark, sf):
+    import pyarrow.parquet as pq
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = C.fit(docs, labels)
+    got = {r["doc_id"]: r for r in C.op9(docs, labels).collect()}
+    table = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    assert len(got) == len(table)
+    for d in table:
+        p, q = plain_scores(model, d)
+        r = got[d["doc_id"]]
+        assert abs(r["p_quality"] - p) < 1e-9 and abs(r["p_harmless"] - q) < 1e-9 and r["score"] == min(r["p_quality"], r["p_harmless"])
+        assert r["kept"] == (min(p, q) >= 0.5) or abs(min(p, q) - 0.5) < 1e-9
