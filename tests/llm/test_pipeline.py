@@ -40,6 +40,20 @@ def test_every_stage(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, kept[-1].collect()))
 
 
+def test_clashing_columns(spark):
+    """Columns with the names that stages use inside pass through all of them, and the end has the texts."""
+    names = ["_id", "_bad", "_row", "_text", "_base", "_spans", "_doc", "_kept", "_size", "_src", "id", "rows", "class", "item_id", "row", "h", "_key"]
+    docs = frame(spark, [f"text number {i} about the sea and the tide that comes in" for i in range(6)] + AWKWARD)
+    docs = docs.selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert all(r[n] == n for r in out.collect() for n in names), name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    assert sorted(str(r["text"]) for r in out.collect()) == sorted(str(r["text"]) for r in docs.collect())
+
+
 def test_awkward(spark):
     docs = frame(spark, AWKWARD)
     for name, stage in corpus_pipeline.STAGES[:-1]:

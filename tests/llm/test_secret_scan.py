@@ -35,6 +35,7 @@ def check(rows, docs):
 def test_base(spark):
     docs = frame(spark, TRICKY + AWKWARD)
     check(secret_scan.op8(docs).collect(), docs.collect())
+    check(secret_scan.op8(docs.selectExpr("*", "1 AS _text", "2 AS _base", "3 AS _weak", "4 AS _spans", "5 AS spans")).collect(), docs.collect())
     assert secret_scan.op8(frame(spark, [])).count() == 0
 
 
