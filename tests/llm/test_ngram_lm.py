@@ -49,6 +49,7 @@ def check(spark_docs, docs):
 def test_awkward(spark):
     docs = frame(spark, AWKWARD)
     check(docs, docs.collect())
+    check(docs.selectExpr("*", "1 AS h", "2 AS b", "3 AS block", "4 AS held_out", "5 AS n_tokens"), docs.collect())
     assert L.op2(frame(spark, [])).count() == 0
 
 
@@ -93,13 +94,14 @@ def test_trie_and_quantiser(monkeypatch):
     rng = np.random.default_rng(2)
     pairs = np.unique(rng.integers(0, 2**64, (500, 2), dtype=np.uint64) % np.uint64(60) * np.uint64(2**58), axis=0)
     values = rng.normal(size=len(pairs))
-    trie = Trie.build(pairs[:, 0], pairs[:, 1], values)
+    keys, below = (np.unique(pairs[:, i], return_inverse=True) for i in (0, 1))
+    trie = Trie.build(keys[0], below[0], keys[1], below[1], values)
     words, contexts = (np.unique(np.concatenate([pairs[:, i], pairs[:, i] + np.uint64(1)])) for i in (0, 1))
     w, c = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(contexts))))
     have = {(int(a), int(b)): v for (a, b), v in zip(pairs, values)}
     want = np.array([have.get((int(words[i]), int(contexts[j])), np.nan) for i, j in zip(w, c)])
     assert np.allclose(trie.lookup(words, w, contexts, c), want, equal_nan=True)
-    nothing = Trie.build(*np.zeros((2, 0), np.uint64), np.zeros(0))
+    nothing = Trie.build(*np.zeros((2, 0), np.uint64), *np.zeros((2, 0), np.int64), np.zeros(0))
     assert np.isnan(nothing.lookup(words, w, contexts, c)).all()
 
 
@@ -112,7 +114,7 @@ def test_trie_is_compact():
     words, contexts = np.sort(rng.integers(0, 2**64, 3000, dtype=np.uint64)), np.sort(rng.integers(0, 2**64, 3000, dtype=np.uint64))
     code = np.unique(rng.integers(0, 3000 * 3000, n))
     w, c = words[code // 3000], contexts[code % 3000]
-    trie = Trie.build(w, c, np.log(rng.random(len(code))))
+    trie = Trie.build(words, contexts, code // 3000, code % 3000, np.log(rng.random(len(code))))
     assert trie.size < 0.45 * (w.nbytes + c.nbytes)
     a, b = code // 3000, code % 3000
     tracemalloc.start()

@@ -27,10 +27,11 @@ def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 class EliasFano:
     """A monotone sequence of unsigned 64-bit numbers: the low parts in whole bytes, the high parts in unary, with the
-    number of ones before each 64 bits as the directory of select."""
+    number of ones before each 64 bits as the directory of select; that of zeros follows from it."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.low, self.high, self.ones = low, high, ones
+        self.zeros = 64 * np.arange(len(high)) - ones
         self.n, self.width = low.shape[0], low.shape[1]
 
     @classmethod
@@ -61,13 +62,21 @@ class EliasFano:
         return 64 * word + _select_in_word(self.high[word], rank - self.ones[word])
 
     def _zero(self, rank: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(rank), np.int64), np.full(len(rank), len(self.high), np.int64)
-        while (hi - lo > 1).any():  # the last word with no more zeros before it; the directory counts ones
-            mid = (lo + hi) // 2
-            below = 64 * mid - self.ones[np.minimum(mid, len(self.ones) - 1)] <= rank
-            open_ = hi - lo > 1
-            lo, hi = np.where(open_ & below, mid, lo), np.where(open_ & ~below, mid, hi)
-        return 64 * lo + _select_in_word(~self.high[lo], rank - (64 * lo - self.ones[lo]))
+        word = np.searchsorted(self.zeros, rank, side="right") - 1
+        return 64 * word + _select_in_word(~self.high[word], rank - self.zeros[word])
+
+    def _run(self, bit: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from the given bit on."""
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        rest = ~(self.high[word] >> shift)
+        run = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        left = 64 - (bit & 63)
+        full = np.flatnonzero(run >= left)  # to the end of the word: go on in the next
+        run[full] = left[full]
+        if len(full):
+            more = full[word[full] + 1 < len(self.high)]
+            run[more] += self._run(64 * (word[more] + 1))
+        return run
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The elements at the given places."""
@@ -82,10 +91,10 @@ class EliasFano:
         most = int(self._one(np.array([self.n - 1]))[0]) - self.n + 1
         inside = part <= np.uint64(most)
         part = np.minimum(part, np.uint64(most)).astype(np.int64)
-        first = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) - part + 1, 0)
-        last = self._zero(part) - part
-        a = np.where(inside, first, self.n)
-        a, stop = np.clip(a, begin, end), np.clip(np.where(inside, last, self.n), begin, end)
+        bit = np.where(part > 0, self._zero(np.maximum(part - 1, 0)) + 1, 0)
+        first = bit - part
+        a = np.clip(np.where(inside, first, self.n), begin, end)
+        stop = np.clip(np.where(inside, first + self._run(bit), self.n), begin, end)
         small = wanted & np.uint64((1 << (8 * self.width)) - 1)
         b = stop.copy()
         while (open_ := a < b).any():
@@ -122,15 +131,16 @@ class Trie:
         self.levels, self.codes, self.centres, self.size = levels, codes, centres, size
 
     @classmethod
-    def build(cls, word: np.ndarray, before: np.ndarray, value: np.ndarray) -> Trie:
-        """The trie of distinct (word, before) pairs, sorted by both, with a value each."""
-        keys, first = np.unique(word, return_index=True)
-        contexts, number = np.unique(before, return_inverse=True)
-        pointers = np.append(first, len(word)).astype(np.uint64)
-        raised = np.zeros(len(keys), np.uint64)
-        if len(keys):
-            raised[1:] = np.cumsum(number[pointers[1:-1].astype(np.int64) - 1] + 1)
-        below = number.astype(np.uint64) + np.repeat(raised, np.diff(pointers.astype(np.int64)))
+    def build(cls, keys: np.ndarray, contexts: np.ndarray, word: np.ndarray, before: np.ndarray, value: np.ndarray) -> Trie:
+        """The trie of distinct pairs (keys[word], contexts[before]) with a value each; keys and contexts are sorted, and so
+        are the pairs, by both numbers. A key may have no pair."""
+        often = np.bincount(word, minlength=len(keys))
+        pointers = np.append(0, np.cumsum(often)).astype(np.uint64)
+        last = np.zeros(len(keys), np.uint64)
+        some = often > 0
+        last[some] = before[pointers[1:][some].astype(np.int64) - 1].astype(np.uint64) + np.uint64(1)
+        raised = np.cumsum(last) - last
+        below = before.astype(np.uint64) + np.repeat(raised, often)
         codes, centres = quantise(value) if len(value) else (np.zeros(0, np.uint16), np.zeros(0))
         arrays = [x for v in (keys, contexts, pointers, below) for x in EliasFano.encode(v).arrays()] + [codes, centres]
         return cls._mapped(arrays)
@@ -152,7 +162,7 @@ class Trie:
     def lookup(self, words: np.ndarray, word: np.ndarray, contexts: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The values of the pairs (words[word], contexts[before]); NaN where the trie has none."""
         keys, named, pointers, below = (self.levels[k] for k in self.LEVELS)
-        if not keys.n:
+        if not below.n:
             return np.full(len(word), np.nan)
         at, known = keys.find(words)
         at = np.where(known, at, 0)
