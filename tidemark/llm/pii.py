@@ -75,19 +75,19 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _forms(word: Column) -> Column:
-    """A word's terms, lower-cased: its letters, where it has three or more and nothing else between them, and the word
-    without marks around it, where it has a letter, three characters (two, if not ASCII) and is no address. Empty
-    where there is none."""
-    low = F.lower(word)
+def _forms(low: Column) -> Column:
+    """The terms of a lower-cased word: its letters, where it has three or more and nothing else between them, and the word
+    without marks around it, where it has a letter, three characters (two, if not ASCII) and is no address. Empty where
+    there is none, or the second is the first; most words are nothing but letters and need one look."""
     letters = F.regexp_replace(low, r"^[^\p{L}]++|[^\p{L}]++$", "")
     whole = F.regexp_replace(low, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", "")
     fits = whole.rlike(r"\p{L}") & ~F.contains(whole, F.lit("@")) & ((F.length(whole) >= 3) | whole.rlike(r"^[^\x00-\x7F]{2}$"))
-    return F.array(F.when(letters.rlike(r"^\p{L}{3,}$"), letters).otherwise(""), F.when(fits, whole).otherwise(""))
+    both = F.array(F.when(letters.rlike(r"^\p{L}{3,}$"), letters).otherwise(""), F.when(fits, whole).otherwise(""))
+    return F.when(low.rlike(r"^\p{L}{3,}$"), F.array(low, F.lit(""))).otherwise(both)
 
 
 def _terms(text: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.flatten(F.transform(F.split(text, WS, -1), _forms))), "")
+    return F.array_remove(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.split(F.lower(text), WS, -1)), _forms))), "")
 
 
 def _key(text: Column) -> Column:
@@ -160,7 +160,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Spans of the disclosing terms of a text that do not meet an identifier."""
-    of = lambda w: F.greatest(*[F.try_element_at(terms, F.get(_forms(w), F.lit(i))) for i in (0, 1)])
+    of = lambda w: F.greatest(*[F.try_element_at(terms, F.get(_forms(F.lower(w)), F.lit(i))) for i in (0, 1)])
     known = S.find(text, r"[^\x20\x09-\x0D]++", 4, "term", lambda w: of(w).isNotNull())
     named = F.transform(known, lambda s: S.span(s["start"], 4, s["end"], "term", of(s["value"])))
     return S.apart(base, named, lambda p: p["rank"] < 4)
