@@ -43,7 +43,7 @@ LABELLED, TAUGHT, FEW = 4000, 100, 4
 ROUNDS, SHARE, SURE, BUCKETS = 3, 0.05, 0.97, 64
 MIN_DF, STRONG, LEXICON = 5, 2.5, 30_000
 #: Ids are 8 bytes each; so many, about 50 MB as a hash table, may be broadcast.
-FLUSH_WORDS, BROADCAST_ROWS = 200_000, 1_000_000
+FLUSH_WORDS, BROADCAST_ROWS = 80_000, 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _PUNCTUATION = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
+#: How many rows go to a Python worker at once, at most.
+BATCH_ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     executors. The table goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = spark.conf.get(_BATCH)
+    rows = int(batch)
+    spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))  # rows hold whole texts
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, batch)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
