@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WS, join_small, small, store
+from tidemark.llm.shared import WS, join_small, store
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -160,8 +160,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """The rows with all their columns, and after them size, source_size, target and taken. Rows with one doc_id, source and
-    size are numbered by their texts, others have no need of it; texts are shuffled only where the units are too many to
-    be broadcast."""
+    size are numbered by their texts, others have no need of it. Texts are shuffled once, by these three."""
     placed = _placed(docs, weights, cap, block, shard_words, seed).drop("_src", "_shard", "_quota", "_luck")
     placed = store(placed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), *[c for c in placed.columns if c not in ("doc_id", "source")]), "mix-placed")
     rows = docs.select(F.struct("*").alias("_row"), _words_in(F.col("text")).alias("_size"))
@@ -169,7 +168,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, b
 
     def of(units: DataFrame, copy: Column) -> DataFrame:
         same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
-        joined = rows.join(F.broadcast(units) if small(units, BROADCAST_ROWS) else units, same).withColumn("_copy", copy)
+        joined = rows.join(units, same).withColumn("_copy", copy)
         return joined.select(*[F.col("_row").getField(c).alias(c) for c in own], "size", "source_size", "target", _taken(F.col("_copy")).alias("taken"))
 
     once, again = placed.where("_m = 1"), placed.where("_m > 1")
