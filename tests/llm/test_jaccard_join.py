@@ -159,3 +159,17 @@ def test_very_long_text(spark):
     long = " ".join(f"v{k}" for k in range(300_000))
     rows = J.op6(frame(spark, [long, long + " more", "short text of a few words only"])).collect()
     assert sorted((r["n_shingles"], r["component_id"]) for r in rows) == [(3, 2), (299_996, 0), (299_997, 0)]
+
+
+def test_shuffle_with_many_shards(spark, monkeypatch):
+    """With about one shingle a class and shard, as large tables have, what is shuffled stays small, and links are found."""
+    monkeypatch.setattr(J, "SHARD_SHINGLES", 1000)
+    rng = random.Random(11)
+    own = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) for _ in range(1000)]
+    docs = J.store(frame(spark, own + own[:10] + [t + " more" for t in own[10:20]]), "test")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    rows = {r["doc_id"]: r["component_id"] for r in J.op6(docs).collect()}
+    assert rows == {i: i - 1000 if i >= 1000 else i for i in range(1020)}
+    sent = written() - before
+    assert sent < 7 * 56 * 1020  # bytes a shingle

@@ -1,9 +1,12 @@
 """N-gram Jaccard join with a prefix tree: links of 0.75 and more between sets of five-word shingles, and components.
 
-1. Documents with equal sets form a class; from here on a class is one set. Each distinct shingle goes, as a 64-bit
-   hash, to a shard by its value, where classes that share it meet. Shingles of one class only can overlap with nothing;
-   the others go back to their classes. The most frequent shingles, at most MOST, are found before and need no shard. A
-   class needs three quarters of its own shingles to be shared, so most are done.
+1. Documents with equal sets form a class; from here on a class is one set. In the order of their hashes, the most
+   frequent shingles (at most MOST, found before) last, two linked classes have k shingles in common among the first
+   n - ceil(3n/4) + k of each. With k = ceil(n/8) only those, three eighths, go as 32 bits to a shard by their value; a
+   class of which fewer than k are shared there is done, whatever else it has. One row of each other class is read again.
+   Of these, each distinct shingle goes, as a 64-bit hash, to a shard by its value, where classes that share it meet.
+   Shingles of one class only can overlap with nothing; the others go back to their classes. The most frequent shingles
+   need no shard. A class needs three quarters of its own shingles to be shared, so more are done.
 2. The shared shingles have a global order, rarest first (by the logarithm of the number of classes, then by value).
    Two linked classes have a shingle in common in their prefixes, the first n - ceil(3n/4) + 1 of the full set.
 3. Joins run in groups with a trie of the sets, most frequent shingle first, so that copies share long paths: a
@@ -51,6 +54,8 @@ ROUNDS = 2
 #: A shingle of that many classes of a block, and of one in SPREAD of them, may be one of the MOST that are known to all tasks.
 FREQUENT, SPREAD, MOST = 16, 1000, 65_536
 BROADCAST_ROWS, OPEN_ROWS = 2_000_000, 200_000
+#: Bits of a sieve for each row that it lets through, and at most; a fuller one lets others through too, which only costs.
+SIEVE_SPREAD, SIEVE_BITS = 64, 1 << 27
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(SHINGLE)], np.uint64)
 
 
@@ -115,8 +120,8 @@ def _once(name: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The class of every document, and for each block the shingles that many of its classes have, with how many."""
-    for block in _blocks(batches, "doc_id", "text"):
-        size, name, owner, value = classes([t for _, t in block])
+    for block in _blocks(batches, "doc_id", "key", "text"):
+        size, name, owner, value = classes([t for *_, t in block])
         once = _once(name, size)
         items, often = np.unique(value[once[owner]], return_counts=True)
         many = often >= max(FREQUENT, once.sum() / SPREAD)
@@ -124,13 +129,15 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, m = len(block), len(items)
         nothing = lambda k: pa.nulls(k, pa.int64())
         parts = [
-            pa.RecordBatch.from_arrays([pa.array([i for i, _ in block], pa.int64()), pa.array(size), pa.array(name.view(np.int64), mask=size == 0), nothing(n), nothing(n)], _MEMBERS),
-            pa.RecordBatch.from_arrays([nothing(m), nothing(m), nothing(m), pa.array(items.view(np.int64)), pa.array(often.astype(np.int64))], _MEMBERS),
+            pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in block], pa.int64()) for k in (0, 1)] + [pa.array(size), pa.array(name.view(np.int64), mask=size == 0), nothing(n), nothing(n)], _MEMBERS
+            ),
+            pa.RecordBatch.from_arrays([nothing(m), nothing(m), nothing(m), nothing(m), pa.array(items.view(np.int64)), pa.array(often.astype(np.int64))], _MEMBERS),
         ]
         yield from parts
 
 
-_MEMBERS = ["doc_id", "n", "class", "item", "c"]
+_MEMBERS = ["doc_id", "key", "n", "class", "item", "c"]
 
 
 class Frequent:
@@ -146,12 +153,45 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.items, values), len(self.items) - 1)
         return at, self.items[at] == values
 
+    def ranks_of(self, values: np.ndarray) -> np.ndarray:
+        """The ranks of values; 0 for those that are not frequent."""
+        at, known = self.find(values)
+        rank = np.zeros(len(values), np.uint8)
+        rank[known] = self.ranks[at[known]]
+        return rank
+
+
+class Sieve:
+    """Passes every row whose key is among the chosen ones, and few others."""
+
+    def __init__(self, chosen: DataFrame, rows: int):
+        self.bits = min(SIEVE_BITS, 1 << (SIEVE_SPREAD * (rows + 1)).bit_length())
+        spot = F.pmod("key", F.lit(self.bits))
+        cells = chosen.groupBy(F.shiftright(spot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {self.bits}) & 63 AS int))")).alias("set")).toArrow()
+        self.cells = np.zeros(self.bits // 64, np.uint64)
+        self.cells[cells.column("cell").to_numpy()] = cells.column("set").to_numpy().view(np.uint64)
+
+    def passed(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        spot = batch.column("key").to_numpy().view(np.uint64) & np.uint64(self.bits - 1)
+        return batch.filter(pa.array((self.cells[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) == 1))
+
 
 Place = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 _KINDS = (("class", np.uint64), ("n", np.uint32), ("runs", np.uint32), ("value", np.uint64), ("rank", np.uint8))
 _PARCEL = "shard int, class binary, n binary, runs binary, value binary, rank binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all first ones, then all second ones...: those of small numbers compress well."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _read(b: bytes, kind: type) -> np.ndarray:
+    if kind is np.uint32:
+        return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.frombuffer(b, kind)
+
+
 def _to_shards(shards: int) -> Place:
     """Frequent shingles, which have a rank, go by class to shards from `shards` on, others by value."""
     return lambda value, rank, name: np.where(rank > 0, np.uint64(shards) + name % np.uint64(shards), value % np.uint64(shards)).astype(np.int64)
@@ -166,46 +206,74 @@ def _fan(places: int) -> int:
     return places if places <= FAN else math.isqrt(places - 1) + 1
 
 
-def _parcels(place: np.ndarray, name: np.ndarray, size: np.ndarray, owner: np.ndarray, value: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each place, of the values there and their owners (numbers of names, in ascending order)."""
+def _parcels(place: np.ndarray, name: np.ndarray, size: np.ndarray, owner: np.ndarray, value: np.ndarray, rank: np.ndarray, short: bool = False) -> Iterator[pa.RecordBatch]:
+    """A row for each place, of the values there (of which 32 bits, if short) and their owners (numbers of names, in
+    ascending order)."""
     order = np.argsort(place, kind="stable")
     owner, value, place, rank = owner[order], value[order], place[order], rank[order]
+    value = (value >> np.uint64(32)).astype(np.uint32) if short else value
     bounds = np.flatnonzero(np.diff(place, prepend=-1, append=-2))
     rows: dict[str, list] = {k: [] for k in ("shard", *(k for k, _ in _KINDS))}
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         starts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
         who = owner[a:b][starts]
-        runs = np.diff(np.append(starts, b - a)).astype(np.uint32)
-        for k, x in zip(rows, (int(place[a]), name[who].tobytes(), size[who].astype(np.uint32).tobytes(), runs.tobytes(), value[a:b].tobytes(), rank[a:b].tobytes()), strict=True):
+        runs = np.diff(np.append(starts, b - a))
+        for k, x in zip(rows, (int(place[a]), name[who].tobytes(), _planes(size[who]), _planes(runs), value[a:b].tobytes(), rank[a:b].tobytes()), strict=True):
             rows[k].append(x)
     columns = [pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in rows.items()]
     for at in range(0, len(columns[0]), 500):
         yield pa.RecordBatch.from_arrays([c.slice(at, 500) for c in columns], list(rows))
 
 
-def _columns(table: pa.Table) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([np.frombuffer(b, kind) for b in table.column(k).to_pylist()]) for k, kind in _KINDS}
+def _columns(table: pa.Table, short: bool = False) -> dict[str, np.ndarray]:
+    out = {k: np.concatenate([_read(b, kind) for b in table.column(k).to_pylist()]) for k, kind in _KINDS if k != "value"}
+    value = np.uint32 if short else np.uint64
+    return out | {"value": np.concatenate([np.frombuffer(b, value) for b in table.column("value").to_pylist()])}
 
 
-def _deal(shards: int, frequent: Frequent):
-    """Deals the shingles of each block's classes."""
+def _deal(shards: int, frequent: Frequent, sieve: Sieve):
+    """Deals the shingles of each block's classes, of the rows that pass the sieve."""
     place, fan = _to_shards(shards), _fan(2 * shards)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, "text"):
+        for block in _blocks(map(sieve.passed, batches), "text"):
             size, name, owner, value = classes([t for (t,) in block])
             mine = _once(name, size)[owner]
             owner, value = owner[mine], value[mine]
-            at, known = frequent.find(value)
-            rank = np.zeros(len(value), np.uint8)
-            rank[known] = frequent.ranks[at[known]]
+            rank = frequent.ranks_of(value)
             yield from _parcels(place(value, rank, name[owner]) % fan, name, size, owner, value, rank)
 
     return deal
 
 
-def _delivered(parcels: DataFrame, places: int, place: Place) -> DataFrame:
-    """Parcels at their places; those that are only known up to a bundle of places are opened and dealt again."""
+def _need(size: np.ndarray) -> np.ndarray:
+    """How many of a set's first shingles must be shared. From one size to the next it grows by no more than ceil(3n/4)
+    does, so that the longer of two linked sets finds its number among the first ones of the shorter, too."""
+    return (size + 7) // 8
+
+
+def _deal_first(shards: int, frequent: Frequent):
+    """Deals the first shingles of each block's classes, with how many of them must be shared."""
+    place, fan = _to_shards(shards), _fan(2 * shards)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, "text"):
+            size, name, owner, value = classes([t for (t,) in block])
+            mine = _once(name, size)[owner]
+            owner, value = owner[mine], value[mine]
+            rank = frequent.ranks_of(value)
+            order = np.argsort(2 * owner + (rank > 0), kind="stable")
+            value, rank = value[order], rank[order]
+            need = _need(size)
+            first = np.arange(len(owner)) - np.searchsorted(owner, owner) < (size - (3 * size + 3) // 4 + need)[owner]
+            owner, value, rank = owner[first], value[first], rank[first]
+            yield from _parcels(place(value, rank, name[owner]) % fan, name, need, owner, value, rank, fan == 2 * shards)
+
+    return deal
+
+
+def _delivered(parcels: DataFrame, places: int, place: Place, short: bool = False) -> DataFrame:
+    """Parcels at their places; those that are only known up to a bundle of places are opened and dealt again, then short."""
     if _fan(places) == places:
         return parcels
 
@@ -214,7 +282,7 @@ def _delivered(parcels: DataFrame, places: int, place: Place) -> DataFrame:
             columns = _columns(pa.Table.from_batches(rows))
             owner = np.repeat(np.arange(len(columns["class"])), columns["runs"])
             to = place(columns["value"], columns["rank"], columns["class"][owner])
-            yield from _parcels(to, columns["class"], columns["n"], owner, columns["value"], columns["rank"])
+            yield from _parcels(to, columns["class"], columns["n"], owner, columns["value"], columns["rank"], short)
             release()
 
         held, size = [], 0
@@ -231,6 +299,53 @@ def _delivered(parcels: DataFrame, places: int, place: Place) -> DataFrame:
     return parcels.repartition(_fan(places), "shard").mapInArrow(split, _PARCEL)
 
 
+def _met(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, value, number of owners) of the distinct pairs whose value two owners have or more."""
+    order = np.lexsort((owner, value))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    owner, value = owner[new], value[new]
+    starts = np.ones(len(value), bool)
+    starts[1:] = value[1:] != value[:-1]
+    starts = np.flatnonzero(starts)
+    often = np.diff(np.append(starts, len(value)))
+    often = np.repeat(often, often)
+    shared = often > 1
+    return owner[shared], value[shared], often[shared]
+
+
+def _count(shards: int, buckets: int):
+    place, fan = _to_buckets(buckets), _fan(buckets)
+
+    def count(table: pa.Table) -> pa.Table:
+        """Of one shard, for each class how many of its first shingles other classes have too, as the upper half of its one
+        value. Some may only look so, as 32 bits tell."""
+        columns = _columns(table, True)
+        names, first, number = np.unique(columns["class"], return_index=True, return_inverse=True)
+        need, c = columns["n"][first], columns["runs"][first]
+        if table.column("shard")[0].as_py() < shards:
+            owner, value = np.repeat(number.astype(np.uint32), columns["runs"]), columns["value"]
+            del columns, number
+            c = np.bincount(_met(owner, value)[0], minlength=len(names))
+        some = np.flatnonzero(c)
+        c, none = c[some].astype(np.uint64) << np.uint64(32), np.zeros(len(some), np.uint8)
+        out = pa.Table.from_batches(_parcels(place(c, none, names[some]) % fan, names, need, some, c, none, fan == buckets), _PARCEL_TYPES)
+        release()
+        return out
+
+    return count
+
+
+def _enough(table: pa.Table) -> pa.Table:
+    """Of one bucket, the classes that have as many shared first shingles as they need."""
+    columns = _columns(table, True)
+    names, first, number = np.unique(columns["class"], return_index=True, return_inverse=True)
+    enough = np.bincount(number, columns["value"]) >= columns["n"][first]
+    release()
+    return pa.table({"class": pa.array(names[enough].view(np.int64))})
+
+
 def _share(shards: int):
     place, fan = _to_buckets(shards), _fan(shards)
 
@@ -254,18 +369,7 @@ def _share(shards: int):
             return sent(names, size, owner[order], value[order], rank[order])
         owner = np.repeat(number, columns["runs"]).astype(np.uint32)
         del columns, number
-        order = np.lexsort((owner, value))
-        owner, value = owner[order], value[order]
-        new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        owner, value = owner[new], value[new]
-        starts = np.ones(len(value), bool)
-        starts[1:] = value[1:] != value[:-1]
-        starts = np.flatnonzero(starts)
-        often = np.diff(np.append(starts, len(value)))
-        often = np.repeat(often, often)
-        shared = often > 1
-        owner, value, often = owner[shared], value[shared], often[shared]
+        owner, value, often = _met(owner, value)
         order = np.argsort(owner, kind="stable")
         return sent(names, size, owner[order], value[order], np.log2(often[order]).astype(np.uint8))
 
@@ -476,11 +580,27 @@ def _cells(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.unionByName(meets.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "class"))
 
 
-def components(members: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """class and comp of the classes that are linked with others. members: (doc_id, n, class)."""
+def _able(members: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """(key, n) of one row of each class that has enough first shingles in common with others; n is summed over the rows
+    that have this key."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, round(total / (4 * SHARD_SHINGLES)))  # three eighths of the shingles, of half the width
+    dealt = _delivered(docs.select("text").mapInArrow(_deal_first(shards, frequent), _PARCEL), 2 * shards, _to_shards(shards), True)
+    buckets = -(-shards // 8)  # they hold numbers, not shingles
+    counts = dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_count(shards, buckets), _PARCEL)
+    counts = _delivered(counts, buckets, _to_buckets(buckets), True)
+    able = counts.repartition(buckets, "shard").groupBy("shard").applyInArrow(_enough, "class long")
+    keys = members.where("class IS NOT NULL").groupBy("class", "key").agg(F.sum("n").alias("n"))
+    keys = keys.groupBy("class").agg(F.min(F.struct("key", "n")).alias("k"))
+    return store(keys.join(able, "class", "left_semi").select("k.key", "k.n"), "jaccard-able")
+
+
+def components(members: DataFrame, docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """class and comp of the classes that are linked with others. members: (doc_id, key, n, class); docs: (key, text)."""
+    chosen = _able(members, docs, frequent)
+    rows, total = chosen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, round(total / SHARD_SHINGLES))
-    dealt = _delivered(docs.select("text").mapInArrow(_deal(shards, frequent), _PARCEL), 2 * shards, _to_shards(shards))
+    dealt = _delivered(docs.mapInArrow(_deal(shards, frequent, Sieve(chosen, rows)), _PARCEL), 2 * shards, _to_shards(shards))
     # a partition a shard, however many there are
     shared = _delivered(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_share(shards), _PARCEL), shards, _to_buckets(shards))
     sets = store(shared.repartition(shards, "shard").groupBy("shard").applyInArrow(_gather, "class long, n long, prefix long, home long, items binary"), "jaccard-sets")
@@ -526,10 +646,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = store(docs.mapInArrow(_members, "doc_id long, n long, class long, item long, c long"), "jaccard-members")
-    members = found.where("c IS NULL").select("doc_id", "n", "class")
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    found = store(docs.mapInArrow(_members, "doc_id long, key long, n long, class long, item long, c long"), "jaccard-members")
+    members = found.where("c IS NULL").select("doc_id", "key", "n", "class")
     often = found.where("c IS NOT NULL").groupBy("item").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "item").limit(MOST).toArrow()
-    comp = components(members, docs, Frequent(often.column("item").to_numpy().view(np.uint64), often.column("c").to_numpy()))
+    comp = components(members, docs.select("key", "text"), Frequent(often.column("item").to_numpy().view(np.uint64), often.column("c").to_numpy()))
     # a class or component of one row is its own; only the others are joined
     per_class = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
     named = per_class.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
