@@ -124,3 +124,37 @@ def test_settings_and_descriptions(env):
     env.sql_query("set tidemark.note = 5")
     assert env.spark.conf.get("tidemark.note") == "5"
     assert [r["col_name"] for r in env.sql_query("describe t1").to_map_list()][:2] == ["c1", "c2"]
+
+
+@pytest.fixture(scope="module")
+def parts(env):
+    """Seven values, each in all of eight parts of a table."""
+    env.register_table("parts", env.spark.range(0, 5600, 1, 8).selectExpr("id", "id % 2 as g", "id % 7 as v", "if(id % 3 = 0, null, id % 7 * 0.1D) as d"))
+    return env
+
+
+BINS = [{"x": float(v), "y": 800.0} for v in range(7)]
+
+
+def bins(env, call, rest="from parts"):
+    return [[b.asDict() for b in row["h"]] if row["h"] is not None else None for row in env.sql_query(f"select {call} as h {rest}").to_map_list()]
+
+
+def test_histogram_of_values_in_many_parts(parts):
+    for n in (7, 20, 2000000):
+        assert bins(parts, f"histogram_numeric(v, {n})") == [BINS]
+    want = parts.sql_query("select d as x, cast(count(d) as double) as y from parts where d is not null group by d order by d").to_map_list()
+    assert bins(parts, "histogram_numeric(d, 20)") == [want]
+    assert bins(parts, "histogram_numeric(v, 20)", "from parts where v > 9") == [None]
+    # filters and windows go with both of its aggregates
+    assert bins(parts, "histogram_numeric(v, 20) filter (where v > 4)") == [BINS[5:]]
+    some = bins(parts, "histogram_numeric(v, 20) filter (where v > 4) over (partition by g)")
+    assert len(some) == 5600 and all(h == [b | {"y": 400.0} for b in BINS[5:]] for h in some)
+    assert bins(parts, "histogram_numeric(x, 20)", "from (values (0D), (-0D), (1D), (cast('NaN' as double)), (cast('NaN' as double))) as z(x)")[0][:2] == [{"x": 0.0, "y": 2.0}, {"x": 1.0, "y": 1.0}]
+
+
+def test_histogram_of_more_values_than_bins(parts):
+    """No count is lost, whatever the sketch drops."""
+    for value, n in (("v", 6), ("id", 20), ("if(id % 4 < 3, id % 3, id)", 5)):
+        (h,) = bins(parts, f"histogram_numeric({value}, {n})")
+        assert len(h) == n and sum(b["y"] for b in h) == 5600

@@ -53,6 +53,22 @@ def _pad(name: str) -> Build:
     return lambda a: sql(f"{name}(?, ?, nullif(?, ''))", *a) if len(a) == 3 else None
 
 
+#: The bins of a histogram: each value with its count while there are no more values than bins. Spark's histogram_numeric, taken
+#: for more values, keeps a bin of a value for each part of the table and moves values by roundings where it joins them. The
+#: sketch's counts are exact if it took nothing off them (its offset, bytes 25 to 32, is zero) and they make the histogram's
+#: total, as a part that lost all its counts leaves no offset.
+_BINS = """element_at(transform(array(struct(histogram_numeric(CAST(? AS DOUBLE) + 0D, ?) ? AS h,
+  approx_top_k_accumulate(CAST(? AS DOUBLE) + 0D, CAST(least(?, 999999) + 1 AS INT)) ? AS s)), _g -> element_at(transform(array(
+  sort_array(transform(filter(approx_top_k_estimate(_g.s, CAST(least(?, 999999) + 1 AS INT)), _t -> _t.item IS NOT NULL), _t -> struct(_t.item AS x, CAST(_t.count AS DOUBLE) AS y)))), _e -> CASE
+ WHEN size(_e) <= ? AND hex(substring(_g.s.sketch, 25, 8)) = repeat('0', 16)
+  AND aggregate(_e, CAST(0 AS DOUBLE), (_t, _b) -> _t + _b.y) = aggregate(_g.h, CAST(0 AS DOUBLE), (_t, _b) -> _t + _b.y) THEN _e
+ ELSE _g.h END), 1)), 1)"""
+
+
+def _bins(value: list[Node], bins: list[Node], over: list[Node]) -> list[Node]:
+    return sql(_BINS, value, bins, over, value, bins, over, bins, bins)
+
+
 #: Linear interpolation over the bins of a histogram h at share q of the total, as Hive's approximate percentile has it.
 _QUANTILE = """aggregate(sequence(1, size(_h)), struct(CAST(0 AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS v), (_a, _i) -> CASE
  WHEN _a.v IS NOT NULL THEN _a
@@ -142,8 +158,10 @@ def _sort_array_by(a: Arguments) -> list[Node]:
     return sql(f"array_sort(?, (_l, _r) -> CASE {tests} ELSE 0 END)", a[0])
 
 
-def _histogram(a: Arguments) -> list[Node]:
-    return sql("histogram_numeric(CAST(? AS DOUBLE), ?)", *a)
+def _histogram(a: Arguments, over: list[Node]) -> list[Node]:
+    if len(a) != 2:
+        raise DialectError("histogram_numeric takes two arguments")
+    return _bins(*a, over)
 
 
 def _unsupported(name: str) -> Build:
@@ -167,7 +185,6 @@ FUNCTIONS: dict[str, Build] = {
     "covariance": _renamed("covar_pop"),
     "$sum0": _one("coalesce(sum(?), 0)"),
     "percentile_approx": _percentile_approx,
-    "histogram_numeric": _histogram,
     "collect": _renamed("collect_list"),
     "fusion": _one("flatten(collect_list(?))"),
     "element": _one("element_at(?, 1)"),
@@ -193,4 +210,7 @@ FUNCTIONS: dict[str, Build] = {
     **{n: _unsupported(n) for n in ("create_union", "extract_union", "in_file", "reflect2", "compute_stats", "ngrams", "context_ngrams", "sq_count_check", "cardinality_violation", "internal_interval", "ewah_bitmap", "ewah_bitmap_and", "ewah_bitmap_or", "ewah_bitmap_empty")},
 }
 
-__all__ = ["FUNCTIONS", "literal"]
+#: Aggregates within other calls, which take the window that follows their call, if any, as well.
+AGGREGATES: dict[str, Callable[[Arguments, list[Node]], list[Node]]] = {"histogram_numeric": _histogram}
+
+__all__ = ["AGGREGATES", "FUNCTIONS", "literal"]
