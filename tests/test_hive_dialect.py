@@ -158,3 +158,12 @@ def test_histogram_of_more_values_than_bins(parts):
     for value, n in (("v", 6), ("id", 20), ("if(id % 4 < 3, id % 3, id)", 5)):
         (h,) = bins(parts, f"histogram_numeric({value}, {n})")
         assert len(h) == n and sum(b["y"] for b in h) == 5600
+
+
+def test_percentile_of_values_in_many_parts(parts):
+    """800 of each value: the share's rank falls so far into the bin of a value, from the value before it."""
+    (row,) = parts.sql_query("select percentile_approx(v, 0.8) as p, percentile_approx(v, array[0.1, 0.5, 1.0]) as q, percentile_approx(v, 0.8, 7) as n from parts").to_map_list()
+    assert row == {"p": pytest.approx(4.6), "q": [0.0, 2.5, 6.0], "n": pytest.approx(4.6)}
+    assert parts.sql_query("select percentile_approx(v, 0.5) filter (where v > 4) as p from parts").to_map_list() == [{"p": 5.0}]
+    assert parts.sql_query("select distinct g, percentile_approx(v, 0.5) over (partition by g) as p from parts order by g").to_map_list() == [{"g": 0, "p": 2.5}, {"g": 1, "p": 2.5}]
+    assert parts.sql_query("select percentile_approx(v, 0.5) as p from parts where v > 9").to_map_list() == [{"p": None}]

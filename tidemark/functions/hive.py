@@ -78,17 +78,16 @@ _QUANTILE = """aggregate(sequence(1, size(_h)), struct(CAST(0 AS DOUBLE) AS c, C
  ELSE struct(_a.c + element_at(_h, _i).y AS c, _a.v AS v) END, _a -> _a.v)"""
 
 
-def _percentile_approx(a: Arguments) -> list[Node]:
+def _percentile_approx(a: Arguments, over: list[Node]) -> list[Node]:
     if len(a) not in (2, 3):
         raise DialectError("percentile_approx takes two or three arguments")
     bins = a[2] if len(a) == 3 else sql("10000")
-    histogram = sql("histogram_numeric(CAST(? AS DOUBLE), ?)", a[0], bins)
     many = a[1] and a[1][0].up == "ARRAY"
     share = sql("_p") if many else a[1]
     quantile = sql(_QUANTILE, share, share)
     if many:
         quantile = sql("transform(?, _p -> ?)", a[1], quantile)
-    return sql("element_at(transform(array(?), _h -> CASE WHEN size(_h) > 0 THEN ? END), 1)", histogram, quantile)
+    return sql("element_at(transform(array(?), _h -> CASE WHEN size(_h) > 0 THEN ? END), 1)", _bins(a[0], bins, over), quantile)
 
 
 def _mask(form: str) -> Build:
@@ -184,7 +183,6 @@ FUNCTIONS: dict[str, Build] = {
     "variance": _renamed("var_pop"),
     "covariance": _renamed("covar_pop"),
     "$sum0": _one("coalesce(sum(?), 0)"),
-    "percentile_approx": _percentile_approx,
     "collect": _renamed("collect_list"),
     "fusion": _one("flatten(collect_list(?))"),
     "element": _one("element_at(?, 1)"),
@@ -211,6 +209,6 @@ FUNCTIONS: dict[str, Build] = {
 }
 
 #: Aggregates within other calls, which take the window that follows their call, if any, as well.
-AGGREGATES: dict[str, Callable[[Arguments, list[Node]], list[Node]]] = {"histogram_numeric": _histogram}
+AGGREGATES: dict[str, Callable[[Arguments, list[Node]], list[Node]]] = {"histogram_numeric": _histogram, "percentile_approx": _percentile_approx}
 
 __all__ = ["AGGREGATES", "FUNCTIONS", "literal"]
